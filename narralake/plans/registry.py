@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from narralake.plans import corpus
+from narralake.plans import corpus, quality, signals
 
-FAMILIES = (corpus,)
+FAMILIES = (corpus, quality, signals)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
