@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from narralake.plans import chunks, corpus, quality, signals
+from narralake.plans import chunks, corpus, narrations, quality, signals
 
-FAMILIES = (corpus, quality, chunks, signals)
+FAMILIES = (corpus, quality, chunks, narrations, signals)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
