@@ -104,6 +104,12 @@ def is_chunk_file(name: Column) -> Column:
     return F.rlike(F.lower(name), F.lit(CHUNK_FILE))
 
 
+def manifest_line(path: Column) -> Column:
+    """Concat-list line of a file; a quote closes, escapes and reopens."""
+    quoted = F.replace(path, F.lit("'"), F.lit("'\\''"))
+    return F.concat(F.lit("file '"), quoted, F.lit("'"))
+
+
 def resume_points(totals: DataFrame, files: DataFrame) -> DataFrame:
     """First chunk without a non-empty file, per intake.
 

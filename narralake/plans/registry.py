@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from narralake.plans import chunks, corpus, narrations, quality, signals
+from narralake.plans import chunks, corpus, narrations, quality, runs, signals
 
-FAMILIES = (corpus, quality, chunks, narrations, signals)
+FAMILIES = (corpus, quality, chunks, narrations, signals, runs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
