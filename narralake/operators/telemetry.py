@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from narralake.functions.text import snippet
@@ -110,6 +110,21 @@ def manifest_line(path: Column) -> Column:
     return F.concat(F.lit("file '"), quoted, F.lit("'"))
 
 
+def concat_manifest(files: DataFrame) -> DataFrame:
+    """Numbered concat-list lines per intake, in name order.
+
+    ``files``: intake_id, name, path.  A chunk file has a four-digit name, so an
+    intake has at most ten thousand of them (times letter case) and its window
+    is bounded by that rule.
+    """
+    in_order = Window.partitionBy("intake_id").orderBy("name")
+    return files.where(is_chunk_file(F.col("name"))).select(
+        "intake_id",
+        F.row_number().over(in_order).cast("bigint").alias("line_no"),
+        manifest_line(F.col("path")).alias("line"),
+    )
+
+
 def resume_points(totals: DataFrame, files: DataFrame) -> DataFrame:
     """First chunk without a non-empty file, per intake.
 
@@ -198,6 +213,7 @@ def token_marks(attempts: DataFrame) -> DataFrame:
     """Last positions that matter, per run and token."""
     return attempts.groupBy("run_id", "token").agg(
         F.max_by("status", _seq_if(SETTLES_FAILURE)).alias("outcome"),
+        F.max(_seq_if(SETTLES_FAILURE)).alias("outcome_seq"),
         F.max(_seq_if(USES_TOKEN)).alias("used_seq"),
         F.max(_seq_if(SETTLES_WAIT)).alias("wait_seq"),
         F.max_by("status", _seq_if(SETTLES_WAIT)).alias("wait_status"),
@@ -229,7 +245,10 @@ def token_board(attempts: DataFrame, token_names: Sequence[str]) -> DataFrame:
     The token list belongs to the run's configuration; it is exploded from a
     literal, so there is no join of runs with tokens.
     """
-    marks = token_marks(attempts)
+    return board_from_marks(token_marks(attempts), token_names)
+
+
+def board_from_marks(marks: DataFrame, token_names: Sequence[str]) -> DataFrame:
     names = F.array(*[F.lit(n) for n in token_names])
     slots = run_state(marks, token_names[0]).select(
         "*", F.posexplode(names).alias("_pos", "token")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from narralake.plans import chunks, corpus, narrations, quality, runs, signals
+from narralake.plans import chunks, corpus, narrations, quality, runs, signals, streams
 
-FAMILIES = (corpus, quality, chunks, narrations, signals, runs)
+FAMILIES = (corpus, quality, chunks, narrations, signals, runs, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -127,17 +127,7 @@ def chunk_listing(spark, sf_dir):
 
 def concat_manifest(spark, sf_dir):
     """Lines of the concat list, with their place; quotes are escaped."""
-    from narralake.operators.ordered import with_row_number
-
-    listed = _named(spark, sf_dir).where(tm.is_chunk_file(F.col("name")))
-    keyed = listed.withColumn("_order", F.substring("name", 1, 4).cast("bigint") * 2 + F.endswith(
-        F.col("name"), F.lit("wav")).cast("bigint"))
-    ranked = with_row_number(keyed, ["intake_id"], "_order", "line_no")
-    return ranked.select(
-        "intake_id",
-        F.col("line_no").cast("bigint").alias("line_no"),
-        tm.manifest_line(F.col("path")).alias("line"),
-    )
+    return tm.concat_manifest(_named(spark, sf_dir))
 
 
 def resume_point(spark, sf_dir):
