@@ -12,17 +12,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from narralake.functions.text import (
-    INLINE_WS,
-    INVISIBLE,
     WS,
+    WS_RUN,
     append,
+    collapse_spaces,
     empty_strings,
     is_blank,
     let,
     normalize_newlines,
+    replace_if,
     rstrip,
     split_sentences,
     strip,
+    strip_invisible,
     word_count,
 )
 
@@ -111,14 +113,14 @@ _CONNECTOR = rf"^(?:{'|'.join(CONNECTORS)})[{WS}]+"
 # ------------------------------------------------------------ normalisation --
 def normalize_punctuation(c: Column) -> Column:
     """Spaces around commas and semicolons, repeated dots, stray spaces."""
-    out = F.regexp_replace(normalize_newlines(c), f"[{INVISIBLE}]", "")
-    rules = [(r"\.{2,}", "."), ("…+", "…"), (f"[{INLINE_WS}]+", " ")]
+    out = strip_invisible(normalize_newlines(c))
+    out = replace_if(out, "..", r"\.{2,}", ".")
+    out = replace_if(out, "……", "…+", "…")
+    out = collapse_spaces(out)
     for mark in "،,؛;":
-        rules += [(f"[{WS}]+{mark}", mark), (f"{mark}(?=[^{WS}])", f"{mark} ")]
-    rules.append((f"[{WS}]+([.!?؟۔])", "$1"))
-    for pattern, replacement in rules:
-        out = F.regexp_replace(out, pattern, replacement)
-    return strip(out)
+        out = replace_if(out, mark, f"{WS_RUN}{mark}", mark)
+        out = replace_if(out, mark, f"{mark}(?=[^{WS}])", f"{mark} ")
+    return strip(F.regexp_replace(out, f"{WS_RUN}([.!?؟۔])", "$1"))
 
 
 def break_long_sentence(c: Column, limit: int = MAX_SENTENCE_WORDS) -> Column:
@@ -132,7 +134,7 @@ def break_long_sentence(c: Column, limit: int = MAX_SENTENCE_WORDS) -> Column:
         + r"|(?:[^ ]++ ){%d,%d}[^ ]*[،؛;:](?: )" % (half, limit - 1)
         + r"|(?:[^ ]++ ){%d}" % limit
     )
-    flat = strip(F.regexp_replace(c, f"[{WS}]+", " "))
+    flat = strip(F.regexp_replace(c, WS_RUN, " "))
     pieces = F.transform(F.regexp_extract_all(flat, F.lit(pattern), F.lit(0)), strip)
     return F.when(word_count(c) <= limit, F.array(c)).otherwise(pieces)
 
@@ -170,8 +172,13 @@ def merge_short_fragments(sentences: Column, floor: int = MIN_FRAGMENT_WORDS) ->
 
 def stabilize_punctuation(c: Column) -> Column:
     out = strip(c)
-    for pattern, mark in ((r"!{2,}", "!"), (r"\?{2,}", "؟"), (r"\.{2,}", "."), ("—{2,}", "—")):
-        out = F.regexp_replace(out, pattern, mark)
+    for mark, pattern, steady in (
+        ("!!", r"!{2,}", "!"),
+        ("??", r"\?{2,}", "؟"),
+        ("..", r"\.{2,}", "."),
+        ("——", "—{2,}", "—"),
+    ):
+        out = replace_if(out, mark, pattern, steady)
     return out
 
 

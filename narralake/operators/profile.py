@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from narralake.functions.text import DIGITS, LINE_END_MARKS, WS, let, strip
+from narralake.functions.text import DIGITS, LINE_END_MARKS, WS, let, strip, words
 
 # --- fixed values: ranges, thresholds and weights -----------------------------
 WIDE_PERSIAN = r"\u0600-\u06ff\u0750-\u077f\u08a0-\u08ff\ufb50-\ufdff\ufe70-\ufeff"
@@ -15,6 +15,7 @@ MIN_PERSIAN_CHARS = 20
 MIN_PERSIAN_RATIO = 0.08
 MAX_ISOLATED = 0.12
 MAX_SHORT_TOKENS = 0.35
+MAX_SHORT_TOKEN = 2
 MAX_OPEN_LINES = 0.25
 MAX_DIGIT_LINES = 0.15
 MAX_REVERSED_LINES = 0.20
@@ -62,6 +63,11 @@ def line_measures(lines: Column) -> Column:
     )
 
 
+def token_measures(tokens: Column) -> Column:
+    short = F.filter(tokens, lambda x: F.length(x) <= MAX_SHORT_TOKEN)
+    return F.struct(F.size(tokens).alias("n"), F.size(short).alias("short"))
+
+
 def _occurrences(c: Column, literal: str) -> Column:
     gone = F.replace(c, F.lit(literal), F.lit(""))
     return (F.length(c) - F.length(gone)) / len(literal)
@@ -75,15 +81,12 @@ def quality_profile(c: Column) -> Column:
     """
 
     def measure(t: Column) -> Column:
-        tokens = F.regexp_count(t, F.lit(rf"[^{WS}]+"))
-        long_tokens = F.regexp_count(t, F.lit(rf"[^{WS}]{{3,}}"))
         return F.struct(
             t.alias("t"),
             F.length(t).alias("length"),
             wide_persian_count(t).alias("persian"),
-            line_measures(visible_lines(t)).alias("lines"),
-            tokens.alias("tokens"),
-            (tokens - long_tokens).alias("short_tokens"),
+            let(visible_lines(t), line_measures).alias("lines"),
+            let(words(t), token_measures).alias("tokens"),
             F.regexp_count(t, F.lit(r"[a-zA-Z]{4,}")).alias("latin_words"),
         )
 
@@ -100,7 +103,7 @@ def quality_profile(c: Column) -> Column:
         literal_reversed = F.contains(t, F.lit(REVERSED_LITERALS[0])) | F.contains(
             t, F.lit(REVERSED_LITERALS[1])
         )
-        short_share = F.coalesce(F.try_divide(m["short_tokens"], m["tokens"]), F.lit(0.0))
+        short_share = F.coalesce(F.try_divide(m["tokens"]["short"], m["tokens"]["n"]), F.lit(0.0))
         rules = [
             (m["length"] == 0, "EMPTY_TEXT"),
             (~detected & (m["length"] > 50), "MISSING_PERSIAN"),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narralake.functions.text import (
+    INVISIBLE,
     WS,
     clean_text,
     digits_to_western,
@@ -75,7 +76,12 @@ def clean_pages(pages: Column) -> Column:
 
 
 def has_text(pages: Column) -> Column:
-    return F.exists(pages, lambda p: ~is_blank(p["text"]))
+    """Some page has text after cleaning.
+
+    Cleaning takes out white space and invisible marks only, so the raw pages
+    tell, and the filter can run before the cleaning does.
+    """
+    return F.exists(pages, lambda p: F.rlike(p["text"], F.lit(f"[^{WS}{INVISIBLE}]")))
 
 
 def intake_records(docs: DataFrame) -> DataFrame:
@@ -84,8 +90,8 @@ def intake_records(docs: DataFrame) -> DataFrame:
     ``docs``: intake_id, filename, pages.  One map-only pass; a document is
     rejected when no page has text after cleaning.
     """
-    cleaned = docs.withColumn("pages", clean_pages(F.col("pages"))).where(
-        has_text(F.col("pages"))
+    cleaned = docs.where(has_text(F.col("pages"))).withColumn(
+        "pages", clean_pages(F.col("pages"))
     )
     repaired = F.transform(
         F.col("pages"),

@@ -16,8 +16,8 @@ from narralake.functions.text import (
     PARAGRAPH_BREAK,
     PERSIAN,
     WS,
+    WS_RUN,
     change,
-    collapse_spaces,
     digits_to_persian,
     digits_to_western,
     empty_strings,
@@ -32,6 +32,7 @@ from narralake.functions.text import (
     rstrip,
     starts_bullet,
     strip,
+    words,
 )
 
 # --- fixed values: glyph corruptions and their repair ------------------------
@@ -199,41 +200,48 @@ def repair_years(c: Column) -> Column:
 
 # ------------------------------------------------------------------- lines ---
 def _is_broken_word(upper: Column, lower: Column) -> Column:
-    """``lower`` continues the last word of ``upper``."""
+    """``lower`` continues the last word of ``upper``.
 
-    def test(s: Column) -> Column:
-        u, low, last = s["u"], s["low"], s["last"]
-        one_digit = rf"^[{DIGITS}]\z"
-        letter = rf"[\p{{L}}\p{{N}}{PERSIAN}]"
+    The short look at the lower line comes first; it turns most lines down.
+    """
+    one_digit = rf"^[{DIGITS}]\z"
+    letter = rf"[\p{{L}}\p{{N}}{PERSIAN}]"
+
+    def lower_fits(low: Column) -> Column:
         return (
-            (u != "")
-            & (low != "")
+            (low != "")
             & (F.length(low) <= MAX_BROKEN_TAIL)
-            & (F.length(last) <= MAX_BROKEN_HEAD)
             & ~F.contains(low, F.lit(" "))
-            & ~ends_line(u)
             & ~starts_bullet(low)
-            & ~F.startswith(u, F.lit("--- Page"))
-            & ~F.rlike(low, F.lit(one_digit))
-            & ~F.rlike(last, F.lit(one_digit))
-            & F.rlike(last, F.lit(rf"{letter}\z"))
             & F.rlike(low, F.lit(rf"^{letter}"))
+            & ~F.rlike(low, F.lit(one_digit))
             & is_persian_heavy(low)
+        )
+
+    def upper_fits(u: Column) -> Column:
+        return (
+            (u != "")
+            & ~ends_line(u)
+            & ~F.startswith(u, F.lit("--- Page"))
             & is_persian_heavy(u)
+            & let(F.element_at(words(u), -1), last_fits)
+        )
+
+    def last_fits(last: Column) -> Column:
+        return (
+            (F.length(last) <= MAX_BROKEN_HEAD)
+            & ~F.rlike(last, F.lit(one_digit))
+            & F.rlike(F.right(last, F.lit(1)), F.lit(letter))
         )
 
-    u = strip(upper)
-    bound = F.struct(
-        u.alias("u"),
-        strip(lower).alias("low"),
-        F.regexp_extract(u, rf"([^{WS}]+)\z", 1).alias("last"),
+    return F.when(let(strip(lower), lower_fits), let(strip(upper), upper_fits)).otherwise(
+        F.lit(False)
     )
-    return let(bound, test)
 
 
 def _join_words(upper: Column, lower: Column) -> Column:
     body = strip(upper)
-    flat = F.regexp_replace(body, f"[{WS}]+", " ")
+    flat = F.regexp_replace(body, WS_RUN, " ")
     head = F.when(F.rlike(body, F.lit(f"[{WS}]")), flat).otherwise(rstrip(upper))
     return F.concat(head, lstrip(lower))
 
@@ -378,7 +386,3 @@ def diff_text(changes: Column) -> Column:
     return F.when(F.size(changes) > 0, F.array_join(blocks, "\n\n")).otherwise(
         F.lit("(no changes applied)")
     )
-
-
-def one_line(c: Column) -> Column:
-    return collapse_spaces(F.replace(c, F.lit("\n"), F.lit(" ")))

@@ -71,7 +71,7 @@ def _pages_some_blank(spark, sf_dir):
 
 
 def drop_empty_docs(spark, sf_dir):
-    docs = _pages_some_blank(spark, sf_dir).withColumn("pages", rec.clean_pages(F.col("pages")))
+    docs = _pages_some_blank(spark, sf_dir)
     return docs.where(rec.has_text(F.col("pages"))).select(
         "doc_id", F.size("pages").cast("bigint").alias("page_count")
     )

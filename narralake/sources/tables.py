@@ -8,6 +8,7 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from narralake.functions.text import let
 from narralake.operators.ordered import with_row_number
 from narralake.operators.repair import GLYPH_REPLACEMENTS
 
@@ -74,17 +75,20 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
 # ------------------------------------------------------------------- texts ---
 def page_array(text: Column) -> Column:
     """Text to ``array<struct<page_number, text>>``, ten lines to a page."""
-    lines = F.split(text, "\n", -1)
-    count = F.ceil(F.size(lines) / LINES_PER_PAGE).cast("int")
-    return F.transform(
-        F.sequence(F.lit(1), count),
-        lambda p: F.struct(
-            p.alias("page_number"),
-            F.array_join(
-                F.slice(lines, (p - 1) * LINES_PER_PAGE + 1, F.lit(LINES_PER_PAGE)), "\n"
-            ).alias("text"),
-        ),
-    )
+
+    def pages(lines: Column) -> Column:
+        count = F.ceil(F.size(lines) / LINES_PER_PAGE).cast("int")
+        return F.transform(
+            F.sequence(F.lit(1), count),
+            lambda p: F.struct(
+                p.alias("page_number"),
+                F.array_join(
+                    F.slice(lines, (p - 1) * LINES_PER_PAGE + 1, F.lit(LINES_PER_PAGE)), "\n"
+                ).alias("text"),
+            ),
+        )
+
+    return let(F.split(text, "\n", -1), pages)
 
 
 def explode_pages(docs: DataFrame, pages: Column, *keep: str) -> DataFrame:
@@ -104,15 +108,17 @@ def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def paragraphed(text: Column) -> Column:
     """A blank line after every fifth line."""
-    lines = F.split(text, "\n", -1)
-    groups = F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / LINES_PER_PARAGRAPH).cast("int"))
-    blocks = F.transform(
-        groups,
-        lambda g: F.array_join(
-            F.slice(lines, g * LINES_PER_PARAGRAPH + 1, F.lit(LINES_PER_PARAGRAPH)), "\n"
-        ),
-    )
-    return F.array_join(blocks, "\n\n")
+
+    def blocks(lines: Column) -> Column:
+        last = F.floor((F.size(lines) - 1) / LINES_PER_PARAGRAPH).cast("int")
+        return F.transform(
+            F.sequence(F.lit(0), last),
+            lambda g: F.array_join(
+                F.slice(lines, g * LINES_PER_PARAGRAPH + 1, F.lit(LINES_PER_PARAGRAPH)), "\n"
+            ),
+        )
+
+    return F.array_join(let(F.split(text, "\n", -1), blocks), "\n\n")
 
 
 def injected(doc_id: Column) -> Column:
