@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narralake.functions import chunking as ck
+from narralake.functions.rows import explode_once
 from narralake.functions.text import snippet
 
 BUCKETS = 16
@@ -13,9 +14,7 @@ BUCKETS = 16
 
 def explode_chunks(docs: DataFrame, chunks: Column, *keep: str) -> DataFrame:
     """One row per element, numbered from 1 within its document."""
-    return docs.select(*keep, F.posexplode(chunks).alias("_pos", "text")).select(
-        *keep, (F.col("_pos") + 1).cast("bigint").alias("chunk_idx"), "text"
-    )
+    return explode_once(docs, chunks, "text", "chunk_idx", *keep)
 
 
 def chunk_documents(

@@ -6,6 +6,9 @@ order column is cut into blocks and the window runs per ``(key, block)``.  Only
 one summary row per block is looked at across a whole key.  The order column
 must be a non-negative integer, unique inside the key, so a block never holds
 more than ``block`` rows; key columns must not be null.
+
+The summary reads its input a second time, but only the columns it needs, and
+it shrinks on the map side; the rows themselves are shuffled once.
 """
 
 from __future__ import annotations

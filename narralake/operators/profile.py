@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from narralake.functions.rows import explode_once
 from narralake.functions.text import DIGITS, LINE_END_MARKS, WS, let, strip, words
 
 # --- fixed values: ranges, thresholds and weights -----------------------------
@@ -177,7 +178,7 @@ def flag_report(profiled: DataFrame, *by: str) -> DataFrame:
     level = F.concat(F.lit("LEVEL:"), F.col("profile.quality_warning"))
     marks = F.concat(F.array_distinct(F.col("profile.flags")), F.array(level))
     return (
-        profiled.select(*by, F.explode(marks).alias("flag"))
+        explode_once(profiled, marks, "flag", "_pos", *by)
         .groupBy(*by, "flag")
         .agg(F.count(F.lit(1)).alias("texts"))
     )

@@ -11,6 +11,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from narralake.functions.rows import explode_once
 from narralake.functions.text import (
     DIGITS,
     PARAGRAPH_BREAK,
@@ -366,9 +367,9 @@ def repair_corpus(pages: DataFrame, mapping: Mapping[str, str] | None = None) ->
 
 def change_log(repaired: DataFrame, *keys: str) -> DataFrame:
     """One row per change, in order."""
-    return repaired.select(*keys, F.posexplode("changes").alias("pos", "c")).select(
+    return explode_once(repaired, F.col("changes"), "c", "seq", *keys).select(
         *keys,
-        (F.col("pos") + 1).cast("bigint").alias("seq"),
+        "seq",
         F.col("c.kind").alias("kind"),
         F.col("c.before").alias("before"),
         F.col("c.after").alias("after"),

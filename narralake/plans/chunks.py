@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from narralake.functions import chunking as ck
 from narralake.functions import text as tx
+from narralake.functions.rows import explode_once
 from narralake.operators import chunks as ch
 from narralake.plans import chunk_sql as cs
 from narralake.plans.views_sql import PARAGRAPHED, with_recursive
@@ -94,7 +95,7 @@ def write_chunks(spark, sf_dir):
 def sentence_stats(spark, sf_dir):
     """Sentence counts and lengths of the cleaned corpus by language."""
     cleaned = tb.documents(spark, sf_dir).select("lang", tx.clean_text(F.col("text")).alias("text"))
-    sentences = cleaned.select("lang", F.explode(tx.split_sentences(F.col("text"))).alias("s"))
+    sentences = explode_once(cleaned, tx.split_sentences(F.col("text")), "s", "pos", "lang")
     return sentences.groupBy("lang").agg(
         F.count(F.lit(1)).alias("sentences"),
         F.sum(F.length("s").cast("bigint")).alias("chars"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narralake.functions import text as tx
+from narralake.functions.rows import explode_once
 from narralake.operators import records as rec
 from narralake.operators import repair as rp
 from narralake.plans.views_sql import (
@@ -180,7 +181,7 @@ def split_pages(spark, sf_dir):
         F.when(F.col("intake_id") % 10 == 0, F.lit("plain")).otherwise(F.col("full_text")),
     )
     pages = rec.split_pages(F.col("full_text"), F.col("page_count"))
-    return records.select("intake_id", F.explode(pages).alias("p")).select(
+    return explode_once(records, pages, "p", "pos", "intake_id").select(
         "intake_id", F.col("p.page_number").alias("page_number"), F.col("p.text").alias("text")
     )
 

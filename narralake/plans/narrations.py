@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from narralake.functions import chunking as ck
 from narralake.functions import narration as nr
 from narralake.functions import text as tx
+from narralake.functions.rows import explode_once
 from narralake.plans import chunk_sql as cs
 from narralake.plans.views_sql import PARAGRAPHED, SCENES, WS, lit, strip, with_recursive
 from narralake.sources import tables as tb
@@ -42,9 +43,7 @@ def _documents(spark, sf_dir):
 
 
 def _chunks(spark, sf_dir):
-    return _documents(spark, sf_dir).select(
-        "doc_id", F.posexplode("chunks").alias("_pos", "text")
-    ).select("doc_id", (F.col("_pos") + 1).cast("bigint").alias("chunk_idx"), "text")
+    return explode_once(_documents(spark, sf_dir), F.col("chunks"), "text", "chunk_idx", "doc_id")
 
 
 def _per_chunk(fn, name="text"):
@@ -56,26 +55,21 @@ def _per_chunk(fn, name="text"):
 
 def _per_sentence(fn):
     def query(spark, sf_dir):
-        rows = _chunks(spark, sf_dir).select(
-            "doc_id", "chunk_idx", F.posexplode(fn(tx.split_sentences(F.col("text")))).alias("_p", "text")
-        )
-        return rows.select("doc_id", "chunk_idx", (F.col("_p") + 1).cast("bigint").alias("seq"), "text")
+        pieces = fn(tx.split_sentences(F.col("text")))
+        return explode_once(_chunks(spark, sf_dir), pieces, "text", "seq", "doc_id", "chunk_idx")
 
     return query
 
 
 def adjust_opening(spark, sf_dir):
-    docs = _documents(spark, sf_dir).withColumn("chunks", nr.adjust_openings(F.col("chunks")))
-    return docs.select("doc_id", F.posexplode("chunks").alias("_pos", "text")).select(
-        "doc_id", (F.col("_pos") + 1).cast("bigint").alias("chunk_idx"), "text"
-    )
+    opened = nr.adjust_openings(F.col("chunks"))
+    return explode_once(_documents(spark, sf_dir), opened, "text", "chunk_idx", "doc_id")
 
 
 def _prepared(spark, sf_dir):
-    docs = _documents(spark, sf_dir).withColumn("p", nr.prepare_chunks(F.col("chunks")))
-    return docs.select("doc_id", F.posexplode("p").alias("_pos", "p")).select(
-        "doc_id", (F.col("_pos") + 1).cast("bigint").alias("chunk_idx"), "p.*"
-    )
+    prepared = nr.prepare_chunks(F.col("chunks"))
+    rows = explode_once(_documents(spark, sf_dir), prepared, "p", "chunk_idx", "doc_id")
+    return rows.select("doc_id", "chunk_idx", "p.*")
 
 
 def continuity_context(spark, sf_dir):
@@ -104,12 +98,11 @@ def prompt_batch(spark, sf_dir):
         ),
         _voiced(F.col("doc_id"), _chunk_array(tb.paragraphed(F.col("text")))).alias("chunks"),
     )
-    rows = docs.withColumn("p", nr.prepare_chunks(F.col("chunks"))).select(
-        "doc_id", "scene_context", F.posexplode("p").alias("_pos", "p")
-    )
+    prepared = nr.prepare_chunks(F.col("chunks"))
+    rows = explode_once(docs, prepared, "p", "chunk_idx", "doc_id", "scene_context")
     prompts = rows.select(
         "doc_id",
-        (F.col("_pos") + 1).cast("bigint").alias("chunk_idx"),
+        "chunk_idx",
         nr.prompt_text(
             F.col("p.transcript_text"), F.col("p.conditioning_note"), F.col("scene_context")
         ).alias("prompt"),

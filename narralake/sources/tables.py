@@ -8,6 +8,7 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from narralake.functions.rows import explode_once
 from narralake.functions.text import let
 from narralake.operators.ordered import with_row_number
 from narralake.operators.repair import GLYPH_REPLACEMENTS
@@ -92,7 +93,7 @@ def page_array(text: Column) -> Column:
 
 
 def explode_pages(docs: DataFrame, pages: Column, *keep: str) -> DataFrame:
-    return docs.select(*keep, F.explode(pages).alias("_p")).select(
+    return explode_once(docs, pages, "_p", "_pos", *keep).select(
         *keep, F.col("_p.page_number").alias("page_number"), F.col("_p.text").alias("text")
     )
 
