@@ -11,6 +11,7 @@ from narralake.functions import text as tx
 from narralake.functions.rows import explode_once
 from narralake.operators import chunks as ch
 from narralake.plans import chunk_sql as cs
+from narralake.plans import corpus
 from narralake.plans.views_sql import PARAGRAPHED, with_recursive
 from narralake.sources import tables as tb
 
@@ -181,6 +182,9 @@ GROUP BY d.doc_id""".replace("count(*)", "count(c.text)").replace("(text)", "(c.
     "chunk_stats_rollup": _CORPUS + f"""
 SELECT lang, source, {_STATS} FROM c JOIN (SELECT doc_id, lang, source FROM documents) USING (doc_id)
 GROUP BY ROLLUP (lang, source)""",
+    "sentence_stats": "WITH " + corpus.clean_from("documents") + f"""
+SELECT lang, count(*) AS sentences, CAST(sum(length(s)) AS BIGINT) AS chars, max(length(s)) AS longest
+FROM (SELECT lang, unnest({cs.sentences_list('text')}) AS s FROM clean) GROUP BY lang""",
     "write_chunks": _CORPUS + """
 SELECT CAST(doc_id % 16 AS INTEGER) AS bucket, count(*) AS chunks, count(DISTINCT doc_id) AS documents,
   CAST(sum(length(text)) AS BIGINT) AS chars FROM c GROUP BY doc_id % 16""",

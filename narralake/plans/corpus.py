@@ -9,6 +9,7 @@ from narralake.functions import text as tx
 from narralake.functions.rows import explode_once
 from narralake.operators import records as rec
 from narralake.operators import repair as rp
+from narralake.plans import repair_sql as rq
 from narralake.plans.views_sql import (
     DIRTY_PAGES,
     DOC_PAGES,
@@ -16,6 +17,7 @@ from narralake.plans.views_sql import (
     lit,
     strip,
     with_,
+    with_recursive,
 )
 from narralake.sources import tables as tb
 
@@ -171,7 +173,7 @@ def intake_records(spark, sf_dir):
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"),
         tb.dirty_page_array(F.col("text"), F.col("doc_id")).alias("pages"),
     )
-    return rec.intake_records(docs).drop("pages")
+    return rec.intake_records(docs).drop("pages", "repair_diff")
 
 
 def split_pages(spark, sf_dir):
@@ -306,7 +308,7 @@ CLEAN_STEPS = f"""
   clean AS (SELECT * EXCLUDE text, {strip(_BLANKS.format(_SPACES.format('text')))} AS text FROM c3)"""
 
 
-def _clean_from(src: str) -> str:
+def clean_from(src: str) -> str:
     return CLEAN_STEPS.replace("{src}", src)
 
 
@@ -328,72 +330,21 @@ def _glyph_steps(src: str) -> str:
     return ",\n".join(ctes)
 
 
-_DIGIT = "[۰-۹0-9٠-٩]"
-_TO_WEST = "translate({0}, '۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩', '01234567890123456789')"
-_TO_PERSIAN = "translate({0}, '0123456789٠١٢٣٤٥٦٧٨٩', '۰۱۲۳۴۵۶۷۸۹۰۱۲۳۴۵۶۷۸۹')"
+_RVIEWS = with_recursive(DOC_PAGES, DIRTY_PAGES, rq.start("d", "dirty_pages")).rstrip() + ","
 
 
-def _fixed_year(tok: str) -> str:
-    west = _TO_WEST.format(tok)
-    back = f"reverse({west})"
-    return (
-        f"CASE WHEN length({tok}) <> 4 THEN NULL "
-        f"WHEN {west} BETWEEN '1900' AND '2099' THEN nullif({_TO_PERSIAN.format(tok)}, {tok}) "
-        f"WHEN {back} BETWEEN '1900' AND '2099' THEN {_TO_PERSIAN.format(back)} END"
-    )
+def _stage(stage) -> str:
+    return _RVIEWS + stage("r", "d") + f"""
+SELECT doc_id, page_number, text, CAST({rq.FIX_COUNT} AS BIGINT) AS fix_count FROM r"""
 
 
-_YEAR_SQL = _VIEWS.rstrip() + f""",
-tok AS (SELECT doc_id, page_number, text, regexp_extract_all(text, '{_DIGIT}+') AS hits,
-               regexp_split_to_array(text, '{_DIGIT}+') AS pieces FROM dirty_pages),
-fixed AS (SELECT *, list_transform(hits, lambda h: {_fixed_year('h')}) AS ys FROM tok)
-SELECT doc_id, page_number,
-       CASE WHEN len(hits) = 0 THEN text ELSE array_to_string(list_transform(pieces, lambda p, i:
-         CASE WHEN i = 1 THEN '' ELSE coalesce(ys[i - 1], hits[i - 1]) END || p), '') END AS text,
-       CAST(len(list_filter(ys, lambda y: y IS NOT NULL)) AS BIGINT) AS fix_count
-FROM fixed"""
-
-_LETTERS = r"length(regexp_replace({0}, '[^\p{{L}}\x{{0600}}-\x{{06FF}}\x{{0750}}-\x{{077F}}]', '', 'g'))"
-_PERSIAN = r"length(regexp_replace({0}, '[^\x{{0600}}-\x{{06FF}}\x{{0750}}-\x{{077F}}]', '', 'g'))"
-
-
-def _heavy(e: str) -> str:
-    return f"({_LETTERS.format(e)} > 0 AND {_PERSIAN.format(e)} * 5 >= {_LETTERS.format(e)} * 2)"
-
-
-_LETTER_CLASS = r"[\p{L}\p{N}\x{0600}-\x{06FF}\x{0750}-\x{077F}]"
-# Joinable lines as gaps and islands: within a run, every second line joins.
-_BROKEN_SQL = _VIEWS.rstrip() + rf""",
-ln AS (SELECT doc_id, page_number, i, ls[i] AS x FROM (
-  SELECT doc_id, page_number, ls, unnest(range(1, len(ls) + 1)) AS i FROM (
-    SELECT doc_id, page_number, string_split(text, chr(10)) AS ls FROM dirty_pages))),
-pr AS (SELECT *, {strip('x')} AS u,
-  lead(x) OVER (PARTITION BY doc_id, page_number ORDER BY i) AS nx FROM ln),
-pt AS (SELECT *, {strip('nx')} AS low, regexp_extract(u, '[^ \t\n\r\f\v]+$') AS last FROM pr),
-jn AS (SELECT *, coalesce(u <> '' AND low <> '' AND length(low) <= 24 AND length(last) <= 32
-  AND NOT contains(low, ' ') AND NOT {_ENDS.format('u')} AND NOT {_BULLET.format('low')}
-  AND NOT starts_with(u, '--- Page') AND NOT regexp_full_match(low, '{_DIGIT}')
-  AND NOT regexp_full_match(last, '{_DIGIT}') AND regexp_matches(last, '{_LETTER_CLASS}$')
-  AND regexp_matches(low, '^{_LETTER_CLASS}') AND {_heavy('low')} AND {_heavy('u')}, false) AS j
-  FROM pt),
-runs AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, page_number, j ORDER BY i) AS run FROM jn),
-pos AS (SELECT *, j AND (row_number() OVER (PARTITION BY doc_id, page_number, j, run ORDER BY i)) % 2 = 1
-  AS joins FROM runs),
-kept AS (SELECT *, coalesce(lag(joins) OVER (PARTITION BY doc_id, page_number ORDER BY i), false) AS gone FROM pos)
-SELECT doc_id, page_number,
-  string_agg(CASE WHEN joins THEN
-      CASE WHEN regexp_matches(u, '{WS}') THEN regexp_replace(u, '{WS}+', ' ', 'g')
-           ELSE rtrim(x, ' ' || chr(9) || chr(13)) END || ltrim(nx, ' ' || chr(9) || chr(13))
-    ELSE x END, chr(10) ORDER BY i) FILTER (NOT gone) AS text,
-  CAST(count(*) FILTER (joins) AS BIGINT) AS fix_count
-FROM kept GROUP BY doc_id, page_number"""
-
-_FULL = _VIEWS.rstrip() + "," + _clean_from("dirty_pages") + """,
+_FULL = with_recursive(DOC_PAGES, DIRTY_PAGES).rstrip() + "," + clean_from("dirty_pages") + """,
 full_docs AS (SELECT doc_id AS intake_id, count(*) AS page_count,
   coalesce(string_agg('--- Page ' || page_number || ' ---' || chr(10) || text, chr(10) || chr(10)
     ORDER BY page_number) FILTER (text <> ''), '') AS full_text
   FROM clean GROUP BY doc_id)"""
 
+_BODY = "'--- Page ' || page_number || ' ---' || chr(10) || text"
 _MARK = r"(?m)^--- Page \d+ ---[ \t\n\r\f\v]*$"
 
 ORACLES = {
@@ -404,9 +355,9 @@ ORACLES = {
     "unwrap_lines": _page_sql(_unwrap("text")),
     "collapse_spaces": _page_sql(_SPACES.format("text")),
     "collapse_blank_lines": _page_sql(_BLANKS.format("text")),
-    "clean_corpus": _VIEWS.rstrip() + "," + _clean_from("dirty_pages")
+    "clean_corpus": _VIEWS.rstrip() + "," + clean_from("dirty_pages")
     + "\nSELECT doc_id, page_number, text FROM clean",
-    "clean_corpus_metrics": _VIEWS.rstrip() + "," + _clean_from(
+    "clean_corpus_metrics": _VIEWS.rstrip() + "," + clean_from(
         "(SELECT *, text AS raw FROM dirty_pages)"
     ) + """
 SELECT lang, source, count(*) AS pages, CAST(count(*) FILTER (raw <> text) AS BIGINT) AS changed,
@@ -422,16 +373,33 @@ SELECT *, CASE WHEN lower(name) NOT LIKE '%.pdf' THEN 'not a pdf' WHEN size = 0
 FROM (SELECT page_id,
         'file-' || page_id || CASE page_id % 4 WHEN 1 THEN '.PDF' WHEN 2 THEN '.txt' ELSE '.pdf' END AS name,
         CAST(length(html) * (page_id % 5) * 10000 AS BIGINT) AS size FROM pages)""",
-    "glyph_repair": _VIEWS.rstrip() + "," + _glyph_steps("dirty_pages")
-    + "\nSELECT doc_id, page_number, t AS text, CAST(len(ks) AS BIGINT) AS fix_count FROM glyphed",
-    "join_broken_words": _BROKEN_SQL,
+    "glyph_repair": _stage(rq.glyphs),
+    "join_broken_words": _stage(rq.broken_words),
+    "join_paragraph_lines": _stage(rq.paragraph_lines),
+    "year_join_lines": _stage(rq.year_join_lines),
+    "year_after_context": _stage(rq.year_after_context),
+    "year_inline_join": _stage(rq.year_inline_join),
+    "year_reverse_fix": _stage(rq.year_reverse_fix),
+    "repair_corpus": with_recursive(DOC_PAGES, DIRTY_PAGES, rq.repair("r", "dirty_pages")) + f"""
+SELECT doc_id, page_number, text, CAST({rq.FIX_COUNT} AS BIGINT) AS fix_count FROM r""",
+    "repair_change_counts": with_recursive(DOC_PAGES, DIRTY_PAGES, rq.repair("r", "dirty_pages")) + """
+SELECT kind, CAST(n AS BIGINT) AS changes FROM (
+  SELECT 'REPLACED' AS kind, sum(replaced) AS n FROM r
+  UNION ALL SELECT 'YEAR_FIX', sum(years) FROM r
+  UNION ALL SELECT 'JOINED_LINE', sum(joined_lines) FROM r
+  UNION ALL SELECT 'JOINED_PARAGRAPH', sum(joined_paragraphs) FROM r) WHERE n > 0""",
+    "intake_records": _FULL.replace("full_docs AS", "full_clean AS") + "," + rq.repair("r", "clean") + f"""
+SELECT doc_id AS intake_id, 'doc-' || doc_id || '.pdf' AS filename, count(*) AS page_count,
+  coalesce(string_agg({_BODY}, chr(10) || chr(10) ORDER BY page_number) FILTER (text <> ''), '') AS full_text,
+  left(coalesce(string_agg({_BODY}, chr(10) || chr(10) ORDER BY page_number) FILTER (text <> ''), ''), 12000) AS preview_text,
+  sum({rq.FIX_COUNT}) > 0 AS repair_applied, CAST(sum({rq.FIX_COUNT}) AS BIGINT) AS repair_fix_count
+FROM r GROUP BY doc_id""",
     "persian_ratio": _VIEWS + f"""SELECT doc_id, page_number,
-  CAST({_LETTERS.format('text')} AS BIGINT) AS letters,
-  CAST({_PERSIAN.format('text')} AS BIGINT) AS persian,
-  {_heavy('text')} AS persian_heavy FROM dirty_pages""",
-    "year_reverse_fix": _YEAR_SQL,
-    "digits_to_western": _page_sql(_TO_WEST.format("text")),
-    "digits_to_persian": _page_sql(_TO_PERSIAN.format("text")),
+  CAST({rq.LETTERS.format('text')} AS BIGINT) AS letters,
+  CAST({rq.PERSIAN.format('text')} AS BIGINT) AS persian,
+  {rq.heavy('text')} AS persian_heavy FROM dirty_pages""",
+    "digits_to_western": _page_sql(rq.TO_WEST.format("text")),
+    "digits_to_persian": _page_sql(rq.TO_PERSIAN.format("text")),
     "repair_change_log": _VIEWS.rstrip() + "," + _glyph_steps("dirty_pages") + """
 SELECT doc_id, page_number, CAST(i AS BIGINT) AS seq, 'REPLACED' AS kind, ks[i] AS before, vs[i] AS after
 FROM (SELECT *, unnest(range(1, len(ks) + 1)) AS i FROM glyphed)""",
