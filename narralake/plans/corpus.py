@@ -424,14 +424,16 @@ FROM (SELECT *, unnest(range(1, len(nums) + 1)) AS i FROM parts)
 UNION ALL
 SELECT intake_id, CAST(p AS INTEGER) AS page_number, t AS text
 FROM (SELECT *, unnest(range(1, page_count + 1)) AS p FROM parts WHERE len(nums) = 0)""",
-    "edit_text": _FULL + """,
-firsts AS (SELECT doc_id, text FROM clean WHERE page_number = 1)
+    "edit_text": _FULL + rf""",
+firsts AS (SELECT doc_id, text FROM clean WHERE page_number = 1),
+edits AS (SELECT doc_id, t AS new_text, len(regexp_extract_all(t, '{_MARK}')) AS marks,
+    regexp_split_to_array(t, '{_MARK}') AS bodies
+  FROM (SELECT doc_id, 'EDITED ' || text AS t FROM documents WHERE doc_id % 3 = 0))
 SELECT f.intake_id, page_count, coalesce(new_text, full_text) AS full_text,
-       left(coalesce(new_text, full_text), 12000) AS preview_text, page_count AS pages,
-       coalesce(new_text, p.text) AS first_page
-FROM full_docs f
-LEFT JOIN (SELECT doc_id, 'EDITED ' || text AS new_text FROM documents WHERE doc_id % 3 = 0) e
-  ON e.doc_id = f.intake_id
+       left(coalesce(new_text, full_text), 12000) AS preview_text,
+       CASE WHEN marks > 0 THEN marks ELSE page_count END AS pages,
+       CASE WHEN marks > 0 THEN {strip('bodies[2]')} ELSE coalesce(new_text, p.text) END AS first_page
+FROM full_docs f LEFT JOIN edits e ON e.doc_id = f.intake_id
 JOIN firsts p ON p.doc_id = f.intake_id""",
     "strip_page_markers": _FULL + rf"""
 SELECT intake_id, regexp_replace(full_text, '(?m)^--- Page \d+ ---[ \t\n\r\f\v]*\n?', '', 'g') AS text

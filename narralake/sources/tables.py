@@ -210,8 +210,9 @@ def _k() -> Column:
     return F.get_json_object("props", "$.k").cast("bigint")
 
 
-def attempts_from(events: DataFrame) -> DataFrame:
+def attempts_from(events: DataFrame, *keep: str) -> DataFrame:
     return events.select(
+        *keep,
         (F.col("user_id") % 20).alias("run_id"),
         F.col("event_id").alias("seq"),
         F.concat(F.lit("tok"), (_k() % 4 + 1).cast("string")).alias("token"),
