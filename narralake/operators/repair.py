@@ -18,6 +18,7 @@ from narralake.functions.text import (
     PERSIAN,
     WS,
     WS_RUN,
+    append,
     change,
     digits_to_persian,
     digits_to_western,
@@ -59,6 +60,10 @@ MAX_BROKEN_HEAD = 32
 MAX_PARAGRAPH_PIECE = 120
 # -----------------------------------------------------------------------------
 
+# Joined-line counts as printable characters, written in strips.
+CODE_BASE = 48
+STRIP_LENGTH = 512
+
 # Line anchors that know "\n" only, whatever else the engine calls a line end.
 _BOL, _EOL = r"(?<![^\n])", r"(?![^\n])"
 LINE_YEAR = rf"{_BOL}[{DIGITS}]{{1,2}}[{WS}]*\n[{WS}]*[{DIGITS}]{{2,3}}[{WS}]*{_EOL}"
@@ -291,8 +296,22 @@ def join_broken_words(c: Column) -> Column:
     )
 
 
-def _fold_paragraph(lines: Column) -> Column:
-    """Join lines to the piece before; the grown piece feeds the next test."""
+def _joined_counts(lines: Column) -> Column:
+    """For each line, how many lines its piece had before it (0: a new piece).
+
+    The grown piece feeds the next test, so this is a fold.  It writes one
+    character per line, in strips of bounded length, so that its cost stays
+    linear for a text of any number of lines.  A piece has at most
+    ``MAX_PARAGRAPH_PIECE`` characters before it grows, which bounds the count.
+    """
+
+    def state(strips: Column, strip_: Column, prev: Column, count: Column) -> Column:
+        return F.struct(
+            strips.alias("strips"),
+            strip_.alias("strip"),
+            prev.alias("prev"),
+            count.cast("int").alias("count"),
+        )
 
     def step(acc: Column, cur: Column) -> Column:
         prev = acc["prev"]
@@ -304,23 +323,59 @@ def _fold_paragraph(lines: Column) -> Column:
             & is_persian_heavy(prev)
             & is_persian_heavy(cur)
         )
-        both = F.concat(prev, F.lit(" "), cur)
-        joined = change("JOINED_PARAGRAPH", F.concat(prev, F.lit(" | "), cur), both)
-        return F.when(
-            joins,
-            state(acc["done"], both, F.concat(acc["changes"], F.array(joined))),
-        ).otherwise(state(F.concat(acc["done"], F.array(prev)), cur, acc["changes"]))
-
-    def state(done: Column, prev: Column, changes: Column) -> Column:
-        return F.struct(done.alias("done"), prev.alias("prev"), changes.alias("changes"))
-
-    return F.aggregate(
+        grown = F.when(
+            joins, F.struct(F.concat(prev, F.lit(" "), cur).alias("prev"), (acc["count"] + 1).alias("count"))
+        ).otherwise(F.struct(cur.alias("prev"), F.lit(0).alias("count")))
+
+        def write(g: Column) -> Column:
+            code = F.chr(g["count"] + CODE_BASE)
+            full = F.length(acc["strip"]) >= STRIP_LENGTH
+            return F.when(
+                full, state(append(acc["strips"], acc["strip"]), code, g["prev"], g["count"])
+            ).otherwise(
+                state(acc["strips"], F.concat(acc["strip"], code), g["prev"], g["count"])
+            )
+
+        return let(grown, write)
+
+    codes = F.aggregate(
         F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))),
-        state(empty_strings(), F.coalesce(F.get(lines, F.lit(0)), F.lit("")), no_changes()),
+        state(empty_strings(), F.lit(chr(CODE_BASE)), F.get(lines, F.lit(0)), F.lit(0)),
         step,
-        lambda acc: _result(
-            F.array_join(F.concat(acc["done"], F.array(acc["prev"])), "\n"), acc["changes"]
-        ),
+        lambda acc: F.array_join(append(acc["strips"], acc["strip"]), ""),
+    )
+    return F.transform(F.split(codes, "", -1), lambda k: F.ascii(k) - CODE_BASE)
+
+
+def _join_paragraph(lines: Column) -> Column:
+    """Lines of one paragraph to ``struct(text, changes)``."""
+
+    def build(counts: Column) -> Column:
+        glued = F.transform(
+            lines,
+            lambda x, i: F.when(i == 0, x)
+            .when(F.get(counts, i) == 0, F.concat(F.lit("\n"), x))
+            .otherwise(F.concat(F.lit(" "), x)),
+        )
+
+        def joined(x: Column, i: Column) -> Column:
+            n = F.get(counts, i)
+            return let(
+                F.array_join(F.slice(lines, i - n + 1, n), " "),
+                lambda prev: change(
+                    "JOINED_PARAGRAPH",
+                    F.concat(prev, F.lit(" | "), x),
+                    F.concat(prev, F.lit(" "), x),
+                ),
+            )
+
+        changes = F.transform(
+            lines, lambda x, i: F.when(F.get(counts, i) > 0, joined(x, i))
+        )
+        return _result(F.array_join(glued, ""), F.array_compact(changes))
+
+    return F.when(F.size(lines) > 1, let(_joined_counts(lines), build)).otherwise(
+        _result(F.coalesce(F.get(lines, F.lit(0)), F.lit("")), no_changes())
     )
 
 
@@ -329,7 +384,7 @@ def join_paragraph_lines(c: Column) -> Column:
         return F.filter(F.transform(F.split(p, "\n", -1), strip), lambda x: x != "")
 
     folded = F.transform(
-        F.split(c, PARAGRAPH_BREAK, -1), lambda p: let(lines_of(p), _fold_paragraph)
+        F.split(c, PARAGRAPH_BREAK, -1), lambda p: let(lines_of(p), _join_paragraph)
     )
     return let(
         folded,
