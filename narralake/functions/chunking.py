@@ -2,8 +2,7 @@
 
 A document is one row, so the ordered passes below are folds over that row's
 own array of pieces: no explode, no shuffle, no regrouping.  Each fold holds
-the piece under construction as a string (bounded by the chunk limits) and
-appends to its output only when a piece is finished.
+the piece under construction as a string (bounded by the chunk limits).
 """
 
 from __future__ import annotations
@@ -14,8 +13,8 @@ from pyspark.sql import functions as F
 from narralake.functions.text import (
     WS,
     append,
-    empty_strings,
     ends_sentence,
+    fold_strings,
     let,
     split_paragraphs,
     split_sentences,
@@ -83,8 +82,12 @@ def _open(done: Column, cur: Column) -> Column:
     return F.struct(done.alias("done"), cur.cast("string").alias("cur"))
 
 
-def _start() -> Column:
-    return _open(empty_strings(), F.lit(None))
+def _nothing() -> Column:
+    return F.lit(None).cast("string")
+
+
+def _fold(items: Column, step) -> Column:
+    return fold_strings(items, {"cur": _nothing()}, step, _close)
 
 
 def _close(acc: Column) -> Column:
@@ -113,7 +116,7 @@ def pack_units(units: Column, soft_max: int = SOFT_MAX, hard_max: int = HARD_MAX
             .otherwise(_open(append(acc["done"], acc["cur"]), unit))
         )
 
-    packed = F.aggregate(units, _start(), step, _close)
+    packed = _fold(units, step)
     return F.flatten(
         F.transform(
             packed,
@@ -142,7 +145,7 @@ def merge_small(chunks: Column, soft_min: int = SOFT_MIN, hard_max: int = HARD_M
             .otherwise(_open(append(acc["done"], acc["cur"]), chunk))
         )
 
-    return F.aggregate(chunks, _start(), step, _close)
+    return _fold(chunks, step)
 
 
 def pack_sentences(c: Column, cap: int) -> Column:
@@ -157,7 +160,7 @@ def pack_sentences(c: Column, cap: int) -> Column:
             .otherwise(_open(append(acc["done"], acc["cur"]), s))
         )
 
-    return F.aggregate(split_sentences(c), _start(), step, _close)
+    return _fold(split_sentences(c), step)
 
 
 def repack_oversized(chunks: Column, cap: int = DEFAULT_CAP) -> Column:
@@ -203,8 +206,7 @@ def merge_validation_small(
             all_chunks,
             lambda x, i: F.struct(x.alias("text"), F.get(all_chunks, i + 1).alias("nxt")),
         )
-        start = state(empty_strings(), F.lit(None), F.lit(None))
-        return F.aggregate(items, start, step, _close)
+        return fold_strings(items, {"cur": _nothing(), "carry": _nothing()}, step, _close)
 
     return let(chunks, run)
 
@@ -254,7 +256,7 @@ def fix_incomplete_endings(chunks: Column, cap: int = DEFAULT_CAP) -> Column:
             .otherwise(let(pull(acc["cur"], nxt), pulled))
         )
 
-    return F.aggregate(chunks, _start(), step, _close)
+    return _fold(chunks, step)
 
 
 def validate_chunks(chunks: Column, cap: int = DEFAULT_CAP) -> Column:

@@ -16,7 +16,7 @@ from narralake.functions.text import (
     WS_RUN,
     append,
     collapse_spaces,
-    empty_strings,
+    fold_strings,
     is_blank,
     let,
     normalize_newlines,
@@ -167,7 +167,7 @@ def merge_short_fragments(sentences: Column, floor: int = MIN_FRAGMENT_WORDS) ->
             .otherwise(append(kept, F.concat(last, F.lit(" "), acc["carry"])))
         )
 
-    return F.aggregate(sentences, state(empty_strings(), F.lit(None)), step, finish)
+    return fold_strings(sentences, {"carry": F.lit(None).cast("string")}, step, finish)
 
 
 def stabilize_punctuation(c: Column) -> Column:

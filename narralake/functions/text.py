@@ -220,6 +220,38 @@ def append(done: Column, item: Column) -> Column:
     return F.concat(done, F.array(item))
 
 
+FOLD_BLOCK = 512
+
+
+def fold_strings(
+    items: Column,
+    carried: dict[str, Column],
+    step: Callable[[Column, Column], Column],
+    finish: Callable[[Column], Column],
+) -> Column:
+    """Ordered fold whose state is a list ``done`` and a few carried fields.
+
+    Spark copies the state at every step, so a long ``done`` would make the fold
+    quadratic in the size of the text.  The items are therefore taken in blocks:
+    inside a block ``done`` starts empty, and it is added to the outer list once
+    per block.  ``step`` may append to ``done`` but must not read it.
+    """
+
+    def state(done: Column, fields) -> Column:
+        return F.struct(done.alias("done"), *[fields[k].alias(k) for k in carried])
+
+    def take_block(acc: Column, block: Column) -> Column:
+        inner = F.aggregate(block, state(empty_strings(), acc), step)
+        return let(inner, lambda r: state(F.concat(acc["done"], r["done"]), r))
+
+    def run(a: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(a), F.lit(1)), F.lit(FOLD_BLOCK))
+        blocks = F.transform(starts, lambda i: F.slice(a, i, F.lit(FOLD_BLOCK)))
+        return F.aggregate(blocks, state(empty_strings(), carried), take_block, finish)
+
+    return let(items, run)
+
+
 def rewrite_matches(
     c: Column, pattern: str, resolve: Callable[[Column], Column]
 ) -> Column:
