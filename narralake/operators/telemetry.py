@@ -22,8 +22,9 @@ KEPT_SWITCHES = 10
 SNIPPET_CHARS = 120
 ACTIVE_STATES = ("generating", "waiting_quota", "merging", "cancelling")
 USES_TOKEN = ("calling", "switched")
-SETTLES_WAIT = ("waiting", "switched", "synced", "ended")
-SETTLES_FAILURE = ("quota_failed", "success")
+WAITING, ENDED = "waiting", "ended"
+ENDS_WAIT = ("switched", "synced", "ended")
+FAILED, SUCCEEDED = "quota_failed", "success"
 ESTIMATING = "estimating..."
 RATE_LIMIT_MARKS = ("429", "RESOURCE_EXHAUSTED")
 QUOTA_MARKS = ("429", "RESOURCE_EXHAUSTED", "QUOTA")
@@ -210,20 +211,37 @@ def _seq_if(states: Sequence[str]) -> Column:
 
 
 def token_marks(attempts: DataFrame) -> DataFrame:
-    """Last positions that matter, per run and token."""
+    """Last positions that matter, per run and token.
+
+    Positions are plain maxima, so this is a hash aggregation that shrinks the
+    log on the map side.
+    """
     return attempts.groupBy("run_id", "token").agg(
-        F.max_by("status", _seq_if(SETTLES_FAILURE)).alias("outcome"),
-        F.max(_seq_if(SETTLES_FAILURE)).alias("outcome_seq"),
+        F.max(_seq_if((FAILED,))).alias("failed_seq"),
+        F.max(_seq_if((SUCCEEDED,))).alias("success_seq"),
         F.max(_seq_if(USES_TOKEN)).alias("used_seq"),
-        F.max(_seq_if(SETTLES_WAIT)).alias("wait_seq"),
-        F.max_by("status", _seq_if(SETTLES_WAIT)).alias("wait_status"),
-        F.max(_seq_if(("ended",))).alias("ended_seq"),
+        F.max(_seq_if((WAITING,))).alias("waiting_seq"),
+        F.max(_seq_if(ENDS_WAIT)).alias("settled_seq"),
+        F.max(_seq_if((ENDED,))).alias("ended_seq"),
         F.max("seq").alias("last_seq"),
     )
 
 
+def merge_marks(marks: DataFrame) -> DataFrame:
+    """One row per run and token out of several partial ones."""
+    return marks.groupBy("run_id", "token").agg(
+        *[F.max(c).alias(c) for c in marks.columns if c not in ("run_id", "token")]
+    )
+
+
+def _after(late: Column, early: Column) -> Column:
+    return F.coalesce(late, F.lit(-1)) > F.coalesce(early, F.lit(-1))
+
+
 def failed_tokens(marks: DataFrame) -> DataFrame:
-    return marks.where(F.col("outcome") == "quota_failed").select("run_id", "token")
+    """Tokens whose last outcome is a quota failure."""
+    failed = _after(F.col("failed_seq"), F.col("success_seq"))
+    return marks.where(failed).select("run_id", "token")
 
 
 def run_state(marks: DataFrame, first_token: str) -> DataFrame:
@@ -232,10 +250,8 @@ def run_state(marks: DataFrame, first_token: str) -> DataFrame:
     """
     return marks.groupBy("run_id").agg(
         F.coalesce(F.max_by("token", "used_seq"), F.lit(first_token)).alias("active_token"),
-        F.coalesce(F.max_by("wait_status", "wait_seq") == "waiting", F.lit(False)).alias(
-            "pool_waiting"
-        ),
-        (F.coalesce(F.max("ended_seq"), F.lit(-1)) < F.max("last_seq")).alias("generation_active"),
+        _after(F.max("waiting_seq"), F.max("settled_seq")).alias("pool_waiting"),
+        _after(F.max("last_seq"), F.max("ended_seq")).alias("generation_active"),
     )
 
 
@@ -309,7 +325,7 @@ def attempt_summary(attempts: DataFrame, *by: str) -> DataFrame:
     """Successes, failures and minutes between the first and last event."""
     span = F.max("epoch") - F.min("epoch")
     return attempts.groupBy(*by).agg(
-        F.count_if(F.col("status") == "success").alias("successful"),
-        F.count_if(F.col("status") == "quota_failed").alias("failed"),
+        F.count_if(F.col("status") == SUCCEEDED).alias("successful"),
+        F.count_if(F.col("status") == FAILED).alias("failed"),
         F.round(span / 60, 2).alias("total_minutes"),
     )

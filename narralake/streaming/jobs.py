@@ -47,8 +47,8 @@ USAGE = "run_id bigint, seq bigint, token string, chunk_id bigint, status string
 SWITCHES = "run_id bigint, seq bigint, chunk_id bigint, from_token string, to_token string"
 LAST_SWITCH = "run_id bigint, seq bigint, token string"
 MARKS = (
-    "run_id bigint, token string, outcome string, outcome_seq bigint, used_seq bigint, "
-    "wait_seq bigint, wait_status string, ended_seq bigint, last_seq bigint"
+    "run_id bigint, token string, failed_seq bigint, success_seq bigint, used_seq bigint, "
+    "waiting_seq bigint, settled_seq bigint, ended_seq bigint, last_seq bigint"
 )
 PARTS = {"usage": USAGE, "switches": SWITCHES, "last_switch": LAST_SWITCH, "marks": MARKS}
 
@@ -61,17 +61,7 @@ def _version(spark: SparkSession, root: str, part: str, version: int) -> DataFra
 
 
 def merge_marks(old: DataFrame, attempts: DataFrame) -> DataFrame:
-    new = tm.token_marks(attempts)
-    both = old.unionByName(new)
-    return both.groupBy("run_id", "token").agg(
-        F.max_by("outcome", "outcome_seq").alias("outcome"),
-        F.max("outcome_seq").alias("outcome_seq"),
-        F.max("used_seq").alias("used_seq"),
-        F.max("wait_seq").alias("wait_seq"),
-        F.max_by("wait_status", "wait_seq").alias("wait_status"),
-        F.max("ended_seq").alias("ended_seq"),
-        F.max("last_seq").alias("last_seq"),
-    )
+    return tm.merge_marks(old.unionByName(tm.token_marks(attempts)))
 
 
 def merge_usage(old: DataFrame, attempts: DataFrame) -> DataFrame:
