@@ -123,11 +123,15 @@ def unwrap_lines(c: Column) -> Column:
     becomes a space unless a neighbour line is blank, the upper line ends a
     sentence, or the lower one is a list item.
     """
-    stripped = F.array_join(F.transform(F.split(c, "\n", -1), strip), "\n")
-    joined = F.regexp_replace(
-        stripped, rf"\n(?<=[^\n{LINE_END_CLASS}]\n)(?=[^\n{BULLET_CLASS}])", " "
-    )
-    return F.when(F.contains(c, F.lit("\n")), joined).otherwise(c)
+
+    def join(t: Column) -> Column:
+        stripped = F.array_join(F.transform(F.split(t, "\n", -1), strip), "\n")
+        joined = F.regexp_replace(
+            stripped, rf"\n(?<=[^\n{LINE_END_CLASS}]\n)(?=[^\n{BULLET_CLASS}])", " "
+        )
+        return F.when(F.contains(t, F.lit("\n")), joined).otherwise(t)
+
+    return let(c, join)
 
 
 def collapse_spaces(c: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Chunk tables: building, preview, statistics and storage."""
+"""Chunk tables: building, preview and statistics."""
 
 from __future__ import annotations
 
@@ -9,8 +9,6 @@ from narralake.functions import chunking as ck
 from narralake.functions.rows import explode_once
 from narralake.functions.text import snippet
 
-BUCKETS = 16
-
 
 def explode_chunks(docs: DataFrame, chunks: Column, *keep: str) -> DataFrame:
     """One row per element, numbered from 1 within its document."""
@@ -101,11 +99,3 @@ def document_stats(docs: DataFrame, cap: int | None = None) -> DataFrame:
         count(lambda x: x < ck.SMALL_CHUNK).alias("count_small_chunks"),
         count(lambda x: x > limit).alias("count_large_chunks"),
     )
-
-
-def write_chunks(chunks: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
-    """Store a chunk table by document bucket; never a file per chunk."""
-    by_bucket = F.pmod(F.col("doc_id"), F.lit(buckets)).cast("int")
-    chunks.withColumn("bucket", by_bucket).write.mode("overwrite").partitionBy(
-        "bucket"
-    ).parquet(folder)

@@ -54,6 +54,7 @@ GLYPH_REPLACEMENTS = {
     "اع)م": "اعلام",
     "عُرفی": "عرفی",
 }
+KINDS = ("REPLACED", "YEAR_FIX", "JOINED_LINE", "JOINED_PARAGRAPH")
 FIRST_YEAR, LAST_YEAR = "1900", "2099"
 MAX_BROKEN_TAIL = 24
 MAX_BROKEN_HEAD = 32
@@ -431,6 +432,21 @@ def change_log(repaired: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def _count_kind(kind: str) -> Column:
+    hits = F.filter("changes", lambda c: c["kind"] == kind)
+    return F.size(hits).cast("bigint").alias(kind)
+
+
+def fix_counts(repaired: DataFrame, *by: str) -> DataFrame:
+    """Fixes by kind.  Pages are reduced to counts before the shuffle."""
+    sized = repaired.select(*by, *[_count_kind(kind) for kind in KINDS])
+    counts = sized.groupBy(*by).agg(*[F.sum(kind).alias(kind.lower()) for kind in KINDS])
+    total = sum((F.col(kind.lower()) for kind in KINDS), F.lit(0))
+    return counts.withColumn("fixes", total.cast("bigint")).withColumn(
+        "repair_applied", F.col("fixes") > 0
+    )
+
+
 def diff_text(changes: Column) -> Column:
     """Readable diff of a change list."""
     blocks = F.transform(

@@ -14,6 +14,7 @@ from narralake.plans import chunk_sql as cs
 from narralake.plans import corpus
 from narralake.plans.views_sql import PARAGRAPHED, with_recursive
 from narralake.sources import tables as tb
+from narralake.sources.sinks import write_by_bucket
 
 
 def _docs(spark, sf_dir):
@@ -84,7 +85,7 @@ def chunk_stats_rollup(spark, sf_dir):
 def write_chunks(spark, sf_dir):
     """Write the chunk table and read it back by document bucket."""
     folder = os.path.join(tb.scratch_dir(spark, "chunks"), "table")
-    ch.write_chunks(corpus_chunks(spark, sf_dir), folder)
+    write_by_bucket(corpus_chunks(spark, sf_dir), "doc_id", folder)
     stored = spark.read.parquet(folder)
     return stored.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("chunks"),

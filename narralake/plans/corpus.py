@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ from narralake.plans.views_sql import (
     with_recursive,
 )
 from narralake.sources import tables as tb
+from narralake.sources.sinks import write_by_bucket
 
 KEYS = ["doc_id", "page_number"]
 
@@ -142,15 +145,8 @@ def repair_audit(spark, sf_dir):
 
 
 def fix_counts(spark, sf_dir):
-    """Fixes of a document by kind, for the glyph step."""
-    fixed = tb.documents(spark, sf_dir).select(
-        "doc_id", rp.glyph_repair(tb.dirty(F.col("text"), F.col("doc_id"))).alias("r")
-    )
-    return fixed.select(
-        "doc_id",
-        F.size("r.changes").cast("bigint").alias("fixes"),
-        (F.size("r.changes") > 0).alias("repair_applied"),
-    )
+    """Fixes of a document by kind."""
+    return rp.fix_counts(repaired_pages(spark, sf_dir), "doc_id")
 
 
 def _doc_records(spark, sf_dir):
@@ -176,6 +172,20 @@ def intake_records(spark, sf_dir):
     return rec.intake_records(docs).drop("pages", "repair_diff")
 
 
+def write_records(spark, sf_dir):
+    """Records with nested pages stored as JSON by bucket and read back."""
+    folder = os.path.join(tb.scratch_dir(spark, "records"), "table")
+    write_by_bucket(_doc_records(spark, sf_dir), "intake_id", folder, "json")
+    schema = (
+        "intake_id long, pages array<struct<page_number:int,text:string>>, full_text string, "
+        "page_count long"
+    )
+    stored = spark.read.schema(schema).json(folder)
+    return stored.select(
+        "intake_id", "page_count", "full_text", F.size("pages").cast("bigint").alias("pages")
+    )
+
+
 def split_pages(spark, sf_dir):
     """Pages out of full texts; every tenth text has no markers."""
     records = _doc_records(spark, sf_dir).withColumn(
@@ -262,6 +272,7 @@ QUERIES = {
     "fix_counts": fix_counts,
     "assemble_full_text": assemble_full_text,
     "intake_records": intake_records,
+    "write_records": write_records,
     "split_pages": split_pages,
     "edit_text": edit_text,
     "strip_page_markers": strip_page_markers,
@@ -408,12 +419,15 @@ SELECT doc_id, page_number, text AS before_text, t AS after_text,
   CASE WHEN len(ks) = 0 THEN '(no changes applied)' ELSE array_to_string(list_transform(ks, lambda k, i:
     '[REPLACED]' || chr(10) || k || chr(10) || '→ ' || vs[i]), chr(10) || chr(10)) END AS diff
 FROM glyphed""",
-    "fix_counts": with_(
-        DOC_PAGES, DIRTY_PAGES.replace("dirty_pages AS", "dirty_docs AS").replace(
-            "page_number, ", "").replace("FROM doc_pages", "FROM documents"),
-        _glyph_steps("dirty_docs"),
-    ) + "SELECT doc_id, CAST(len(ks) AS BIGINT) AS fixes, len(ks) > 0 AS repair_applied FROM glyphed",
+    "fix_counts": with_recursive(DOC_PAGES, DIRTY_PAGES, rq.repair("r", "dirty_pages")) + f"""
+SELECT doc_id, CAST(sum({rq.FIX_COUNT}) AS BIGINT) AS fixes, sum({rq.FIX_COUNT}) > 0 AS repair_applied,
+  CAST(sum(replaced) AS BIGINT) AS replaced, CAST(sum(years) AS BIGINT) AS year_fix,
+  CAST(sum(joined_lines) AS BIGINT) AS joined_line,
+  CAST(sum(joined_paragraphs) AS BIGINT) AS joined_paragraph
+FROM r GROUP BY doc_id""",
     "assemble_full_text": _FULL + "\nSELECT intake_id, page_count, full_text FROM full_docs",
+    "write_records": _FULL
+    + "\nSELECT intake_id, page_count, full_text, page_count AS pages FROM full_docs",
     "split_pages": _FULL + rf""",
 src AS (SELECT intake_id, page_count, CASE WHEN intake_id % 10 = 0 THEN 'plain' ELSE full_text END AS t
         FROM full_docs),

@@ -8,6 +8,7 @@ from narralake.functions import chunking as ck
 from narralake.functions import narration as nr
 from narralake.operators import chunks as ch
 from narralake.plans import chunks as plans
+from narralake.sources.sinks import write_by_bucket
 
 
 def _chunks(value, text, **kw):
@@ -110,7 +111,7 @@ def test_stats_of_empty_document(spark):
 def test_written_chunks_have_no_file_per_chunk(spark, small, tmp_path):
     folder = str(tmp_path / "t")
     chunks = ch.chunk_documents(plans._docs(spark, small))
-    ch.write_chunks(chunks, folder)
+    write_by_bucket(chunks, "doc_id", folder)
     files = sum(len([f for f in fs if f.endswith(".parquet")]) for _, _, fs in os.walk(folder))
     assert spark.read.parquet(folder).count() == chunks.count() > files
 
