@@ -15,7 +15,6 @@ from narralake.plans import repair_sql as rq
 from narralake.plans.views_sql import (
     DIRTY_PAGES,
     DOC_PAGES,
-    WS,
     lit,
     strip,
     with_,
