@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from narralake.llm import packing, tokens
+from narralake.llm import chat, languages, mixing, neighbours, packing, tokens, topk
 
-MODULES = (tokens, packing)
+MODULES = (chat, languages, tokens, mixing, topk, packing, neighbours)
 
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
