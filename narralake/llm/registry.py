@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
-from narralake.llm import chat, languages, mixing, neighbours, packing, tokens, topk
+from narralake.llm import (
+    chat,
+    jaccard,
+    languages,
+    lm,
+    mixing,
+    neighbours,
+    packing,
+    passages,
+    tokens,
+    topk,
+)
 
-MODULES = (chat, languages, tokens, mixing, topk, packing, neighbours)
+MODULES = (chat, languages, tokens, mixing, topk, passages, packing, neighbours, lm, jaccard)
 
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
