@@ -140,6 +140,28 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def block_links(linked: np.ndarray, mine: np.ndarray, i: int, j: int) -> list[tuple[int, int]]:
+    """Links that a pair of blocks adds: a forest of its one block, or of what links the two.
+
+    The links inside each block come from the pair of the block with itself, so
+    two blocks of copies add one link, not one per member.
+    """
+    if i == j:
+        return forest(linked)
+    part = np.arange(len(linked))
+    for a, b in forest(linked & (mine[:, None] == mine[None])):
+        part[b] = part[a]
+    names, part = np.unique(part, return_inverse=True)
+    a, b = np.nonzero(linked & (mine[:, None] == i) & (mine[None] == j))
+    first: dict[tuple[int, int], tuple[int, int]] = {}
+    for x, y, k in zip(a, b, part[a] * len(names) + part[b], strict=True):
+        first.setdefault(divmod(int(k), len(names)), (int(x), int(y)))
+    between = np.zeros((len(names), len(names)), bool)
+    for x, y in first:
+        between[x, y] = between[y, x] = True
+    return [first.get((x, y)) or first[y, x] for x, y in forest(between)]
+
+
 # ------------------------------------------------------------- blocks of a group
 def in_blocks(members: DataFrame, group: str, member: str, size: int) -> DataFrame:
     """members with _i <= _j, the pair of blocks, and _mine, the row's own block.
@@ -199,9 +221,11 @@ def _near_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = np.zeros((len(keys), len(keys)), np.int16)
         for t in range(TOKENS):
             same += values[:, t, None] == values[None, :, t]
-        for i, j in forest(same >= least):
-            a.append(keys[i])
-            b.append(keys[j])
+        mine = np.array(group["_mine"].to_pylist())
+        i, j = group["_i"][0].as_py(), group["_j"][0].as_py()
+        for x, y in block_links(same >= least, mine, i, j):
+            a.append(keys[x])
+            b.append(keys[y])
         if len(a) > 50_000:
             yield rows()
             a, b = [], []
@@ -233,8 +257,9 @@ def candidate_links(classes: DataFrame) -> DataFrame:
     for leaf in leaves[1:]:
         found = found.unionByName(leaf)
     dealt = in_blocks(found, "_bucket", "set", SMALL).join(classes.select("set", "sketch"), "set")
-    grouped = dealt.select("_bucket", "_i", "_j", "set", "sketch").repartition("_bucket", "_i", "_j")
-    return grouped.sortWithinPartitions("_bucket", "_i", "_j").mapInArrow(_near_forest, "a binary, b binary")
+    grouped = dealt.select("_bucket", "_i", "_j", "_mine", "set", "sketch").repartition("_bucket", "_i", "_j")
+    # In order of the set, so that buckets with the same members name the same links.
+    return grouped.sortWithinPartitions("_bucket", "_i", "_j", "set").mapInArrow(_near_forest, "a binary, b binary")
 
 
 # ----------------------------------------------------------------- exact links
@@ -277,7 +302,7 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = [keys[k] for k in np.flatnonzero(links)]
         n = links[links > 0].tolist()
         b: list = [None] * len(a)
-        for x, y in forest(linked):
+        for x, y in block_links(linked, mine, i, j):
             a.append(keys[x])
             b.append(keys[y])
             n.append(0)
@@ -325,7 +350,7 @@ def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id")
     dealt = in_blocks(held, "_label", "set", BLOCK).repartition("_label", "_i", "_j")
     exact = keep(
         dealt.select("_label", "_i", "_j", "_mine", "set", "copies", "text")
-        .sortWithinPartitions("_label", "_i", "_j")
+        .sortWithinPartitions("_label", "_i", "_j", "set")
         .mapInArrow(_exact, "a binary, b binary, n long"),
         "links",
     )

@@ -13,6 +13,7 @@ ends by extension, and passages that are long and alike enough are returned.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narralake.llm.common import gram_hashes, keep, rows_of, table, word_hashes
+from narralake.llm.common import WORD, gram_hashes, keep, rows_of, table, word_hashes
 from narralake.llm.jaccard import by_group
 
 K = 7
@@ -317,6 +318,32 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id")
     )
 
 
+def without(text: str, spans: list[dict]) -> str:
+    """The text without the words of the spans; what stays keeps its white space."""
+    at = [m.span() for m in re.finditer(WORD, text)]
+    gone: list[list[int]] = []
+    for span in sorted((s["start"], s["end"]) for s in spans):
+        if gone and span[0] <= gone[-1][1]:
+            gone[-1][1] = max(gone[-1][1], span[1])
+        else:
+            gone.append(list(span))
+    out, last = [], 0
+    for start, end in gone:
+        out.append(text[last : at[start][0]])
+        last = at[end][0] if end < len(at) else len(text)
+    return "".join([*out, text[last:]]).strip(" \t\n\x0b\x0c\r")
+
+
+def cut_words(text: str, spans: str) -> Column:
+    """A column: the text without the words of array<struct<start, end>>; null spans cut nothing."""
+
+    def cut(texts: pa.Array, found: pa.Array) -> pa.Array:
+        pairs = zip(texts.to_pylist(), found.to_pylist(), strict=True)
+        return pa.array([without(t, s) if t and s else t for t, s in pairs], pa.string())
+
+    return F.arrow_udf(cut, "string")(F.col(text), F.col(spans))
+
+
 def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
