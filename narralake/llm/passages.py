@@ -22,12 +22,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narralake.llm.common import WORD, gram_hashes, keep, rows_of, table, word_hashes
-from narralake.llm.jaccard import by_group
 
 K = 7
 W = 12
 LENGTH = 50
 SIMILARITY = 0.8
+SPAN = 20  # words from the first to the last match of a chain worth aligning
 GAP = 0.04  # cost of a skipped word, on either side
 FAR = 64  # words between two matches of a chain, at most
 PART = 256  # words in a stored part of a text
@@ -137,6 +137,43 @@ def chains(x: np.ndarray, y: np.ndarray) -> list[list[tuple[int, int, int]]]:
     return out
 
 
+def worth_aligning(found: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
+    """Chains that span SPAN words, but none that lies within a long, better one of the same two documents.
+
+    The best is always among them: in a run of one repeated word all seeds meet
+    one position, and only the alignment can tell how far the run goes.
+    """
+    kept, ranges = [], []
+    for chain in found:
+        start, end = chain[0][0], chain[-1][0] + chain[-1][2]
+        if kept and end - start < SPAN or any(s <= start and end <= e for s, e in ranges):
+            continue
+        kept.append(chain)
+        if end - start >= LENGTH:
+            ranges.append((start, end))
+    return kept
+
+
+def sorted_runs(batches: Iterator[pa.RecordBatch], names: list[str], keys: int) -> Iterator[list[np.ndarray]]:
+    """The columns, as arrays, of each run of rows with equal values in the first `keys` of them."""
+    rest: list[np.ndarray] | None = None
+    for batch in batches:
+        cols = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
+        if rest is not None:
+            cols = [np.concatenate(c) for c in zip(rest, cols, strict=True)]
+        if not len(cols[0]):
+            continue
+        new = np.zeros(len(cols[0]) - 1, bool)
+        for c in cols[:keys]:
+            new |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist()]
+        for at, end in zip(cuts, cuts[1:], strict=False):
+            yield [c[at:end] for c in cols]
+        rest = [c[cuts[-1] :] for c in cols]
+    if rest is not None and len(rest[0]):
+        yield rest
+
+
 def _chain_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """row, ref and the matches of each chain, as flat triples."""
     row, ref, parts = [], [], []
@@ -146,11 +183,13 @@ def _chain_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             {"row": pa.array(row, pa.int64()), "ref": pa.array(ref, pa.int64()), "parts": pa.array(parts, pa.list_(pa.int32()))}
         )
 
-    for group in by_group(batches, ["row", "ref"]):
-        found = chains(group["pos"].to_numpy().astype(np.int64), group["ref_pos"].to_numpy().astype(np.int64))
-        for chain in found:
-            row.append(group["row"][0].as_py())
-            ref.append(group["ref"][0].as_py())
+    for r, o, x, y in sorted_runs(batches, ["row", "ref", "pos", "ref_pos"], 2):
+        # Matches of one word run only cannot span enough.
+        if x[-1] - x[0] + K < SPAN:
+            continue
+        for chain in worth_aligning(chains(x.astype(np.int64), y.astype(np.int64))):
+            row.append(int(r[0]))
+            ref.append(int(o[0]))
             parts.append([v for p in chain for v in p])
         if len(row) > 20_000:
             yield rows()
@@ -218,15 +257,6 @@ def _parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _text(group: pa.Table, side: int) -> tuple[int, np.ndarray]:
-    """First word and the words of one side; the parts follow each other."""
-    chosen = [
-        (p, d) for s, p, d in zip(group["side"].to_pylist(), group["part"].to_pylist(), group["data"].to_pylist(), strict=True) if s == side
-    ]
-    chosen.sort()
-    return chosen[0][0] * PART, np.frombuffer(b"".join(d for _, d in chosen), "<u8")
-
-
 def _align_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ("row", "ref", "start", "end", "ref_start", "ref_end", "n_equal")
     out: list[tuple] = []
@@ -235,15 +265,19 @@ def _align_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = list(zip(*out, strict=True)) or [[] for _ in names]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=list(names))
 
-    for group in by_group(batches, ["id"]):
-        if len(set(group["side"].to_pylist())) < 2:
+    cols = ["id", "side", "part", "row", "ref", "parts", "data"]
+    for _, side, part, row, ref, parts, data in sorted_runs(batches, cols, 1):
+        n = int((side == 0).sum())  # sorted by side, then part: the parts of a side follow each other
+        if n == 0 or n == len(side):
             continue
-        (a0, a), (b0, b) = _text(group, 0), _text(group, 1)
-        flat = next(p for p in group["parts"].to_pylist() if p)
-        chain = [(x - a0, y - b0, n) for x, y, n in zip(flat[::3], flat[1::3], flat[2::3], strict=True)]
-        s, e, rs, re, equal = align(a, b, chain)
-        if e - s >= LENGTH and equal >= SIMILARITY * max(e - s, re - rs):
-            out.append((group["row"][0].as_py(), group["ref"][0].as_py(), s + a0, e + a0, rs + b0, re + b0, equal))
+        a0, b0 = int(part[0]) * PART, int(part[n]) * PART
+        a = np.frombuffer(b"".join(data[:n]), "<u8")
+        b = np.frombuffer(b"".join(data[n:]), "<u8")
+        flat = [int(v) for v in parts[0]]
+        chain = [(x - a0, y - b0, k) for x, y, k in zip(flat[::3], flat[1::3], flat[2::3], strict=True)]
+        s, e, rs, re_, equal = align(a, b, chain)
+        if e - s >= LENGTH and equal >= SIMILARITY * max(e - s, re_ - rs):
+            out.append((int(row[0]), int(ref[0]), s + a0, e + a0, rs + b0, re_ + b0, equal))
         if len(out) > 20_000:
             yield rows()
             out = []
