@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narralake.llm import jaccard, languages, mixing, packing, passages
-from narralake.llm.common import keep, table
+from narralake.llm.common import keep, sieve, table
 
 #: A text is rejected if less than this share of its letter runs belongs to its language.
 LEAST_SCORE = 0.2
@@ -24,22 +24,31 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays: the one with the least id, once."""
+    """One document of each class of near copies stays: the one with the least id, once.
+
+    Rows repeated in id and text are one document.  Only documents of which
+    some row may go are shuffled; all others pass as they are.
+    """
     classes = jaccard.similar_documents(docs.select("doc_id", "text"))
-    gone = classes.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").withColumn("_text", F.xxhash64("text"))
-    return kept.dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    gone = classes.where(F.col("doc_id") != F.col("class_id")).select("doc_id")
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
+    gone = keep(gone.distinct(), "gone")
+    touched, clean = sieve(docs, F.col("doc_id"), gone.unionByName(again), "touched")
+    left = touched.join(gone, "doc_id", "left_anti").withColumn("_text", F.xxhash64("text"))
+    return clean.unionByName(left.dropDuplicates(["doc_id", "_text"]).select(*docs.columns))
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages that stand in another document, too; documents without words left go."""
     spans = passages.repeated_passages(docs.select("doc_id", "text"))
-    per_doc = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
-    words = passages.cut_words("text", "_spans")
-    marked = docs.join(per_doc, "doc_id", "left")
-    cut = marked.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(words))
+    per_doc = keep(
+        spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("_spans")), "spans"
+    )
+    touched, clean = sieve(docs, F.col("doc_id"), per_doc.select("doc_id"), "touched")
+    cut = touched.join(per_doc, "doc_id", "left").withColumn("text", passages.cut_words("text", "_spans"))
     kept = cut.where(F.col("_spans").isNull() | (F.length("text") > 0))
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    resized = kept.withColumn("n_chars", F.length("text").cast("long"))
+    return clean.unionByName(resized.select(*docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -117,3 +117,33 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+
+
+#: Words of 64 bits in a sieve; its size is fixed, whatever the number of keys.
+SIEVE = 131_072
+
+
+def sieve(df: DataFrame, column: Column, keys: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    """df in two: rows whose column may be in keys, and rows whose column is not.
+
+    A bitmap of fixed size marks the hashes of all keys.  It saves the shuffle
+    of rows that a join would not touch; a join on the first part still
+    decides.  With many million keys nearly all rows are in the first part.
+    keys has one column; null is a key like any other.
+    """
+
+    def place(c: Column) -> tuple[Column, Column]:
+        h = F.xxhash64(F.coalesce(c.cast("string"), F.lit("")))
+        return F.pmod(h, F.lit(SIEVE)), F.pmod(F.shiftright(h, 20), F.lit(64))
+
+    slot, bit = place(keys[keys.columns[0]])
+    marks = keep(
+        keys.select(slot.alias("_slot"), F.expr("1L").alias("_one"), bit.cast("int").alias("_bit"))
+        .groupBy("_slot")
+        .agg(F.bit_or(F.call_function("shiftleft", F.col("_one"), F.col("_bit"))).alias("_word")),
+        label,
+    )
+    slot, bit = place(column)
+    marked = df.withColumns({"_slot": slot, "_bit": bit.cast("int")}).join(F.broadcast(marks), "_slot", "left")
+    hit = F.call_function("getbit", F.coalesce(F.col("_word"), F.lit(0).cast("long")), F.col("_bit")) == 1
+    return marked.where(hit).select(*df.columns), marked.where(~hit).select(*df.columns)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narralake.llm.common import gram_hashes, keep, mix, table, word_hashes
+from narralake.llm.common import gram_hashes, keep, mix, sieve, table, word_hashes
 from narralake.llm.components import components
 
 N = 5
@@ -342,6 +342,7 @@ def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id")
     # The text of each class comes from the row with the least key; other rows of that key drop out.
     wanted = named.withColumn("_k", F.coalesce(F.col("_rep").cast("string"), F.lit("")))
     texts = docs.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_k"), F.col(text).alias("text"))
+    texts, _ = sieve(texts, F.col("_k"), wanted.select("_k"), "wanted")
     own = F.arrow_udf(lambda t: pa.array([set_key(shingles(x)) for x in t.to_pylist()], pa.binary()), "binary")
     held = keep(
         texts.join(wanted, "_k").where(own("text") == F.col("set")).dropDuplicates(["set"]).select("set", "_label", "copies", "text"),

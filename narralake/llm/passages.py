@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narralake.llm.common import WORD, gram_hashes, keep, rows_of, table, word_hashes
+from narralake.llm.common import WORD, gram_hashes, keep, rows_of, sieve, table, word_hashes
 
 K = 7
 W = 12
@@ -326,8 +326,9 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id")
     asked = side("row", 0).unionByName(side("ref", 1))
     wanted = asked.select(F.col("_of").alias("row"), "part").distinct()
     per_row = wanted.groupBy("row").agg(F.collect_list("part").alias("wanted"))
+    touched, _ = sieve(rows, F.col("row"), wanted.select("row"), "wanted")
     parts = keep(
-        rows.join(per_row, "row")
+        touched.join(per_row, "row")
         .select("row", "text", "wanted")
         .mapInArrow(_parts_of, "row long, part int, data binary")
         .dropDuplicates(["row", "part"]),
