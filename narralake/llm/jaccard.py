@@ -32,6 +32,8 @@ TOKENS = 128
 RECALL = 0.9995
 DEPTH = 3
 SMALL = 256
+#: Sketches of a block; a bucket that no split makes smaller is compared block by block.
+SKETCHES = 1024
 #: Sets of an exact block; a larger component is compared block by block.
 BLOCK = 128
 COLUMNS = 8192
@@ -256,7 +258,7 @@ def candidate_links(classes: DataFrame) -> DataFrame:
     found = leaves[0]
     for leaf in leaves[1:]:
         found = found.unionByName(leaf)
-    dealt = in_blocks(found, "_bucket", "set", SMALL).join(classes.select("set", "sketch"), "set")
+    dealt = in_blocks(found, "_bucket", "set", SKETCHES).join(classes.select("set", "sketch"), "set")
     grouped = dealt.select("_bucket", "_i", "_j", "_mine", "set", "sketch").repartition("_bucket", "_i", "_j")
     # In order of the set, so that buckets with the same members name the same links.
     return grouped.sortWithinPartitions("_bucket", "_i", "_j", "set").mapInArrow(_near_forest, "a binary, b binary")

@@ -79,8 +79,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
 
 
 def _join_sources(rows: DataFrame, sources: DataFrame, n: int) -> DataFrame:
-    same = rows["_source"].eqNullSafe(sources["_s"])
-    return rows.join(F.broadcast(sources) if n <= SOURCES else sources, same, "left").drop("_s")
+    same = rows["__mix_source"].eqNullSafe(sources["__mix_s"])
+    return rows.join(F.broadcast(sources) if n <= SOURCES else sources, same, "left").drop("__mix_s")
 
 
 def mix(
@@ -107,63 +107,63 @@ def mix(
     good = quality if quality is not None else text_quality(F.col(text), F.col("size"))
     rows = (
         docs.withColumn("size", size)
-        .withColumn("_key", -F.log(uniform(F.col(key), seed)) / good)
+        .withColumn("__mix_key", -F.log(uniform(F.col(key), seed)) / good)
         .withColumns(
             {
-                "_tie": F.xxhash64(key, text),
-                "_bucket": F.floor(F.log2("_key") * BUCKETS).cast("long"),
-                "_source": F.col(source),
+                "__mix_tie": F.xxhash64(key, text),
+                "__mix_bucket": F.floor(F.log2("__mix_key") * BUCKETS).cast("long"),
+                "__mix_source": F.col(source),
             }
         )
     )
-    slim = keep(rows.select("_source", "size", "_key", "_tie", "_bucket"), "mix")
-    buckets = slim.groupBy("_source", "_bucket").agg(F.sum("size").alias("n"))
-    sizes = buckets.groupBy("_source").agg(F.sum("n").alias("source_size"))
+    slim = keep(rows.select("__mix_source", "size", "__mix_key", "__mix_tie", "__mix_bucket"), "mix")
+    buckets = slim.groupBy("__mix_source", "__mix_bucket").agg(F.sum("size").alias("n"))
+    sizes = buckets.groupBy("__mix_source").agg(F.sum("n").alias("source_size"))
     per_source = keep(
-        targets(sizes.withColumnRenamed("_source", "source"), weights, share, most)
-        .withColumnRenamed("source", "_s"),
+        targets(sizes.withColumnRenamed("__mix_source", "source"), weights, share, most)
+        .withColumnRenamed("source", "__mix_s"),
         "targets",
     )
     n_sources = per_source.count()
-    upto = Window.partitionBy("_source").orderBy("_bucket")
+    upto = Window.partitionBy("__mix_source").orderBy("__mix_bucket")
     edge = (
-        _join_sources(buckets.withColumn("_upto", F.sum("n").over(upto)), per_source, n_sources)
-        .where((F.col("_upto") > F.col("rest")) & (F.col("_upto") - F.col("n") <= F.col("rest")))
-        .groupBy(F.col("_source").alias("_s"))
+        _join_sources(buckets.withColumn("__mix_upto", F.sum("n").over(upto)), per_source, n_sources)
+        .where((F.col("__mix_upto") > F.col("rest")) & (F.col("__mix_upto") - F.col("n") <= F.col("rest")))
+        .groupBy(F.col("__mix_source").alias("__mix_s"))
         .agg(
-            F.min("_bucket").alias("_edge"),
-            F.min_by(F.col("_upto") - F.col("n"), "_bucket").alias("_below"),
-            F.first("rest").alias("_rest"),
+            F.min("__mix_bucket").alias("__mix_edge"),
+            F.min_by(F.col("__mix_upto") - F.col("n"), "__mix_bucket").alias("__mix_below"),
+            F.first("rest").alias("__mix_rest"),
         )
     )
-    inside = _join_sources(slim, edge, n_sources).where(F.col("_bucket") == F.col("_edge"))
-    run = Window.partitionBy("_source").orderBy("_key", "_tie")
-    middle = F.col("_below") + F.sum("size").over(run) - F.col("size") / 2
+    inside = _join_sources(slim, edge, n_sources).where(F.col("__mix_bucket") == F.col("__mix_edge"))
+    run = Window.partitionBy("__mix_source").orderBy("__mix_key", "__mix_tie")
+    middle = F.col("__mix_below") + F.sum("size").over(run) - F.col("size") / 2
     cut = (
-        inside.withColumn("_middle", middle)
-        .groupBy(F.col("_source").alias("_s2"))
+        inside.withColumn("__mix_middle", middle)
+        .groupBy(F.col("__mix_source").alias("__mix_s2"))
         .agg(
-            F.first("_edge").alias("_edge"),
-            F.max(F.when(F.col("_middle") <= F.col("_rest"), F.struct("_key", "_tie"))).alias("_last"),
+            F.first("__mix_edge").alias("__mix_edge"),
+            F.max(F.when(F.col("__mix_middle") <= F.col("__mix_rest"), F.struct("__mix_key", "__mix_tie"))).alias("__mix_last"),
         )
     )
     decided = keep(
-        per_source.join(cut, per_source["_s"].eqNullSafe(cut["_s2"]), "left").drop("_s2", "rest"),
+        per_source.join(cut, per_source["__mix_s"].eqNullSafe(cut["__mix_s2"]), "left").drop("__mix_s2", "rest"),
         "cuts",
     )
     chosen = (
-        F.col("_edge").isNull()
-        | (F.col("_bucket") < F.col("_edge"))
-        | ((F.col("_bucket") == F.col("_edge")) & (F.struct("_key", "_tie") <= F.col("_last")))
+        F.col("__mix_edge").isNull()
+        | (F.col("__mix_bucket") < F.col("__mix_edge"))
+        | ((F.col("__mix_bucket") == F.col("__mix_edge")) & (F.struct("__mix_key", "__mix_tie") <= F.col("__mix_last")))
     )
     # A source without an edge bucket is taken to its end, or has no rest at all.
     some = F.col("target") > F.col("epochs") * F.col("source_size")
     extra = F.when(some & F.coalesce(chosen, F.lit(False)), 1).otherwise(0)
-    out = _join_sources(rows.drop("source_size", "target", "epochs", "_edge", "_last"), decided, n_sources)
+    out = _join_sources(rows.drop("source_size", "target", "epochs", "__mix_edge", "__mix_last"), decided, n_sources)
     return (
         out.withColumn("copies", (F.col("epochs") + extra).cast("long"))
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .drop("_key", "_tie", "_bucket", "_source", "_edge", "_last", "epochs")
+        .drop("__mix_key", "__mix_tie", "__mix_bucket", "__mix_source", "__mix_edge", "__mix_last", "epochs")
     )
 
 
