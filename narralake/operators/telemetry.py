@@ -21,9 +21,10 @@ SHOWN_USAGE = 20
 KEPT_SWITCHES = 10
 SNIPPET_CHARS = 120
 ACTIVE_STATES = ("generating", "waiting_quota", "merging", "cancelling")
-USES_TOKEN = ("calling", "switched")
-WAITING, ENDED = "waiting", "ended"
-ENDS_WAIT = ("switched", "synced", "ended")
+USAGE_STATES = ("calling", "quota_failed", "switched", "waiting", "success")
+USES_TOKEN = ("calling", "switched", "synced")
+BEGIN, SWITCHED, WAITING, ENDED = "begin", "switched", "waiting", "ended"
+ENDS_WAIT = ("begin", "switched", "synced", "ended")
 FAILED, SUCCEEDED = "quota_failed", "success"
 ESTIMATING = "estimating..."
 RATE_LIMIT_MARKS = ("429", "RESOURCE_EXHAUSTED")
@@ -176,33 +177,45 @@ def output_lookup(latest: DataFrame, listing: DataFrame, root: str) -> DataFrame
 
 
 # -------------------------------------------------------------- token pool ---
+def since_begin(log: DataFrame, begins: DataFrame | None = None) -> DataFrame:
+    """Rows after the last begin of their run; a log that starts later has them all.
+
+    ``begins``: run_id and begin_seq, if they are known already.
+    """
+    if begins is None:
+        begins = log.groupBy("run_id").agg(F.max(_seq_if((BEGIN,))).alias("begin_seq"))
+    kept = log.join(begins, "run_id", "left")
+    return kept.where(
+        F.col("begin_seq").isNull() | (F.col("seq") > F.col("begin_seq"))
+    ).drop("begin_seq")
+
+
+def usage(attempts: DataFrame) -> DataFrame:
+    return attempts.where(F.col("status").isin(*USAGE_STATES))
+
+
 def usage_history(attempts: DataFrame, shown: int = SHOWN_USAGE) -> DataFrame:
-    return newest_per_key(attempts, ["run_id"], "seq", min(shown, KEPT_USAGE))
+    """The newest uses of a token in each run; begin, sync and end are none."""
+    return newest_per_key(usage(since_begin(attempts)), ["run_id"], "seq", shown)
 
 
 def switches(attempts: DataFrame) -> DataFrame:
-    """Switch events whose token differs from the switch before."""
-    rows = attempts.where(F.col("status") == "switched")
-    seen = with_previous(rows, ["run_id"], "seq", F.struct("token"), "prev")
-    return seen.where(F.col("prev.token") != F.col("token")).select(
-        "run_id",
-        "seq",
-        "chunk_id",
-        F.col("prev.token").alias("from_token"),
-        F.col("token").alias("to_token"),
+    """Switch events as logged: from which token to which, and why."""
+    return attempts.where(F.col("status") == SWITCHED).select(
+        "run_id", "seq", "chunk_id", "from_token", "to_token", "reason"
     )
 
 
 def switch_history(attempts: DataFrame, kept: int = KEPT_SWITCHES) -> DataFrame:
-    return newest_per_key(switches(attempts), ["run_id"], "seq", kept)
+    return newest_per_key(switches(since_begin(attempts)), ["run_id"], "seq", kept)
 
 
 def failover_counts(attempts: DataFrame, kept: int = KEPT_SWITCHES) -> DataFrame:
-    """Number of kept switches; it stops growing at the history size."""
-    return (
-        switches(attempts)
-        .groupBy("run_id")
-        .agg(F.least(F.count(F.lit(1)), F.lit(kept)).cast("bigint").alias("quota_failovers"))
+    """All switches of each run since it began, and the number that a board shows."""
+    count = F.count_if(F.col("status") == SWITCHED)
+    return since_begin(attempts).groupBy("run_id").agg(
+        count.alias("quota_failovers"),
+        F.least(count, F.lit(kept)).cast("bigint").alias("shown_failovers"),
     )
 
 
@@ -223,7 +236,7 @@ def token_marks(attempts: DataFrame) -> DataFrame:
         F.max(_seq_if((WAITING,))).alias("waiting_seq"),
         F.max(_seq_if(ENDS_WAIT)).alias("settled_seq"),
         F.max(_seq_if((ENDED,))).alias("ended_seq"),
-        F.max("seq").alias("last_seq"),
+        F.max(_seq_if((BEGIN,))).alias("begin_seq"),
     )
 
 
@@ -238,20 +251,32 @@ def _after(late: Column, early: Column) -> Column:
     return F.coalesce(late, F.lit(-1)) > F.coalesce(early, F.lit(-1))
 
 
+def run_begins(marks: DataFrame) -> DataFrame:
+    return marks.groupBy("run_id").agg(F.max("begin_seq").alias("begin_seq"))
+
+
 def failed_tokens(marks: DataFrame) -> DataFrame:
-    """Tokens whose last outcome is a quota failure."""
-    failed = _after(F.col("failed_seq"), F.col("success_seq"))
-    return marks.where(failed).select("run_id", "token")
+    """Tokens whose last outcome since the run began is a quota failure."""
+    known = marks.drop("begin_seq").join(run_begins(marks), "run_id")
+    failed = _after(F.col("failed_seq"), F.greatest("success_seq", "begin_seq"))
+    return known.where(failed).select("run_id", "token")
 
 
 def run_state(marks: DataFrame, first_token: str) -> DataFrame:
-    """Active token, waiting and activity per run.  A plain call does not end
-    a wait; only a switch, a sync or the end of the run does.
+    """Active token, waiting and activity per run.
+
+    A begin makes the first token active and clears the rest; a sync names the
+    active token.  A plain call does not end a wait; a begin, a switch, a sync
+    or the end of the run does.  After its end a run is inactive until it
+    begins again.
     """
+    used = _after(F.max("used_seq"), F.max("begin_seq"))
     return marks.groupBy("run_id").agg(
-        F.coalesce(F.max_by("token", "used_seq"), F.lit(first_token)).alias("active_token"),
+        F.when(used, F.max_by("token", "used_seq")).otherwise(F.lit(first_token)).alias("active_token"),
         _after(F.max("waiting_seq"), F.max("settled_seq")).alias("pool_waiting"),
-        _after(F.max("last_seq"), F.max("ended_seq")).alias("generation_active"),
+        (F.max("ended_seq").isNull() | _after(F.max("begin_seq"), F.max("ended_seq"))).alias(
+            "generation_active"
+        ),
     )
 
 

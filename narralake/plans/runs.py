@@ -14,6 +14,7 @@ from narralake.plans.views_sql import (
     CHUNK_FILES,
     EDITED,
     ERROR_LOG,
+    LIVE,
     OUTPUT_FILES,
     RAW_TOKENS,
     STATUS_LOG,
@@ -229,10 +230,8 @@ def _parsed(spark, sf_dir):
 
 
 def attempt_log(spark, sf_dir):
-    """Nested records as rows; records without intake or chunk are skipped."""
-    return _parsed(spark, sf_dir).where(
-        F.col("intake_id").isNotNull() & F.col("chunk_index").isNotNull()
-    )
+    """Nested records as rows; records without (or with an empty) intake or chunk are skipped."""
+    return _parsed(spark, sf_dir).where((F.col("intake_id") != "") & F.col("chunk_index").isNotNull())
 
 
 def attempt_manifest(spark, sf_dir):
@@ -358,19 +357,23 @@ _LATEST = with_(
 )
 _SWITCH = with_(
     ATTEMPTS,
-    """sw AS (SELECT *, lag(token) OVER (PARTITION BY run_id ORDER BY seq) AS from_token
-  FROM attempts WHERE status = 'switched')""",
-    "switches AS (SELECT run_id, seq, chunk_id, from_token, token AS to_token FROM sw WHERE from_token <> token)",
+    LIVE,
+    """switches AS (SELECT run_id, seq, chunk_id, from_token, to_token, reason
+  FROM live WHERE status = 'switched')""",
 )
 _STATE = with_(
     ATTEMPTS,
+    LIVE,
     """failed AS (SELECT run_id, token FROM (
-    SELECT run_id, token, arg_max(status, seq) AS s FROM attempts
+    SELECT run_id, token, arg_max(status, seq) AS s FROM live
     WHERE status IN ('quota_failed', 'success') GROUP BY run_id, token) WHERE s = 'quota_failed')""",
-    """state AS (SELECT run_id,
-    coalesce(arg_max(token, seq) FILTER (status IN ('calling', 'switched')), 'tok1') AS active_token,
+    """runs AS (SELECT run_id, arg_max(status, seq) FILTER (status IN ('begin', 'ended')) AS phase
+    FROM attempts GROUP BY run_id)""",
+    """state AS (SELECT r.run_id,
+    coalesce(arg_max(token, seq) FILTER (status IN ('calling', 'switched', 'synced')), 'tok1') AS active_token,
     coalesce(arg_max(status, seq) FILTER (status IN ('waiting', 'switched', 'synced', 'ended')) = 'waiting',
-             false) AS pool_waiting FROM attempts GROUP BY run_id)""",
+             false) AS pool_waiting, any_value(coalesce(phase, 'begin')) = 'begin' AS generation_active
+    FROM runs r LEFT JOIN live l ON l.run_id = r.run_id GROUP BY r.run_id)""",
 )
 _NAMED = with_(
     ATTEMPTS, CHUNK_FILES, "named AS (SELECT *, regexp_extract(path, '[^/]+$') AS name FROM chunk_files)"
@@ -412,17 +415,19 @@ LEFT JOIN (
   EXCEPT SELECT intake_id, {_INDEX_OF} + 1 FROM chunk_files WHERE size > 0 AND path LIKE '%.wav') want
   ON want.intake_id = t.intake_id
 GROUP BY t.intake_id""",
-    "usage_history": with_(ATTEMPTS) + """SELECT * FROM attempts
+    "usage_history": with_(ATTEMPTS, LIVE) + """SELECT run_id, seq, token, chunk_id, status, epoch FROM live
+WHERE status NOT IN ('begin', 'synced', 'ended')
 QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY seq DESC) <= 20""",
     "switch_history": _SWITCH + """SELECT * FROM switches
 QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY seq DESC) <= 10""",
     "quota_failovers": _SWITCH
-    + "SELECT run_id, least(count(*), 10) AS quota_failovers FROM switches GROUP BY run_id",
+    + """SELECT run_id, count(*) FILTER (status = 'switched') AS quota_failovers,
+  least(count(*) FILTER (status = 'switched'), 10) AS shown_failovers FROM live GROUP BY run_id""",
     "failed_tokens": _STATE + "SELECT run_id, token FROM failed",
     "active_token": _STATE + "SELECT run_id, active_token FROM state",
     "pool_waiting": _STATE + "SELECT run_id, pool_waiting FROM state",
     "token_board": _STATE + """
-SELECT s.run_id, t.token, t.priority, CASE WHEN pool_waiting THEN 'waiting' WHEN t.token = active_token THEN 'active'
+SELECT s.run_id, t.token, t.priority, CASE WHEN pool_waiting THEN 'waiting' WHEN t.token = active_token AND generation_active THEN 'active'
   WHEN f.token IS NOT NULL THEN 'failed' ELSE 'idle' END AS status
 FROM state s, (VALUES ('tok1', CAST(1 AS BIGINT)), ('tok2', 2), ('tok3', 3), ('tok4', 4)) t(token, priority)
 LEFT JOIN failed f ON f.run_id = s.run_id AND f.token = t.token""",

@@ -21,9 +21,8 @@ def _attempt_stream(spark, sf_dir):
 def _pool_part(part):
     def run(spark, sf_dir):
         root = tb.scratch_dir(spark, "pool")
-        query = jobs.pool_state_job(_attempt_stream(spark, sf_dir), root)
-        query.awaitTermination()
-        return jobs.pool_part(query, spark, root, part)
+        jobs.pool_state_job(_attempt_stream(spark, sf_dir), root).awaitTermination()
+        return jobs.pool_part(spark, root, part)
 
     return run
 

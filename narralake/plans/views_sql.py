@@ -70,10 +70,21 @@ SCENES = """scenes AS (
 _K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 _EPOCH = "CAST(floor(epoch(ts)) AS BIGINT)"
 
-ATTEMPTS = f"""attempts AS (
+ATTEMPTS = f"""logged AS (
   SELECT user_id % 20 AS run_id, event_id AS seq, 'tok' || ({_K} % 4 + 1) AS token,
-         {_K} AS chunk_id, {case('event_type', ATTEMPT_STATUS)} AS status, {_EPOCH} AS epoch
-  FROM events)"""
+         {_K} AS chunk_id, {_EPOCH} AS epoch,
+         coalesce(['begin', 'synced', 'ended'][event_id % 97 + 1], {case('event_type', ATTEMPT_STATUS)}) AS status
+  FROM events),
+attempts AS (
+  SELECT *, CASE WHEN status = 'switched' THEN 'tok' || ((chunk_id % 4 + 1 + seq % 3) % 4 + 1) END AS from_token,
+         CASE WHEN status = 'switched' THEN token END AS to_token,
+         CASE WHEN status = 'switched' THEN if(seq % 2 = 0, '429_quota', 'manual') END AS reason
+  FROM logged)"""
+
+# The rows of each run after its last begin.
+LIVE = """live AS (
+  SELECT * FROM attempts a
+  WHERE NOT EXISTS (FROM attempts b WHERE b.run_id = a.run_id AND b.status = 'begin' AND b.seq >= a.seq))"""
 
 STATUS_LOG = f"""status_log AS (
   SELECT user_id AS intake_id, event_id AS seq, {case('event_type', INTAKE_STATUS)} AS status,

@@ -46,31 +46,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a table that is smaller than the cluster.
-
-    Text work is heavy per row, and a small table may be a single split.  A
-    table with at least one split per core is left alone, so nothing large is
-    ever shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder for written tables and checkpoints.
+    """A fresh folder for written tables and checkpoints, in ``spark.checkpoint.dir``.
 
-    On a cluster it lies in the shared folder named by ``spark.checkpoint.dir``;
-    only a local session without that setting gets a temporary folder.
+    A session without that setting gets a folder set for all its tables.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        run = spark.sparkContext.applicationId
-        stamp = os.urandom(6).hex()
-        return f"{shared.rstrip('/')}/{label}-{run}-{stamp}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix=f"narralake-{label}-")
+    if not shared:
+        shared = tempfile.mkdtemp(prefix="narralake-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    run = spark.sparkContext.applicationId
+    return f"{shared.rstrip('/')}/{label}-{run}-{os.urandom(6).hex()}"
 
 
 # ------------------------------------------------------------------- texts ---
@@ -99,7 +85,7 @@ def explode_pages(docs: DataFrame, pages: Column, *keep: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(read_table(spark, sf_dir, "documents"))
+    return read_table(spark, sf_dir, "documents")
 
 
 def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,16 +196,38 @@ def _k() -> Column:
     return F.get_json_object("props", "$.k").cast("bigint")
 
 
+# Now and then a run begins anew, is synced or ends; by event_id modulo RARE.
+RARE = 97
+RARE_STATUS = ("begin", "synced", "ended")
+
+
 def attempts_from(events: DataFrame, *keep: str) -> DataFrame:
-    return events.select(
+    """Log rows; a switch says from which token to which, and why."""
+    seq = F.col("event_id")
+    status = _by_type(ATTEMPT_STATUS)
+    for i, name in enumerate(RARE_STATUS):
+        status = F.when(seq % RARE == i, F.lit(name)).otherwise(status)
+    rows = events.select(
         *keep,
         (F.col("user_id") % 20).alias("run_id"),
-        F.col("event_id").alias("seq"),
+        seq.alias("seq"),
         F.concat(F.lit("tok"), (_k() % 4 + 1).cast("string")).alias("token"),
         _k().alias("chunk_id"),
-        _by_type(ATTEMPT_STATUS).alias("status"),
+        status.alias("status"),
         epoch_seconds(F.col("ts")).alias("epoch"),
     )
+    switched = F.col("status") == "switched"
+    other = F.concat(
+        F.lit("tok"), ((F.col("chunk_id") % 4 + 1 + F.col("seq") % 3) % 4 + 1).cast("string")
+    )
+    reason = F.when(F.col("seq") % 2 == 0, F.lit("429_quota")).otherwise(F.lit("manual"))
+    return rows.withColumns(
+        {
+            "from_token": F.when(switched, other),
+            "to_token": F.when(switched, F.col("token")),
+            "reason": F.when(switched, reason),
+        }
+    )
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from narralake.operators import telemetry as tm
 from narralake.operators.chunks import chunk_documents
-from narralake.operators.ordered import newest_per_key, with_previous
+from narralake.operators.ordered import newest_per_key
 
 
 def stream_table(
@@ -44,13 +44,14 @@ def _run(writer, root: str, on_batch: Callable | None = None) -> StreamingQuery:
 # through a single task, as it would in a state machine keyed by run.
 
 USAGE = "run_id bigint, seq bigint, token string, chunk_id bigint, status string, epoch bigint"
-SWITCHES = "run_id bigint, seq bigint, chunk_id bigint, from_token string, to_token string"
-LAST_SWITCH = "run_id bigint, seq bigint, token string"
+SWITCHES = (
+    "run_id bigint, seq bigint, chunk_id bigint, from_token string, to_token string, reason string"
+)
 MARKS = (
     "run_id bigint, token string, failed_seq bigint, success_seq bigint, used_seq bigint, "
-    "waiting_seq bigint, settled_seq bigint, ended_seq bigint, last_seq bigint"
+    "waiting_seq bigint, settled_seq bigint, ended_seq bigint, begin_seq bigint"
 )
-PARTS = {"usage": USAGE, "switches": SWITCHES, "last_switch": LAST_SWITCH, "marks": MARKS}
+PARTS = {"usage": USAGE, "switches": SWITCHES, "marks": MARKS}
 
 
 def _version(spark: SparkSession, root: str, part: str, version: int) -> DataFrame:
@@ -65,64 +66,59 @@ def merge_marks(old: DataFrame, attempts: DataFrame) -> DataFrame:
 
 
 def merge_usage(old: DataFrame, attempts: DataFrame) -> DataFrame:
-    both = old.unionByName(attempts.select(*old.columns))
+    both = old.unionByName(tm.usage(attempts).select(*old.columns))
     return newest_per_key(both, ["run_id"], "seq", tm.KEPT_USAGE)
 
 
-def merge_switches(
-    old: DataFrame, last: DataFrame, attempts: DataFrame
-) -> tuple[DataFrame, DataFrame]:
-    """Kept switches and the last switch event of each run."""
-    events = attempts.where(F.col("status") == "switched").select(
-        "run_id", "seq", "chunk_id", "token"
-    )
-    carried = last.select("run_id", "seq", F.lit(None).cast("bigint").alias("chunk_id"), "token")
-    rows = events.withColumn("_new", F.lit(True)).unionByName(
-        carried.withColumn("_new", F.lit(False))
-    )
-    seen = with_previous(rows, ["run_id"], "seq", F.struct("token"), "prev")
-    fresh = seen.where(F.col("_new") & (F.col("prev.token") != F.col("token"))).select(
-        "run_id",
-        "seq",
-        "chunk_id",
-        F.col("prev.token").alias("from_token"),
-        F.col("token").alias("to_token"),
-    )
-    kept = newest_per_key(old.unionByName(fresh), ["run_id"], "seq", tm.KEPT_SWITCHES)
-    newest = rows.groupBy("run_id").agg(
-        F.max("seq").alias("seq"), F.max_by("token", "seq").alias("token")
-    )
-    return kept, newest
+def merge_switches(old: DataFrame, attempts: DataFrame) -> DataFrame:
+    both = old.unionByName(tm.switches(attempts).select(*old.columns))
+    return newest_per_key(both, ["run_id"], "seq", tm.KEPT_SWITCHES)
+
+
+def _commit(spark: SparkSession, root: str, version: int) -> None:
+    row = spark.createDataFrame([(version,)], "version bigint")
+    row.coalesce(1).write.mode("append").parquet(f"{root}/commits")
+
+
+def committed(spark: SparkSession, root: str) -> int:
+    """The newest version whose parts are all stored; -1 before the first."""
+    return spark.read.schema("version bigint").parquet(f"{root}/commits").agg(F.max("version")).first()[0]
 
 
 def pool_state_job(attempts: DataFrame, root: str) -> StreamingQuery:
-    """Maintain histories and marks under ``root/state``."""
+    """Maintain histories and marks under ``root/state``.
+
+    A version is read only after its commit row is written, so a failed or
+    repeated batch, or a start that finds nothing new, leaves the last one.
+    """
+    _commit(attempts.sparkSession, root, -1)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         old = {part: _version(spark, root, part, batch_id - 1) for part in PARTS}
         batch.persist()
         try:
-            switches, last = merge_switches(old["switches"], old["last_switch"], batch)
             merged = {
                 "usage": merge_usage(old["usage"], batch),
-                "switches": switches,
-                "last_switch": last,
+                "switches": merge_switches(old["switches"], batch),
                 "marks": merge_marks(old["marks"], batch),
             }
             for part, table in merged.items():
                 table.write.mode("overwrite").parquet(f"{root}/state/{part}/v={batch_id}")
+            _commit(spark, root, batch_id)
         finally:
             batch.unpersist()
 
     return _run(attempts.writeStream, root, on_batch)
 
 
-def pool_part(query: StreamingQuery, spark: SparkSession, root: str, part: str) -> DataFrame:
-    """The newest stored version of one part of the pool state."""
-    progress = query.lastProgress
-    version = progress["batchId"] if progress else -1
-    return _version(spark, root, part, version)
+def pool_part(spark: SparkSession, root: str, part: str) -> DataFrame:
+    """One part of the pool state in its newest version; histories since each run's last begin."""
+    version = committed(spark, root)
+    rows = _version(spark, root, part, version)
+    if part == "marks":
+        return rows
+    return tm.since_begin(rows, tm.run_begins(_version(spark, root, "marks", version)))
 
 
 # ------------------------------------------------------------ latest status --

@@ -96,8 +96,14 @@ SCHEMA = "seq bigint, token string, chunk_id bigint, status string"
 
 
 def _run(spark, events, run=1):
+    switched = F.col("status") == "switched"
     return spark.createDataFrame(events, SCHEMA).select(
-        F.lit(run).cast("bigint").alias("run_id"), "*", F.col("seq").alias("epoch")
+        F.lit(run).cast("bigint").alias("run_id"),
+        "*",
+        F.col("seq").alias("epoch"),
+        F.when(switched, F.lit("alpha")).alias("from_token"),
+        F.when(switched, F.col("token")).alias("to_token"),
+        F.when(switched, F.lit("429_quota")).alias("reason"),
     )
 
 
@@ -117,13 +123,34 @@ def test_token_board(spark):
     assert _board(spark, EVENTS + [(5, "beta", 4, "ended")]) == ["failed", "idle", "idle"]
 
 
+def test_first_switch_counts(spark):
+    run = _run(spark, EVENTS)
+    [switch] = tm.switch_history(run).collect()
+    assert (switch["from_token"], switch["to_token"], switch["reason"]) == ("alpha", "beta", "429_quota")
+    assert tm.failover_counts(run).first()["quota_failovers"] == 1
+    assert tm.failover_counts(_run(spark, EVENTS[:2])).first()["quota_failovers"] == 0
+
+
+def test_begin_sync_and_end(spark):
+    synced = EVENTS + [(5, "gamma", 3, "synced")]
+    assert _board(spark, synced) == ["failed", "idle", "active"]
+    assert [r["status"] for r in tm.usage_history(_run(spark, synced)).orderBy("seq").collect()] == [
+        e[3] for e in EVENTS]
+    # A second begin clears failures, histories and the active token.
+    again = synced + [(6, "gamma", 3, "ended"), (7, "alpha", 0, "begin")]
+    assert _board(spark, again) == ["active", "idle", "idle"]
+    assert tm.usage_history(_run(spark, again)).count() == 0
+    assert tm.failed_tokens(tm.token_marks(_run(spark, again))).count() == 0
+    assert _board(spark, again + [(8, "beta", 1, "calling"), (9, "beta", 1, "ended")]) == ["idle"] * 3
+
+
 def test_histories_are_capped(spark):
     events = [(i, "alpha" if i % 2 else "beta", i, "switched") for i in range(60)]
     run = _run(spark, events)
     assert tm.usage_history(run).count() == 20
     kept = tm.switch_history(run).orderBy("seq").collect()
-    assert len(kept) == 10 and kept[-1]["seq"] == 59 and kept[-1]["from_token"] == "beta"
-    assert tm.failover_counts(run).first()["quota_failovers"] == 10
+    assert len(kept) == 10 and kept[-1]["seq"] == 59 and kept[-1]["from_token"] == "alpha"
+    assert tm.failover_counts(run).first()[1:] == (60, 10)
 
 
 def test_resume_points(spark):
