@@ -136,19 +136,18 @@ def paths(nodes: DataFrame, per_tree: int) -> DataFrame:
             F.col("_tree").alias("_t2"), F.col("_node").alias("_from"), F.col("_up").alias("_up2")
         )
         half = F.lit(2**k).cast("long")
-        long = rows.where(F.col("_n") > half)
-        both = F.array(
-            F.struct(F.col("_node").alias("node"), half.alias("n"), F.col("_pos").alias("pos")),
-            F.struct(
-                F.col("_up2").alias("node"), (F.col("_n") - half).alias("n"), (F.col("_pos") - half).alias("pos")
-            ),
+        own = F.struct(F.col("_node").alias("node"), F.least("_n", half).alias("n"), F.col("_pos").alias("pos"))
+        above = F.struct(
+            F.col("_up2").alias("node"), (F.col("_n") - half).alias("n"), (F.col("_pos") - half).alias("pos")
         )
-        split = (
-            long.join(step, (F.col("_tree") == F.col("_t2")) & (F.col("_node") == F.col("_from")))
-            .select("_tree", "_rank", "_leaf", F.explode(both).alias("_s"))
+        parts = F.when(F.col("_n") > half, F.array(own, above)).otherwise(F.array(own))
+        # One reference to the rows so far: the plan grows by one join a level.
+        same = (F.col("_tree") == F.col("_t2")) & (F.col("_node") == F.col("_from")) & (F.col("_n") > half)
+        rows = (
+            rows.join(step, same, "left")
+            .select("_tree", "_rank", "_leaf", F.explode(parts).alias("_s"))
             .select("_tree", "_rank", "_leaf", F.col("_s.node").alias("_node"), F.col("_s.n").alias("_n"), F.col("_s.pos").alias("_pos"))
         )
-        rows = rows.where(F.col("_n") <= half).unionByName(split)
     return rows.drop("_n")
 
 
