@@ -6,7 +6,7 @@ before has kept.  All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narralake.llm import jaccard, languages, mixing, packing, passages
@@ -23,32 +23,36 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(kept).select(*docs.columns)
 
 
+def row_key() -> Column:
+    """Names a row by its id and text: ids may be null, or stand for several texts."""
+    return F.struct("doc_id", F.xxhash64("text").alias("text_hash"))
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies stays: the one with the least id, once.
 
     Rows repeated in id and text are one document.  Only documents of which
     some row may go are shuffled; all others pass as they are.
     """
-    classes = jaccard.similar_documents(docs.select("doc_id", "text"))
-    gone = classes.where(F.col("doc_id") != F.col("class_id")).select("doc_id")
-    again = docs.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
-    gone = keep(gone.distinct(), "gone")
-    touched, clean = sieve(docs, F.col("doc_id"), gone.unionByName(again), "touched")
-    left = touched.join(gone, "doc_id", "left_anti").withColumn("_text", F.xxhash64("text"))
-    return clean.unionByName(left.dropDuplicates(["doc_id", "_text"]).select(*docs.columns))
+    rows = docs.withColumn("_row", row_key())
+    classes = jaccard.similar_documents(rows.select("_row", "text"), key="_row")
+    gone = keep(classes.where(F.col("_row") != F.col("class_id")).select("_row").distinct(), "gone")
+    again = rows.groupBy("_row").agg(F.count("*").alias("_n")).where("_n > 1").select("_row")
+    touched, clean = sieve(rows, F.col("_row"), gone.unionByName(again), "touched")
+    left = touched.join(gone, "_row", "left_anti").dropDuplicates(["_row"])
+    return clean.unionByName(left).select(*docs.columns)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages that stand in another document, too; documents without words left go."""
-    spans = passages.repeated_passages(docs.select("doc_id", "text"))
-    per_doc = keep(
-        spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("_spans")), "spans"
-    )
-    touched, clean = sieve(docs, F.col("doc_id"), per_doc.select("doc_id"), "touched")
-    cut = touched.join(per_doc, "doc_id", "left").withColumn("text", passages.cut_words("text", "_spans"))
+    rows = docs.withColumn("_row", row_key())
+    spans = passages.repeated_passages(rows.select("_row", "text"), key="_row")
+    per_row = keep(spans.groupBy("_row").agg(F.collect_set(F.struct("start", "end")).alias("_spans")), "spans")
+    touched, clean = sieve(rows, F.col("_row"), per_row.select("_row"), "touched")
+    cut = touched.join(per_row, "_row", "left").withColumn("text", passages.cut_words("text", "_spans"))
     kept = cut.where(F.col("_spans").isNull() | (F.length("text") > 0))
     resized = kept.withColumn("n_chars", F.length("text").cast("long"))
-    return clean.unionByName(resized.select(*docs.columns))
+    return clean.select(*docs.columns).unionByName(resized.select(*docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
