@@ -59,6 +59,20 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a batch of texts, where the session sets no number itself.
+BATCH = 1000
+
+
+def text_batches(docs: DataFrame) -> None:
+    """Hand texts to Python in smaller batches than Spark's ten thousand rows.
+
+    A batch is held several times over, in the JVM and in each worker.
+    """
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name, None) is None:
+        conf.set(name, BATCH)
+
+
 def fold_of(doc_id: Column, folds: int = 5) -> Column:
     """crc32 of the id as text, modulo the number of folds; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds
@@ -117,8 +131,6 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-
-
 #: Words of 64 bits in a sieve; its size is fixed, whatever the number of keys.
 SIEVE = 131_072
 

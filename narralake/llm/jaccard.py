@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narralake.llm.common import gram_hashes, keep, mix, sieve, table, word_hashes
+from narralake.llm.common import gram_hashes, keep, mix, sieve, table, text_batches, word_hashes
 from narralake.llm.components import components
 
 N = 5
@@ -324,6 +324,7 @@ def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id")
     id.  Only key and text are read, so other columns cannot clash.  An empty
     table gives an empty table.  Results do not depend on row order.
     """
+    text_batches(docs)
     found = F.arrow_udf(_sets, "set binary, sketch binary, buckets array<long>")
     rows = keep(docs.select(F.col(key), found(F.col(text)).alias("_s")).select(key, "_s.*"), "sets")
     classes = keep(

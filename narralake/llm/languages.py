@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narralake.llm.common import fold_of, mix, rows_of, table
+from narralake.llm.common import fold_of, mix, rows_of, table, text_batches
 
 #: An n-gram belongs to a language if it makes up this share of the language's
 #: n-grams, so a language has at most 1 / SHARE of them.
@@ -24,6 +24,8 @@ SHARE = 1e-5
 HASHES = 3
 SLOTS_PER_GRAM = 16
 CHUNK = 1 << 20
+#: Counts that a task holds for a language before it adds them up; more than half as many distinct ones go out.
+HELD = 500_000
 UNKNOWN = "und"
 
 
@@ -56,7 +58,7 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys: dict[str, list] = {}
     counts: dict[str, list] = {}
-    for batch in rows_of(batches, 1000):
+    for batch in rows_of(batches, 200):
         new: dict[str, list] = {}
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             new.setdefault(lang, []).extend(trigrams(text))
@@ -65,10 +67,10 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 k, n = np.unique(np.concatenate(grams), return_counts=True)
                 keys.setdefault(lang, []).append(k)
                 counts.setdefault(lang, []).append(n)
-                if sum(map(len, keys[lang])) > 2_000_000:
+                if sum(map(len, keys[lang])) > HELD:
                     k, n = _summed(keys[lang], counts[lang])
                     keys[lang], counts[lang] = [k], [n]
-                    if len(k) > 1_000_000:
+                    if 2 * len(k) > HELD:
                         yield _gram_rows(lang, k, n)
                         keys[lang], counts[lang] = [], []
     for lang in keys:
@@ -144,6 +146,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", share: float
     Every task adds up its own n-grams; what returns to the driver are one
     total per language and at most 1 / share n-grams per language.
     """
+    text_batches(docs)
     labelled = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(text, lang)
     counts = (
         labelled.mapInArrow(_count_grams, "lang string, gram long, n long")
@@ -170,6 +173,7 @@ def identify(docs: DataFrame, model: LanguageFilter, text: str = "text") -> Data
     name.  Columns of docs with those two names are replaced, all others stay;
     repeated rows get equal answers; an empty table gives an empty table.
     """
+    text_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(texts: pa.Array) -> pa.Array:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from narralake.llm.common import keep, rows_of, table
+from narralake.llm.common import keep, rows_of, table, text_batches
 from narralake.llm.tokens import VOCABULARY, byte_pairs
 
 CAPACITY = 1024
@@ -192,6 +192,7 @@ def piece_rows(docs: DataFrame, text: str, key: str, vocabulary: str, capacity:
                 names=[key, "piece", "start", "length", "ids_crc32"],
             )
 
+    text_batches(docs)
     return docs.select(key, text).mapInArrow(run, schema)
 
 

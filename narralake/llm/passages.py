@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narralake.llm.common import WORD, gram_hashes, keep, rows_of, sieve, table, word_hashes
+from narralake.llm.common import WORD, gram_hashes, keep, rows_of, sieve, table, text_batches, word_hashes
 
 K = 7
 W = 12
@@ -295,6 +295,7 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id")
     Null and empty texts have no passages.  Only key and text are read, so other
     columns cannot clash; an empty table gives an empty table.
     """
+    text_batches(docs)
     rows = docs.where(F.col(text).isNotNull()).select(_row(key, text).alias("row"), F.col(text).alias("text"))
     found = rows.mapInArrow(_seed_rows, "h long, row long, pos int")
     firsts = keep(

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from narralake.llm.common import rows_of, table
+from narralake.llm.common import rows_of, table, text_batches
 
 VOCABULARY = "byte_bpe_50k"
 LIMIT = 1024
@@ -191,6 +191,7 @@ def token_counts(
     empty table gives an empty table.  The broadcast table holds at most
     2 * `frequent` words' pre-tokens.
     """
+    text_batches(docs)
     spark = docs.sparkSession
     lengths = spark.sparkContext.broadcast(
         pretoken_lengths(frequent_words(docs, text, frequent), vocabulary)
