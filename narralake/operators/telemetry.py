@@ -1,8 +1,8 @@
 """Run, token and progress state rebuilt from append-only event logs.
 
-State questions are "what came last" questions, so they are ``max_by``
-aggregates that combine on the map side: a run holding a third of all events
-costs no more than any other.
+State questions are "what came last" questions, so they are maxima of positions
+that combine on the map side: a run holding a third of all events costs no more
+than any other.
 """
 
 from __future__ import annotations
@@ -40,13 +40,24 @@ FINAL_NAME = "final_audiobook.wav"
 
 
 # ------------------------------------------------------------------ status ---
+def newest_record(log: DataFrame, *keys: str) -> DataFrame:
+    """The record with the greatest ``seq`` of each key; ``seq`` is unique in a key.
+
+    The greatest number alone is a hash aggregation that shrinks the log on the
+    map side.  Whole records are picked by (key, seq), which spreads a hot key
+    evenly.  A null key is a key; rows without ``seq`` are never the newest.
+    """
+    newest = log.groupBy(*keys).agg(F.max("seq").alias("seq"))
+    same = F.col("l.seq") == F.col("n.seq")
+    for key in keys:
+        same = same & F.col(f"l.{key}").eqNullSafe(F.col(f"n.{key}"))
+    return log.alias("l").join(newest.alias("n"), same, "left_semi")
+
+
 def latest_status(log: DataFrame) -> DataFrame:
     """Newest whole record per intake."""
-    rest = [c for c in log.columns if c != "intake_id"]
-    return (
-        log.groupBy("intake_id")
-        .agg(F.max_by(F.struct(*rest), "seq").alias("_r"))
-        .select("intake_id", *[F.col(f"_r.{c}").alias(c) for c in rest])
+    return newest_record(log, "intake_id").select(
+        "intake_id", *[c for c in log.columns if c != "intake_id"]
     )
 
 
@@ -311,14 +322,8 @@ def board_from_marks(marks: DataFrame, token_names: Sequence[str]) -> DataFrame:
 def attempt_manifest(records: DataFrame) -> DataFrame:
     """Last record per intake and chunk; rows without either key are skipped."""
     rest = [c for c in records.columns if c not in ("intake_id", "chunk_index")]
-    return (
-        records.where(
-            F.col("intake_id").isNotNull() & (F.col("intake_id") != "") & F.col("chunk_index").isNotNull()
-        )
-        .groupBy("intake_id", "chunk_index")
-        .agg(F.max_by(F.struct(*rest), "seq").alias("_r"))
-        .select("intake_id", "chunk_index", *[F.col(f"_r.{c}").alias(c) for c in rest])
-    )
+    keyed = records.where((F.col("intake_id") != "") & F.col("chunk_index").isNotNull())
+    return newest_record(keyed, "intake_id", "chunk_index").select("intake_id", "chunk_index", *rest)
 
 
 def _mentions(text: Column, marks: Sequence[str]) -> Column:

@@ -223,3 +223,8 @@ def chunk_corpus(name: str, src: str, soft: int = 2000, cap: int = 1300) -> str:
             validate(name, f"{name}_m", cap),
         ]
     )
+
+
+#: Texts without page marker lines.
+BODY = r"""body AS (SELECT doc_id, i,
+  regexp_replace(text, '(?m)^--- Page \d+ ---[ \t\n\r\f\v]*\n?', '', 'g') AS text FROM src)"""

@@ -141,9 +141,7 @@ def _sql(*ctes: str, out: str) -> str:
 _UNITS = cs.semantic_units("u", "src")
 _PACK = cs.pack_units("k", "u")
 _MERGE = cs.merge_small("m", "k")
-_BODY = r"""body AS (SELECT doc_id, i,
-  regexp_replace(text, '(?m)^--- Page \d+ ---[ \t\n\r\f\v]*\n?', '', 'g') AS text FROM src)"""
-_CORPUS = with_recursive(PARAGRAPHED, _SRC, _BODY, cs.chunk_corpus("c", "body"))
+_CORPUS = with_recursive(PARAGRAPHED, _SRC, cs.BODY, cs.chunk_corpus("c", "body"))
 _STATS = """count(text) AS total_chunks,
   coalesce(round(sum(length(text)) / count(text), 1), 0.0) AS avg_chunk_length,
   coalesce(min(length(text)), 0) AS min_chunk_length, coalesce(max(length(text)), 0) AS max_chunk_length,

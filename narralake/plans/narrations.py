@@ -115,6 +115,33 @@ def prompt_batch(spark, sf_dir):
     )
 
 
+def narration_pipeline(spark, sf_dir):
+    """Documents to request rows: chunk, normalise, carry the context over, render.
+
+    A document stays one row until its requests are made, so nothing is shuffled.
+    """
+    docs = tb.scene_settings(spark, sf_dir).select(
+        "doc_id",
+        nr.scene_block(F.col("use_scene"), F.col("scene"), F.col("style"), F.col("tone")).alias(
+            "scene_context"
+        ),
+        ck.chunk_text(tb.paragraphed(F.col("text"))).alias("chunks"),
+    )
+    prepared = nr.prepare_chunks(F.transform("chunks", nr.normalize_chunk))
+    rows = explode_once(docs, prepared, "p", "chunk_idx", "doc_id", "scene_context")
+    return rows.select(
+        "doc_id",
+        "chunk_idx",
+        "p.transcript_text",
+        "p.conditioning_note",
+        "p.last_punctuation_type",
+        "p.continuity_flag",
+        nr.prompt_text(
+            F.col("p.transcript_text"), F.col("p.conditioning_note"), F.col("scene_context")
+        ).alias("prompt"),
+    )
+
+
 def prompt_budget(spark, sf_dir):
     return prompt_batch(spark, sf_dir).groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("requests"),
@@ -137,6 +164,7 @@ QUERIES = {
     "scene_block": scene_block,
     "prompt_batch": prompt_batch,
     "prompt_budget": prompt_budget,
+    "narration_pipeline": narration_pipeline,
 }
 
 # ----------------------------------------------------------------- SQL side --
@@ -243,7 +271,7 @@ _NORMAL = ",".join(
 _CONN = "(?:" + "|".join(nr.CONNECTORS) + ")"
 _FIRST = "l[1]"
 _ADJUST = f"""
-o AS (SELECT doc_id, chunk_idx, regexp_replace({strip('text')}, '^[،,]{WS}*', '') AS text FROM v),
+o AS (SELECT doc_id, chunk_idx, regexp_replace({strip('text')}, '^[،,]{WS}*', '') AS text FROM spoken),
 oe AS (SELECT *, CASE WHEN {strip('text')} <> '' THEN {_class('text')} END AS k FROM o),
 ol AS (SELECT *, lag(k) OVER (PARTITION BY doc_id ORDER BY chunk_idx) AS pk,
        {cs.sentences_list('text')} AS l FROM oe),
@@ -287,6 +315,22 @@ def _on_chunks(expr: str, name: str = "text") -> str:
 
 
 _BASE = _CHUNKS.rstrip() + ","
+_AS_CHUNKED = "\nspoken AS (SELECT * FROM v),"
+_NORMALIZED = f"""
+normalized AS (SELECT v.doc_id, v.chunk_idx, coalesce({_punctuation('n5.text')}, '') AS text
+  FROM v LEFT JOIN n5 ON n5.doc_id = v.doc_id AND n5.chunk_idx = v.chunk_idx)"""
+_PIPELINE = with_recursive(
+    PARAGRAPHED,
+    _SRC,
+    cs.BODY,
+    cs.chunk_corpus("c", "body"),
+    SCENES,
+    "v AS (SELECT doc_id, CAST(i AS BIGINT) AS chunk_idx, text FROM c)",
+    _NORMAL,
+    _NORMALIZED,
+    "spoken AS (SELECT * FROM normalized)",
+    _ADJUST.lstrip() + _PROMPTS,
+)
 ORACLES = {
     "normalize_punctuation": _on_chunks(_punctuation("text")),
     "break_long_sentences": _BASE + _sentence_rows("a", "v", "text") + "," + _broken("b", "a")
@@ -294,22 +338,23 @@ ORACLES = {
     "merge_short_fragments": _BASE + _sentence_rows("a", "v", "text") + "," + _fragments("b", "a")
     + "\nSELECT doc_id, chunk_idx, seq, text FROM b",
     "stabilize_punctuation": _on_chunks(_steady("text")),
-    "normalize_chunks": _BASE + _NORMAL + f"""
-SELECT v.doc_id, v.chunk_idx, coalesce({_punctuation('n5.text')}, '') AS text
-FROM v LEFT JOIN n5 ON n5.doc_id = v.doc_id AND n5.chunk_idx = v.chunk_idx""",
+    "normalize_chunks": _BASE + _NORMAL + "," + _NORMALIZED + "\nSELECT * FROM normalized",
     "end_punctuation": _on_chunks(_class("text"), "end_class"),
     "tail_sentences": _on_chunks(
         f"coalesce(nullif(array_to_string(({cs.sentences_list('text')})[-2:], ' '), ''), {strip('text')})",
         "tail",
     ),
-    "adjust_opening": _BASE + _ADJUST + "\nSELECT doc_id, chunk_idx, text FROM adj",
-    "continuity_context": _BASE + _ADJUST + "\nSELECT * FROM prep",
-    "conditioning_note": _BASE + _ADJUST
+    "adjust_opening": _BASE + _AS_CHUNKED + _ADJUST + "\nSELECT doc_id, chunk_idx, text FROM adj",
+    "continuity_context": _BASE + _AS_CHUNKED + _ADJUST + "\nSELECT * FROM prep",
+    "conditioning_note": _BASE + _AS_CHUNKED + _ADJUST
     + "\nSELECT doc_id, chunk_idx, conditioning_note FROM noted",
     "scene_block": with_recursive(SCENES) + f"SELECT doc_id, {_BLOCK} AS scene_context FROM scenes",
-    "prompt_batch": _BASE + _ADJUST + _PROMPTS + """
+    "prompt_batch": _BASE + _AS_CHUNKED + _ADJUST + _PROMPTS + """
 SELECT *, length(prompt) AS prompt_char_count, length(transcript) AS transcript_char_count FROM pr""",
-    "prompt_budget": _BASE + _ADJUST + _PROMPTS + """
+    "prompt_budget": _BASE + _AS_CHUNKED + _ADJUST + _PROMPTS + """
 SELECT doc_id, count(*) AS requests, CAST(sum(length(prompt)) AS BIGINT) AS prompt_chars,
   CAST(sum(length(transcript)) AS BIGINT) AS transcript_chars FROM pr GROUP BY doc_id""",
+    "narration_pipeline": _PIPELINE + """
+SELECT doc_id, chunk_idx, transcript AS transcript_text, conditioning_note, last_punctuation_type, continuity_flag, prompt
+FROM pr JOIN noted USING (doc_id, chunk_idx)""",
 }
