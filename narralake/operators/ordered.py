@@ -5,7 +5,7 @@ key to one task, so a key with a third of the data stops the job.  Here the
 order column is cut into blocks and the window runs per ``(key, block)``.  Only
 one summary row per block is looked at across a whole key.  The order column
 must be a non-negative integer, unique inside the key, so a block never holds
-more than ``block`` rows; key columns must not be null.
+more than ``block`` rows.  A null key is a key like any other.
 
 The summary reads its input a second time, but only the columns it needs, and
 it shrinks on the map side; the rows themselves are shuffled once.
@@ -23,6 +23,17 @@ def _with_block(df: DataFrame, order: str, block: int) -> DataFrame:
     return df.withColumn("_block", F.floor(F.col(order) / F.lit(block)).cast("bigint"))
 
 
+def _join_blocks(df: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the summary of their block; null keys meet null keys."""
+    named = summary.select(
+        *[F.col(c).alias(f"_b_{c}" if c in (*keys, "_block") else c) for c in summary.columns]
+    )
+    same = F.col("_block") == F.col("_b__block")
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"_b_{key}"))
+    return df.join(named, same).drop("_b__block", *[f"_b_{key}" for key in keys])
+
+
 def with_row_number(
     df: DataFrame,
     keys: list[str],
@@ -44,7 +55,7 @@ def with_row_number(
     )
     local = Window.partitionBy(*keys, "_block").orderBy(order)
     numbered = blocked.withColumn("_local", F.row_number().over(local))
-    out = numbered.join(offsets, [*keys, "_block"]).withColumn(
+    out = _join_blocks(numbered, offsets, keys).withColumn(
         name, F.col("_before") + F.col("_local")
     )
     if total:
@@ -75,7 +86,7 @@ def with_previous(
     local = Window.partitionBy(*keys, "_block").orderBy(order)
     looked_back = blocked.withColumn("_prev", F.lag("_value").over(local))
     return (
-        looked_back.join(carried, [*keys, "_block"])
+        _join_blocks(looked_back, carried, keys)
         .withColumn(name, F.coalesce("_prev", "_carry"))
         .drop("_block", "_value", "_prev", "_carry")
     )

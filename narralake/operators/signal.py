@@ -1,9 +1,11 @@
 """Loudness, silence and discontinuities of sampled signals.
 
-Input rows: ``series_id, chunk_idx, sample_idx (from 0), s, n_samples`` where
-``n_samples`` is the length of the chunk, as a file header states it.
-Everything about a chunk comes from one scan with two partial aggregations
-(by window, then by chunk); no chunk is ever held in one task.
+Input rows: ``series_id, chunk_idx, sample_idx (from 0), s, n_samples, rate`` where
+``n_samples`` and ``rate`` are the length and the samples a second of the chunk,
+as a file header states them.
+Everything about a chunk comes from two partial aggregations (by window, then
+by chunk); no chunk is ever held in one task.  ``boundaries`` reads its chunk
+rows twice, so give it stored ones.
 """
 
 from __future__ import annotations
@@ -35,8 +37,9 @@ def first_channel(samples: DataFrame, channels: int) -> DataFrame:
     )
 
 
-def window_samples(rate: int, ms: int) -> int:
-    return max(1, rate * ms // 1000)
+def window_samples(rate: Column, ms: int) -> Column:
+    """Samples in so many milliseconds; at least one."""
+    return F.greatest(F.lit(1), F.floor(rate * ms / 1000)).cast("bigint")
 
 
 def rms(sum_of_squares: Column, count: Column) -> Column:
@@ -55,8 +58,11 @@ def duration_ms(count: Column, rate: Column | int) -> Column:
     return F.when(r > 0, F.floor(count * 1000 / r)).otherwise(F.lit(0)).cast("bigint")
 
 
-def chunk_signal(samples: DataFrame, window: int, boundary: int) -> DataFrame:
-    """One row per chunk: level, loudness, silence share and boundary levels."""
+def chunk_signal(samples: DataFrame, window: int | Column, boundary: int | Column) -> DataFrame:
+    """One row per chunk: level, loudness, silence share and boundary levels.
+
+    ``window`` and ``boundary`` are sample counts, the same for all rows of a chunk.
+    """
     square = F.col("s").cast("bigint") * F.col("s")
     head = F.col("sample_idx") < boundary
     tail = F.col("sample_idx") >= F.col("n_samples") - boundary
@@ -132,6 +138,19 @@ def signal_label(silence: Column, jumps: Column, variance: Column, score: Column
     )
 
 
+def chunk_levels(samples: DataFrame) -> DataFrame:
+    """Chunk rows with the fixed windows, by the ``rate`` of each chunk."""
+    rate = F.col("rate")
+    return chunk_signal(samples, window_samples(rate, WINDOW_MS), window_samples(rate, BOUNDARY_MS))
+
+
+def loudness_variance(chunks: DataFrame) -> DataFrame:
+    """Variance of the chunk levels per series; needs no look-back."""
+    return chunks.groupBy("series_id").agg(
+        F.coalesce(F.var_pop("loudness_dbfs"), F.lit(0.0)).alias("variance")
+    )
+
+
 def series_metrics(chunks: DataFrame) -> DataFrame:
     """Unrounded metrics per series."""
     return (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from narralake.operators import signal as sg
@@ -12,12 +14,19 @@ CHUNK = sg.CHUNK
 
 
 def _chunks(spark, sf_dir):
-    return sg.chunk_signal(tb.samples(spark, sf_dir), tb.SAMPLE_WINDOW, tb.SAMPLE_BOUNDARY)
+    return sg.chunk_levels(tb.samples(spark, sf_dir))
+
+
+def _stored_chunks(spark, sf_dir):
+    """Chunk rows written once, for what reads them more than once."""
+    folder = os.path.join(tb.scratch_dir(spark, "signal"), "chunks")
+    _chunks(spark, sf_dir).write.mode("overwrite").parquet(folder)
+    return spark.read.parquet(folder)
 
 
 def scan_samples(spark, sf_dir):
     """Stereo reading of the samples: the first channel, renumbered."""
-    return sg.first_channel(tb.samples(spark, sf_dir), 2)
+    return sg.first_channel(tb.samples(spark, sf_dir), 2).drop("rate")
 
 
 def rms(spark, sf_dir):
@@ -39,21 +48,23 @@ def boundary_rms(spark, sf_dir):
 
 
 def discontinuities(spark, sf_dir):
-    return sg.boundaries(_chunks(spark, sf_dir)).select(
+    return sg.boundaries(_stored_chunks(spark, sf_dir)).select(
         *CHUNK, F.col("prev.chunk_idx").alias("previous_chunk"), "discontinuity"
     )
 
 
-def _metric(column, name):
-    def query(spark, sf_dir):
-        metrics = sg.series_metrics(_chunks(spark, sf_dir))
-        return metrics.select("series_id", F.round(column, 6).alias(name))
+def loudness_variance(spark, sf_dir):
+    variance = F.round("variance", 6).alias("loudness_variance")
+    return sg.loudness_variance(_chunks(spark, sf_dir)).select("series_id", variance)
 
-    return query
+
+def variation_score(spark, sf_dir):
+    metrics = sg.series_metrics(_stored_chunks(spark, sf_dir))
+    return metrics.select("series_id", F.round("score", 6).alias("variation_score"))
 
 
 def signal_label(spark, sf_dir):
-    m = sg.series_metrics(_chunks(spark, sf_dir))
+    m = sg.series_metrics(_stored_chunks(spark, sf_dir))
     label = sg.signal_label(F.col("silence"), F.col("jumps"), F.col("variance"), F.col("score"))
     return m.select("series_id", label.alias("quality_label"))
 
@@ -62,13 +73,14 @@ def signal_report(spark, sf_dir):
     """Reports for all users' series and for as many that have no samples."""
     users = tb.read_table(spark, sf_dir, "events").select("user_id").distinct()
     series = users.select((F.col("user_id") % 40).alias("series_id")).distinct()
-    return sg.signal_report(series, _chunks(spark, sf_dir))
+    return sg.signal_report(series, _stored_chunks(spark, sf_dir))
 
 
 def chunk_duration_ms(spark, sf_dir):
-    return _chunks(spark, sf_dir).select(
-        *CHUNK, sg.duration_ms(F.col("n_samples"), tb.SAMPLE_RATE).alias("duration_ms")
+    sizes = tb.samples(spark, sf_dir).groupBy(*CHUNK).agg(
+        F.count(F.lit(1)).alias("n"), F.max("rate").alias("rate")
     )
+    return sizes.select(*CHUNK, sg.duration_ms(F.col("n"), F.col("rate")).alias("duration_ms"))
 
 
 QUERIES = {
@@ -78,8 +90,8 @@ QUERIES = {
     "silence_ratio": silence_ratio,
     "boundary_rms": boundary_rms,
     "discontinuities": discontinuities,
-    "loudness_variance": _metric("variance", "loudness_variance"),
-    "variation_score": _metric("score", "variation_score"),
+    "loudness_variance": loudness_variance,
+    "variation_score": variation_score,
     "signal_label": signal_label,
     "signal_report": signal_report,
     "chunk_duration_ms": chunk_duration_ms,
@@ -88,13 +100,13 @@ QUERIES = {
 # ----------------------------------------------------------------- SQL side --
 _CHUNKS = with_(
     SAMPLES,
-    """ch AS (SELECT series_id, chunk_idx, count(*) AS n, sqrt(avg(CAST(s AS BIGINT) * s)) AS rms,
-  sqrt(avg(CAST(s AS BIGINT) * s) FILTER (sample_idx < 2)) AS head_rms,
-  sqrt(avg(CAST(s AS BIGINT) * s) FILTER (sample_idx >= n_samples - 2)) AS tail_rms
+    """ch AS (SELECT series_id, chunk_idx, count(*) AS n, max(rate) AS rate, sqrt(avg(CAST(s AS BIGINT) * s)) AS rms,
+  sqrt(avg(CAST(s AS BIGINT) * s) FILTER (sample_idx < rate * 100 // 1000)) AS head_rms,
+  sqrt(avg(CAST(s AS BIGINT) * s) FILTER (sample_idx >= n_samples - rate * 100 // 1000)) AS tail_rms
   FROM samples GROUP BY series_id, chunk_idx)""",
     """win AS (SELECT series_id, chunk_idx, avg(CASE WHEN r <= 500 THEN 1.0 ELSE 0.0 END) AS silence FROM (
     SELECT series_id, chunk_idx, sqrt(avg(CAST(s AS BIGINT) * s)) AS r
-    FROM samples GROUP BY series_id, chunk_idx, sample_idx // 2)
+    FROM samples GROUP BY series_id, chunk_idx, sample_idx // (rate * 10 // 1000))
   GROUP BY series_id, chunk_idx)""",
     """lv AS (SELECT ch.*, silence,
   CASE WHEN rms <= 0 THEN -90.0 ELSE 20 * log10(rms / 32768) END AS loud
@@ -134,5 +146,5 @@ ORACLES = {
   coalesce(round(score, 1), 0.0) AS chunk_variation_score, coalesce(label, 'unknown') AS quality_label
 FROM (SELECT DISTINCT user_id % 40 AS series_id FROM events) x LEFT JOIN lb ON x.series_id = lb.series_id""",
     "chunk_duration_ms": _CHUNKS
-    + "SELECT series_id, chunk_idx, CAST(n * 1000 // 16000 AS BIGINT) AS duration_ms FROM ch",
+    + "SELECT series_id, chunk_idx, CAST(n * 1000 // rate AS BIGINT) AS duration_ms FROM ch",
 }

@@ -95,7 +95,8 @@ SAMPLES = """samples AS (
   SELECT user_id % 20 AS series_id,
          CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS chunk_idx,
          row_number() OVER w - 1 AS sample_idx, CAST(round(value * 40) AS INTEGER) AS s,
-         count(*) OVER (PARTITION BY user_id % 20, CAST(ts AS DATE)) AS n_samples
+         count(*) OVER (PARTITION BY user_id % 20, CAST(ts AS DATE)) AS n_samples,
+         CASE WHEN user_id % 2 = 0 THEN 200 ELSE 300 END AS rate
   FROM events
   WINDOW w AS (PARTITION BY user_id % 20, CAST(ts AS DATE) ORDER BY event_id))"""
 

@@ -16,9 +16,7 @@ from narralake.operators.repair import GLYPH_REPLACEMENTS
 LINES_PER_PAGE = 10
 LINES_PER_PARAGRAPH = 5
 TOKEN_NAMES = ("tok1", "tok2", "tok3", "tok4")
-SAMPLE_WINDOW = 2
-SAMPLE_BOUNDARY = 2
-SAMPLE_RATE = 16000
+SAMPLE_RATES = (200, 300)
 
 # Text appended to the page of a document, by doc_id modulo their number, so
 # that every cleaning and repair rule has something to do.
@@ -270,6 +268,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("_pos") - 1).alias("sample_idx"),
         "s",
         "n_samples",
+        F.get(F.array(*[F.lit(r) for r in SAMPLE_RATES]), (F.col("series_id") % len(SAMPLE_RATES)).cast("int")).alias("rate"),
     )
 
 

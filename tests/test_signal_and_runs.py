@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,6 +10,9 @@ from narralake.operators import ordered as od
 from narralake.operators import signal as sg
 from narralake.operators import telemetry as tm
 from narralake.operators import tokens as tk
+from narralake.plans.registry import queries
+
+QUERIES = queries()
 
 
 def _samples(spark, chunks):
@@ -205,6 +209,58 @@ def test_errors(value):
     assert got[4][1] == tm.NO_MESSAGE and got[5][1] == "x" * 200
 
 
+def test_newest_record_by_hash_aggregation(spark):
+    log = spark.createDataFrame(
+        [(1, "a", "x"), (5, "a", "y"), (2, None, "z"), (4, None, None), (3, "b", "w")],
+        "seq bigint, intake_id string, status string",
+    )
+    newest = tm.latest_status(log)
+    assert newest.columns == ["intake_id", "seq", "status"]
+    got = {r["intake_id"]: (r["seq"], r["status"]) for r in newest.collect()}
+    assert got == {"a": (5, "y"), None: (4, None), "b": (3, "w")}
+    assert tm.latest_status(log.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("name", ["latest_status", "find_active", "attempt_manifest"])
+def test_newest_records_need_no_sorted_aggregate(spark, small, name):
+    plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_null_key_is_a_key_in_ordered_helpers(spark):
+    rows = spark.createDataFrame([(None, 1), (None, 9), (None, 30), (1, 2)], "k bigint, o bigint")
+    numbered = od.with_row_number(rows, ["k"], "o", "n", "total", block=8).collect()
+    assert {(r["k"], r["o"]): (r["n"], r["total"]) for r in numbered} == {
+        (None, 1): (1, 3), (None, 9): (2, 3), (None, 30): (3, 3), (1, 2): (1, 1)
+    }
+    back = od.with_previous(rows, ["k"], "o", F.struct("o"), "prev", block=8).collect()
+    assert {(r["k"], r["o"]): r["prev"] and r["prev"]["o"] for r in back} == {
+        (None, 1): None, (None, 9): 1, (None, 30): 9, (1, 2): None
+    }
+
+
+def test_windows_follow_the_rate_of_the_chunk(spark):
+    level = [0] * 5 + [8000] * 5 + [0] * 40
+    fast = _samples(spark, {(1, 1): level}).withColumn("rate", F.lit(500))
+    slow = _samples(spark, {(1, 1): level}).withColumn("rate", F.lit(100))
+    fast, slow = sg.chunk_levels(fast).first(), sg.chunk_levels(slow).first()
+    assert fast["silence_ratio"] == 0.9 and slow["silence_ratio"] == 0.9
+    assert round(fast["head_rms"], 6) == round(fast["tail_rms"], 6) == round(8000 * 0.1**0.5, 6)
+    assert slow["tail_rms"] == 0.0 and round(slow["head_rms"], 6) == round(8000 * 0.5**0.5, 6)
+
+
+@pytest.mark.parametrize("name", ["signal_report", "signal_label", "variation_score", "discontinuities"])
+def test_signal_metrics_start_at_stored_chunks(spark, small, name):
+    """The samples are numbered and summed once; the look-back reads chunk rows."""
+    plan = QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sample_idx" not in plan
+
+
+def test_narration_pipeline_is_map_only(spark, small):
+    plan = QUERIES["narration_pipeline"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hash" not in plan and "Join" not in plan
+
+
 def test_manifest_keeps_last_record(spark):
     rows = spark.createDataFrame(
         [(1, "j", 1, "a"), (2, "j", 1, "b"), (3, None, 1, "c"), (4, "j", None, "d")],
