@@ -8,7 +8,8 @@ text, never with the square of a passage's copies.  Per document, the links to
 one other document are merged along diagonals and chained: the best chain
 ending in a match is found with a Fenwick tree of prefix maxima, as gap costs
 are linear.  Chains are aligned word by word, gaps with a small edit table,
-ends by extension, and passages that are long and alike enough are returned.
+ends by extension; a chain is cut where it stops being alike, and all stretches
+of it that are long and alike enough are returned.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ GAP = 0.04  # cost of a skipped word, on either side
 FAR = 64  # words between two matches of a chain, at most
 PART = 256  # words in a stored part of a text
 FLANK = 96  # words beside a chain that an alignment may use
+STEP = 32  # words on each side that an extension looks at in one step
 
 
 def seeds(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -88,10 +90,10 @@ class PrefixMax:
 
 
 def diagonals(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Matches merged along diagonals: rows (x, y, length), at most FAR words apart inside."""
+    """Matches merged along diagonals: rows (x, y, length), fewer than W + 1 unmatched words apart inside."""
     order = np.lexsort((x, x - y))
     x, y = x[order], y[order]
-    new = np.r_[True, (np.diff(x - y) != 0) | (np.diff(x) > FAR)]
+    new = np.r_[True, (np.diff(x - y) != 0) | (np.diff(x) > K + W)]
     start = np.flatnonzero(new)
     end = np.r_[start[1:], len(x)] - 1
     return np.stack([x[start], y[start], x[end] - x[start] + K], 1)
@@ -138,20 +140,12 @@ def chains(x: np.ndarray, y: np.ndarray) -> list[list[tuple[int, int, int]]]:
 
 
 def worth_aligning(found: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
-    """Chains that span SPAN words, but none that lies within a long, better one of the same two documents.
+    """The best chain, and all that span SPAN words.
 
     The best is always among them: in a run of one repeated word all seeds meet
     one position, and only the alignment can tell how far the run goes.
     """
-    kept, ranges = [], []
-    for chain in found:
-        start, end = chain[0][0], chain[-1][0] + chain[-1][2]
-        if kept and end - start < SPAN or any(s <= start and end <= e for s, e in ranges):
-            continue
-        kept.append(chain)
-        if end - start >= LENGTH:
-            ranges.append((start, end))
-    return kept
+    return [c for i, c in enumerate(found) if i == 0 or c[-1][0] + c[-1][2] - c[0][0] >= SPAN]
 
 
 def sorted_runs(batches: Iterator[pa.RecordBatch], names: list[str], keys: int) -> Iterator[list[np.ndarray]]:
@@ -175,70 +169,187 @@ def sorted_runs(batches: Iterator[pa.RecordBatch], names: list[str], keys: int)
 
 
 def _chain_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row, ref and the matches of each chain, as flat triples."""
-    row, ref, parts = [], [], []
+    """row, ref, the matches of all their chains, as flat triples with a size before each chain, and its ends."""
+    out: list[tuple] = []
 
     def rows() -> pa.RecordBatch:
+        row, ref, parts, ends = zip(*out, strict=True) if out else ([],) * 4
         return pa.RecordBatch.from_pydict(
-            {"row": pa.array(row, pa.int64()), "ref": pa.array(ref, pa.int64()), "parts": pa.array(parts, pa.list_(pa.int32()))}
+            {
+                "row": pa.array(row, pa.int64()),
+                "ref": pa.array(ref, pa.int64()),
+                "parts": pa.array(parts, pa.list_(pa.int32())),
+                "ends": pa.array(ends, pa.list_(pa.list_(pa.int32()))),
+            }
         )
 
+    held = 0
     for r, o, x, y in sorted_runs(batches, ["row", "ref", "pos", "ref_pos"], 2):
         # Matches of one word run only cannot span enough.
         if x[-1] - x[0] + K < SPAN:
             continue
-        for chain in worth_aligning(chains(x.astype(np.int64), y.astype(np.int64))):
-            row.append(int(r[0]))
-            ref.append(int(o[0]))
-            parts.append([v for p in chain for v in p])
-        if len(row) > 20_000:
+        found = worth_aligning(chains(x.astype(np.int64), y.astype(np.int64)))
+        ends = [[c[0][0], c[-1][0] + c[-1][2], c[0][1], c[-1][1] + c[-1][2]] for c in found]
+        parts = [v for c in found for v in (len(c), *(w for p in c for w in p))]
+        out.append((int(r[0]), int(o[0]), parts, ends))
+        held += len(parts)
+        if held > 100_000:
             yield rows()
-            row, ref, parts = [], [], []
+            out, held = [], 0
     yield rows()
 
 
 # ------------------------------------------------------------------- alignment
-def extended(same: np.ndarray) -> int:
-    """How far equality carries on: +1 for a match, -2 for a mismatch, stop 8 under the best."""
-    if not len(same):
-        return 0
-    run = np.cumsum(np.where(same, 1, -2))
-    top = np.maximum.accumulate(np.maximum(run, 0))
-    stop = np.flatnonzero(top - run >= 8)
-    run = run[: stop[0]] if len(stop) else run
-    if not len(run) or run.max() <= 0:
-        return 0
-    return int(run.argmax()) + 1
-
-
-def common(a: np.ndarray, b: np.ndarray) -> int:
-    """Longest common subsequence of two short stretches."""
+def common(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions, in both, of a longest common subsequence of two short stretches."""
     if len(a) == len(b):
-        straight = int((a == b).sum())
-        if straight >= len(a) - 1:
-            return straight
-    best = np.zeros(len(b) + 1, np.int64)
-    for w in a:
-        step = np.where(b == w, best[:-1] + 1, 0)
-        best[1:] = np.maximum.accumulate(np.maximum(best[1:], step))
-    return int(best[-1])
+        straight = np.flatnonzero(a == b)
+        if len(straight) >= len(a) - 1:
+            return straight, straight
+    at_a, at_b = np.flatnonzero(np.isin(a, b)), np.flatnonzero(np.isin(b, a))
+    a, b = a[at_a], b[at_b]
+    best = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+    for i, w in enumerate(a, 1):
+        step = np.where(b == w, best[i - 1, :-1] + 1, 0)
+        best[i, 1:] = np.maximum.accumulate(np.maximum(best[i - 1, 1:], step))
+    found, i, j, table_ = [], len(a), len(b), best.tolist()
+    while i and j:
+        here = table_[i][j]
+        if here == table_[i - 1][j]:
+            i -= 1
+        elif here == table_[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            found.append((i, j))
+    pairs = np.array(found[::-1], np.int64).reshape(-1, 2)
+    return at_a[pairs[:, 0]], at_b[pairs[:, 1]]
+
+
+def extended(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal words from the start of two texts on, for as long as half of the next STEP words is common."""
+    found_a, found_b, at_a, at_b = [], [], 0, 0
+    while True:
+        size, same = STEP, 0
+        while True:  # a plain equal run, in doubling looks
+            n = min(size, len(a) - at_a - same, len(b) - at_b - same)
+            differ = a[at_a + same : at_a + same + n] != b[at_b + same : at_b + same + n]
+            run = int(differ.argmax()) if differ.any() else n
+            same += run
+            if run < n or n < size:
+                break
+            size *= 2
+        found_a.append(np.arange(at_a, at_a + same))
+        found_b.append(np.arange(at_b, at_b + same))
+        at_a, at_b = at_a + same, at_b + same
+        x, y = a[at_a : at_a + STEP], b[at_b : at_b + STEP]
+        in_a, in_b = common(x, y) if len(x) and len(y) else (x[:0], y[:0])
+        found_a.append(at_a + in_a.astype(np.int64))
+        found_b.append(at_b + in_b.astype(np.int64))
+        if 2 * len(in_a) < STEP:
+            return np.concatenate(found_a), np.concatenate(found_b)
+        at_a, at_b = int(found_a[-1][-1]) + 1, int(found_b[-1][-1]) + 1
+
+
+def matched(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Positions, in both texts, of the equal words along a chain and beyond its two ends."""
+    x, y, _ = chain[0]
+    left_a, left_b = extended(a[:x][::-1], b[:y][::-1])
+    found_a, found_b = [x - 1 - left_a[::-1]], [y - 1 - left_b[::-1]]
+    at_a, at_b = x, y
+    for x, y, size in chain:
+        if x > at_a and y > at_b:
+            in_a, in_b = common(a[at_a:x], b[at_b:y])
+            found_a.append(at_a + in_a)
+            found_b.append(at_b + in_b)
+        same = np.flatnonzero(a[x : x + size] == b[y : y + size])
+        found_a.append(x + same)
+        found_b.append(y + same)
+        at_a, at_b = x + size, y + size
+    right_a, right_b = extended(a[at_a:], b[at_b:])
+    return np.concatenate([*found_a, at_a + right_a]), np.concatenate([*found_b, at_b + right_b])
+
+
+def _segments(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """The maximal scoring ranges of matches (Ruzzo and Tompa): +1 an equal word, -2 an exchanged, -1 a lone one."""
+    da, db = np.diff(a) - 1, np.diff(b) - 1
+    cost = np.minimum(da, db) + np.maximum(da, db)
+    starts = np.r_[0, np.flatnonzero(cost) + 1]
+    stops = np.r_[starts[1:], len(a)]
+    total = 0
+    kept: list[tuple[int, int, int, int]] = []  # sum before, sum after, first, last
+    for first, stop, lost in zip(starts.tolist(), stops.tolist(), [0, *cost[cost > 0].tolist()], strict=True):
+        total -= lost
+        low, total = total, total + stop - first
+        while True:
+            at = len(kept) - 1
+            while at >= 0 and kept[at][0] >= low:
+                at -= 1
+            if at < 0 or kept[at][1] >= total:
+                kept.append((low, total, first, stop - 1))
+                break
+            low, first = kept[at][0], kept[at][2]
+            del kept[at:]
+    return [(first, last) for _, _, first, last in kept]
+
+
+def stretches(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """First and last of the matches of each passage; a and b are the positions of equal words.
+
+    First the best-scoring ranges that are long and alike enough.  Between
+    them, the longest range that is, as long as there is one: a short tail
+    behind many exchanged words never pays by its score.
+    """
+    n = np.arange(len(a))
+    # Ranges i..j with u[j] - u[i] >= -1 have equal words for 4/5 of the side; so with v.
+    u, v = 5 * n - 4 * a, 5 * n - 4 * b
+
+    def fits(i: int, j: int) -> bool:
+        return a[j] - a[i] + 1 >= LENGTH and u[j] - u[i] >= -1 and v[j] - v[i] >= -1
+
+    def longest(lo: int, hi: int) -> tuple[int, int] | None:
+        """Of lo..hi."""
+        if hi < lo or a[hi] - a[lo] + 1 < LENGTH:
+            return None
+        best, size = None, 0
+        tops = [np.maximum.accumulate(w[lo : hi + 1][::-1])[::-1] for w in (u, v)]
+        far = np.searchsorted(a[lo : hi + 1], a[lo : hi + 1] + LENGTH - 1)
+        ok = far <= hi - lo
+        far = far.clip(max=hi - lo)
+        for top, w in zip(tops, (u, v), strict=True):
+            ok &= top[far] - w[lo : hi + 1] >= -1
+        for i in np.flatnonzero(ok).tolist():
+            at = lo + int(far[i])
+            good = np.flatnonzero((u[at : hi + 1] - u[lo + i] >= -1) & (v[at : hi + 1] - v[lo + i] >= -1))
+            if len(good) and a[at + good[-1]] - a[lo + i] + 1 > size:
+                best, size = (lo + i, at + int(good[-1])), int(a[at + good[-1]] - a[lo + i] + 1)
+        return best
+
+    if len(a) == 0:
+        return []
+    out = [s for s in _segments(a, b) if fits(*s)]
+    cuts = [-1, *(v for s in out for v in s), len(a)]
+    open_ = [(i + 1, j - 1) for i, j in zip(cuts[::2], cuts[1::2], strict=True)]
+    while open_:
+        lo, hi = open_.pop()
+        found = longest(lo, hi)
+        if found:
+            out.append(found)
+            open_ += [(lo, found[0] - 1), (found[1] + 1, hi)]
+    return sorted(out)
+
+
+def passages_of(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """(a start, a end, b start, b end, equal words) of each passage along a chain over two texts' words."""
+    in_a, in_b = matched(a, b, chain)
+    return [
+        (int(in_a[i]), int(in_a[j]) + 1, int(in_b[i]), int(in_b[j]) + 1, j - i + 1) for i, j in stretches(in_a, in_b)
+    ]
 
 
 def align(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]]) -> tuple[int, int, int, int, int]:
-    """(a start, a end, b start, b end, equal words) of a chain over two texts' words."""
-    equal, at_a, at_b = 0, chain[0][0], chain[0][1]
-    for x, y, size in chain:
-        equal += common(a[at_a:x], b[at_b:y]) if x > at_a and y > at_b else 0
-        equal += int((a[x : x + size] == b[y : y + size]).sum())
-        at_a, at_b = x + size, y + size
-    x, y, _ = chain[0]
-    n = min(x, y)
-    left = extended((a[x - n : x] == b[y - n : y])[::-1])
-    n = min(len(a) - at_a, len(b) - at_b)
-    right = extended(a[at_a : at_a + n] == b[at_b : at_b + n])
-    equal += int((a[x - left : x] == b[y - left : y]).sum())
-    equal += int((a[at_a : at_a + right] == b[at_b : at_b + right]).sum())
-    return x - left, at_a + right, y - left, at_b + right, equal
+    """The longest passage along a chain."""
+    return max(passages_of(a, b, chain), key=lambda p: p[1] - p[0])
 
 
 def _parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,6 +368,15 @@ def _parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _text_of(part: np.ndarray, data: np.ndarray, hole: int) -> tuple[int, np.ndarray]:
+    """The first word's position and the words from the first part to the last; parts not asked for are holes."""
+    base = int(part[0])
+    words = np.full((int(part[-1]) - base) * PART + len(data[-1]) // 8, hole, np.uint64)
+    for p, d in zip(part.tolist(), data, strict=True):
+        words[(p - base) * PART : (p - base) * PART + len(d) // 8] = np.frombuffer(d, "<u8")
+    return base * PART, words
+
+
 def _align_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ("row", "ref", "start", "end", "ref_start", "ref_end", "n_equal")
     out: list[tuple] = []
@@ -265,19 +385,25 @@ def _align_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = list(zip(*out, strict=True)) or [[] for _ in names]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=list(names))
 
-    cols = ["id", "side", "part", "row", "ref", "parts", "data"]
-    for _, side, part, row, ref, parts, data in sorted_runs(batches, cols, 1):
+    cols = ["row", "ref", "side", "part", "parts", "data"]
+    for row, ref, side, part, parts, data in sorted_runs(batches, cols, 2):
         n = int((side == 0).sum())  # sorted by side, then part: the parts of a side follow each other
         if n == 0 or n == len(side):
             continue
-        a0, b0 = int(part[0]) * PART, int(part[n]) * PART
-        a = np.frombuffer(b"".join(data[:n]), "<u8")
-        b = np.frombuffer(b"".join(data[n:]), "<u8")
-        flat = [int(v) for v in parts[0]]
-        chain = [(x - a0, y - b0, k) for x, y, k in zip(flat[::3], flat[1::3], flat[2::3], strict=True)]
-        s, e, rs, re_, equal = align(a, b, chain)
-        if e - s >= LENGTH and equal >= SIMILARITY * max(e - s, re_ - rs):
-            out.append((int(row[0]), int(ref[0]), s + a0, e + a0, rs + b0, re_ + b0, equal))
+        a0, a = _text_of(part[:n], data[:n], 0)
+        b0, b = _text_of(part[n:], data[n:], 1)
+        flat, at = parts[0].tolist(), 0
+        taken: set[tuple] = set()
+        while at < len(flat):
+            m, at = flat[at], at + 1
+            chain = [(flat[i], flat[i + 1], flat[i + 2]) for i in range(at, at + 3 * m, 3)]
+            at += 3 * m
+            # A chain within an accepted passage has nothing to add.
+            if any(t[0] <= chain[0][0] and chain[-1][0] + chain[-1][2] <= t[1] for t in taken):
+                continue
+            for s, e, rs, re_, equal in passages_of(a, b, [(x - a0, y - b0, k) for x, y, k in chain]):
+                taken.add((s + a0, e + a0, rs + b0, re_ + b0, equal))
+        out += [(int(row[0]), int(ref[0]), *t) for t in sorted(taken)]
         if len(out) > 20_000:
             yield rows()
             out = []
@@ -285,7 +411,7 @@ def _align_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Passages that stand in an earlier document, too: one row per chain.
+    """Passages that stand in an earlier document, too: one row per passage of a chain.
 
     key, start and end (words, end excluded), ref_<key>, ref_start, ref_end and
     n_equal.  "Earlier" is an arbitrary fixed order; of all documents with a
@@ -309,20 +435,23 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id")
     chained = keep(
         links.repartition("row", "ref")
         .sortWithinPartitions("row", "ref", "pos", "ref_pos")
-        .mapInArrow(_chain_rows, "row long, ref long, parts array<int>")
-        .withColumn("id", F.xxhash64("row", "ref", "parts")),
+        .mapInArrow(_chain_rows, "row long, ref long, parts array<int>, ends array<array<int>>"),
         "chains",
     )
-    size = F.size("parts")
 
     def side(name: str, at: int) -> DataFrame:
-        first = F.greatest(F.col("parts")[at] - FLANK, F.lit(0))
-        last = F.get("parts", size - 3 + at) + F.get("parts", size - 1) + FLANK
-        wanted = F.sequence(F.floor(first / PART).cast("int"), F.floor(last / PART).cast("int"))
+        """The parts of a side that the pair's chains and their flanks touch; the first has the chains."""
+
+        def touched(ends: Column) -> Column:
+            first = F.greatest(ends[2 * at] - FLANK, F.lit(0))
+            last = ends[2 * at + 1] + FLANK
+            return F.sequence(F.floor(first / PART).cast("int"), F.floor(last / PART).cast("int"))
+
+        wanted = F.sort_array(F.array_distinct(F.flatten(F.transform("ends", touched))))
         return chained.select(
-            "id", "row", "ref", F.when(F.lit(at == 0), F.col("parts")).alias("parts"),
-            F.lit(at).alias("side"), F.col(name).alias("_of"), F.explode(wanted).alias("part"),
-        )
+            "row", "ref", "parts", F.lit(at).alias("side"), F.col(name).alias("_of"),
+            F.posexplode(wanted).alias("_nth", "part"),
+        ).withColumn("parts", F.when((F.col("side") == 0) & (F.col("_nth") == 0), F.col("parts"))).drop("_nth")
 
     asked = side("row", 0).unionByName(side("ref", 1))
     wanted = asked.select(F.col("_of").alias("row"), "part").distinct()
@@ -337,9 +466,9 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id")
     )
     met = asked.join(parts.withColumnRenamed("row", "_of"), ["_of", "part"])
     passages = keep(
-        met.select("id", "row", "ref", "parts", "side", "part", "data")
-        .repartition("id")
-        .sortWithinPartitions("id", "side", "part")
+        met.select("row", "ref", "side", "part", "parts", "data")
+        .repartition("row", "ref")
+        .sortWithinPartitions("row", "ref", "side", "part")
         .mapInArrow(_align_rows, "row long, ref long, start long, end long, ref_start long, ref_end long, n_equal long"),
         "passages",
     )

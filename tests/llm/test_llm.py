@@ -386,3 +386,28 @@ def test_query_equals_its_sql(spark, name):
     want = c.sql(ORACLES[name]).df()[list(got.columns)]
     key = list(got.columns)
     assert got.sort_values(key).values.tolist() == want.sort_values(key).values.tolist()
+
+
+def fresh(seed, n):
+    """Words that no other text has, but by chance."""
+    return prose(seed, n, 10**6).split()
+
+
+def passages_between(spark, first, second):
+    """Ranges of the second text's words, or of the first's, that are named."""
+    ship(spark)
+    rows = spark.createDataFrame([(1, " ".join(first)), (2, " ".join(second))], "doc_id long, text string")
+    out = passages.repeated_passages(rows).collect()
+    return sorted((r.start, r.end) if r.doc_id == 2 else (r.ref_start, r.ref_end) for r in out)
+
+
+def test_chains_are_cut_where_texts_differ(spark):
+    p, q, seed = fresh(30, 55), fresh(31, 55), fresh(32, 20)
+    # A passage and one more shared seed; two passages with other words between; alternating words.
+    assert passages_between(
+        spark, [*fresh(33, 30), *p, *fresh(34, 50), *seed, *fresh(35, 30)], [*fresh(36, 40), *p, *fresh(37, 50), *seed, *fresh(38, 9)]
+    ) == [(40, 95)]
+    assert passages_between(spark, [*p, *fresh(39, 60), *q], [*p, *fresh(40, 60), *q]) == [(0, 55), (115, 170)]
+    shared = [fresh(41 + i, 60) for i in range(4)]
+    mixed = [[w for i, s in enumerate(shared) for w in (*s, *fresh(50 + 9 * side + i, 40))] for side in (0, 1)]
+    assert passages_between(spark, *mixed) == [(100 * i, 100 * i + 60) for i in range(4)]
