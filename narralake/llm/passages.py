@@ -6,8 +6,7 @@ seed.  A seed's first occurrence (least document, then position) stands for
 all of them, and every other occurrence is joined to it: links grow with the
 text, never with the square of a passage's copies.  Per document, the links to
 one other document are merged along diagonals and chained: the best chain
-ending in a match is found with a Fenwick tree of prefix maxima, as gap costs
-are linear.  Chains are aligned word by word, gaps with a small edit table,
+ending in a match continues the best of those that end close before it.  Chains are aligned word by word, gaps with a small edit table,
 ends by extension; a chain is cut where it stops being alike, and all stretches
 of it that are long and alike enough are returned.
 """
@@ -15,6 +14,7 @@ of it that are long and alike enough are returned.
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,30 +65,6 @@ def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 # -------------------------------------------------------------------- chaining
-class PrefixMax:
-    """Fenwick tree: the greatest value, and its owner, among ranks below one."""
-
-    def __init__(self, n: int):
-        self.value = [float("-inf")] * (n + 1)
-        self.owner = [-1] * (n + 1)
-
-    def put(self, rank: int, value: float, owner: int) -> None:
-        rank += 1
-        while rank < len(self.value):
-            if value > self.value[rank]:
-                self.value[rank], self.owner[rank] = value, owner
-            rank += rank & -rank
-
-    def best(self, rank: int) -> tuple[float, int]:
-        """Over all ranks smaller than the given one."""
-        value, owner = float("-inf"), -1
-        while rank > 0:
-            if self.value[rank] > value:
-                value, owner = self.value[rank], self.owner[rank]
-            rank -= rank & -rank
-        return value, owner
-
-
 def diagonals(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Matches merged along diagonals: rows (x, y, length), fewer than W + 1 unmatched words apart inside."""
     order = np.lexsort((x, x - y))
@@ -100,32 +76,36 @@ def diagonals(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def chains(x: np.ndarray, y: np.ndarray) -> list[list[tuple[int, int, int]]]:
-    """Collinear chains of (x, y, length), best first; every match is in one chain at most."""
+    """Collinear chains of (x, y, length), best first; every match is in one chain at most.
+
+    Only matches that end at most FAR words before a match, on both sides,
+    compete to precede it.  Different matches end at different x, so at most
+    FAR + 1 are open at a time.
+    """
     parts = diagonals(x, y)
     parts = parts[np.lexsort((parts[:, 1], parts[:, 0]))]
     if len(parts) == 1:
         return [[tuple(map(int, parts[0]))]]
     n = len(parts)
-    ends = np.sort(parts[:, 1] + parts[:, 2])
-    tree = PrefixMax(n)
     score, before = [0.0] * n, [-1] * n
     rows = [tuple(map(int, p)) for p in parts]
     by_end = sorted(range(n), key=lambda i: rows[i][0] + rows[i][2])
+    open_: deque[int] = deque()
     waiting = 0
     for i, (px, py, size) in enumerate(rows):
         while waiting < n and rows[by_end[waiting]][0] + rows[by_end[waiting]][2] <= px:
-            j = by_end[waiting]
-            jx, jy, js = rows[j]
-            if j < i:
-                tree.put(int(np.searchsorted(ends, jy + js)), score[j] + GAP * (jx + jy + 2 * js), j)
+            open_.append(by_end[waiting])
             waiting += 1
-        value, j = tree.best(int(np.searchsorted(ends, py, "right")))
-        score[i] = float(size)
-        if j >= 0 and value - GAP * (px + py) > 0:
+        while open_ and rows[open_[0]][0] + rows[open_[0]][2] < px - FAR:
+            open_.popleft()
+        gain = 0.0
+        for j in open_:
             jx, jy, js = rows[j]
-            if px - jx - js <= FAR and py - jy - js <= FAR:
-                score[i] += value - GAP * (px + py)
-                before[i] = j
+            if py - FAR <= jy + js <= py:
+                value = score[j] - GAP * (px + py - jx - jy - 2 * js)
+                if value > gain:
+                    gain, before[i] = value, j
+        score[i] = size + gain
     used = [False] * n
     out = []
     for i in sorted(range(n), key=lambda i: -score[i]):

@@ -411,3 +411,11 @@ def test_chains_are_cut_where_texts_differ(spark):
     shared = [fresh(41 + i, 60) for i in range(4)]
     mixed = [[w for i, s in enumerate(shared) for w in (*s, *fresh(50 + 9 * side + i, 40))] for side in (0, 1)]
     assert passages_between(spark, *mixed) == [(100 * i, 100 * i + 60) for i in range(4)]
+
+
+def test_close_halves_are_chained_behind_a_long_passage(spark):
+    far, p, q = fresh(60, 400), fresh(61, 27), fresh(62, 27)
+    first = [*far, *fresh(63, 100), *p, *q, *fresh(64, 30)]
+    second = [*far, *fresh(65, 100), *p, "inserted", *q, *fresh(66, 30)]
+    got = passages_between(spark, first, second)
+    assert len(got) == 2 and got[0] == (0, 400) and got[1][0] == 500 and got[1][1] in (554, 555)
