@@ -7,13 +7,14 @@ all of them, and every other occurrence is joined to it: links grow with the
 text, never with the square of a passage's copies.  Per document, the links to
 one other document are merged along diagonals and chained: the best chain
 ending in a match continues the best of those that end close before it.  Chains are aligned word by word, gaps with a small edit table,
-ends by extension; a chain is cut where it stops being alike, and all stretches
+ends by extension, with more of the texts where it meets the edge; a chain is cut where it stops being alike, and all stretches
 of it that are long and alike enough are returned.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
 
@@ -32,7 +33,8 @@ SPAN = 20  # words from the first to the last match of a chain worth aligning
 GAP = 0.04  # cost of a skipped word, on either side
 FAR = 64  # words between two matches of a chain, at most
 PART = 256  # words in a stored part of a text
-FLANK = 96  # words beside a chain that an alignment may use
+FLANK = 96  # words beside a chain that the first alignment may use
+WIDER = 8  # growth of the flank where an alignment meets its edge
 STEP = 32  # words on each side that an extension looks at in one step
 
 
@@ -119,15 +121,6 @@ def chains(x: np.ndarray, y: np.ndarray) -> list[list[tuple[int, int, int]]]:
     return out
 
 
-def worth_aligning(found: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
-    """The best chain, and all that span SPAN words.
-
-    The best is always among them: in a run of one repeated word all seeds meet
-    one position, and only the alignment can tell how far the run goes.
-    """
-    return [c for i, c in enumerate(found) if i == 0 or c[-1][0] + c[-1][2] - c[0][0] >= SPAN]
-
-
 def sorted_runs(batches: Iterator[pa.RecordBatch], names: list[str], keys: int) -> Iterator[list[np.ndarray]]:
     """The columns, as arrays, of each run of rows with equal values in the first `keys` of them."""
     rest: list[np.ndarray] | None = None
@@ -168,7 +161,7 @@ def _chain_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Matches of one word run only cannot span enough.
         if x[-1] - x[0] + K < SPAN:
             continue
-        found = worth_aligning(chains(x.astype(np.int64), y.astype(np.int64)))
+        found = chains(x.astype(np.int64), y.astype(np.int64))
         ends = [[c[0][0], c[-1][0] + c[-1][2], c[0][1], c[-1][1] + c[-1][2]] for c in found]
         parts = [v for c in found for v in (len(c), *(w for p in c for w in p))]
         out.append((int(r[0]), int(o[0]), parts, ends))
@@ -206,8 +199,11 @@ def common(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at_a[pairs[:, 0]], at_b[pairs[:, 1]]
 
 
-def extended(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Equal words from the start of two texts on, for as long as half of the next STEP words is common."""
+def extended(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
+    """Equal words from the start of two texts on, for as long as half of the next STEP words is common.
+
+    The last of the three is how many words the step that ended it had on each side, or beyond.
+    """
     found_a, found_b, at_a, at_b = [], [], 0, 0
     while True:
         size, same = STEP, 0
@@ -227,14 +223,16 @@ def extended(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found_a.append(at_a + in_a.astype(np.int64))
         found_b.append(at_b + in_b.astype(np.int64))
         if 2 * len(in_a) < STEP:
-            return np.concatenate(found_a), np.concatenate(found_b)
+            return np.concatenate(found_a), np.concatenate(found_b), (len(a) - at_a, len(b) - at_b)
         at_a, at_b = int(found_a[-1][-1]) + 1, int(found_b[-1][-1]) + 1
 
 
-def matched(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Positions, in both texts, of the equal words along a chain and beyond its two ends."""
+def matched(
+    a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]]
+) -> tuple[np.ndarray, np.ndarray, tuple[int, int], tuple[int, int]]:
+    """Positions, in both texts, of the equal words along a chain and beyond its two ends; what was left at the ends."""
     x, y, _ = chain[0]
-    left_a, left_b = extended(a[:x][::-1], b[:y][::-1])
+    left_a, left_b, before = extended(a[:x][::-1], b[:y][::-1])
     found_a, found_b = [x - 1 - left_a[::-1]], [y - 1 - left_b[::-1]]
     at_a, at_b = x, y
     for x, y, size in chain:
@@ -246,8 +244,8 @@ def matched(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]]) ->
         found_a.append(x + same)
         found_b.append(y + same)
         at_a, at_b = x + size, y + size
-    right_a, right_b = extended(a[at_a:], b[at_b:])
-    return np.concatenate([*found_a, at_a + right_a]), np.concatenate([*found_b, at_b + right_b])
+    right_a, right_b, behind = extended(a[at_a:], b[at_b:])
+    return np.concatenate([*found_a, at_a + right_a]), np.concatenate([*found_b, at_b + right_b]), before, behind
 
 
 def _segments(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -319,9 +317,8 @@ def stretches(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def passages_of(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
-    """(a start, a end, b start, b end, equal words) of each passage along a chain over two texts' words."""
-    in_a, in_b = matched(a, b, chain)
+def passages_of(in_a: np.ndarray, in_b: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """(a start, a end, b start, b end, equal words) of each passage among the equal words of two texts."""
     return [
         (int(in_a[i]), int(in_a[j]) + 1, int(in_b[i]), int(in_b[j]) + 1, j - i + 1) for i, j in stretches(in_a, in_b)
     ]
@@ -329,13 +326,13 @@ def passages_of(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]])
 
 def align(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]]) -> tuple[int, int, int, int, int]:
     """The longest passage along a chain."""
-    return max(passages_of(a, b, chain), key=lambda p: p[1] - p[0])
+    return max(passages_of(*matched(a, b, chain)[:2]), key=lambda p: p[1] - p[0])
 
 
 def _parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word hashes of the wanted PART-word parts of each text."""
+    """Word hashes of the wanted PART-word parts of each text, and the number of its words."""
     for batch in rows_of(batches, 500):
-        row, part, data = [], [], []
+        row, part, data, size = [], [], [], []
         for r, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             hashes = word_hashes(text).astype("<u8")
             for p in wanted:
@@ -343,21 +340,42 @@ def _parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     row.append(r)
                     part.append(p)
                     data.append(hashes[p * PART : (p + 1) * PART].tobytes())
+                    size.append(len(hashes))
         yield pa.RecordBatch.from_pydict(
-            {"row": pa.array(row, pa.int64()), "part": pa.array(part, pa.int32()), "data": pa.array(data, pa.binary())}
+            {
+                "row": pa.array(row, pa.int64()),
+                "part": pa.array(part, pa.int32()),
+                "data": pa.array(data, pa.binary()),
+                "size": pa.array(size, pa.int64()),
+            }
         )
 
 
-def _text_of(part: np.ndarray, data: np.ndarray, hole: int) -> tuple[int, np.ndarray]:
-    """The first word's position and the words from the first part to the last; parts not asked for are holes."""
-    base = int(part[0])
-    words = np.full((int(part[-1]) - base) * PART + len(data[-1]) // 8, hole, np.uint64)
-    for p, d in zip(part.tolist(), data, strict=True):
-        words[(p - base) * PART : (p - base) * PART + len(d) // 8] = np.frombuffer(d, "<u8")
-    return base * PART, words
+class Fetched:
+    """The fetched parts of one text."""
+
+    def __init__(self, part: np.ndarray, data: np.ndarray, size: int):
+        new = np.flatnonzero(np.r_[True, np.diff(part) != 1])
+        cuts = [*new.tolist(), len(part)]
+        self.pieces = []  # start, words
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            self.pieces.append((int(part[i]) * PART, np.frombuffer(b"".join(data[i:j]), "<u8")))
+        self.size = size
+
+    def around(self, at: int) -> tuple[int, np.ndarray, bool, bool]:
+        """The piece with a word: its start, its words, and whether the text goes on before and behind it."""
+        start, words = self.pieces[bisect_right(self.pieces, at, key=lambda p: p[0]) - 1]
+        return start, words, start > 0, start + len(words) < self.size
+
+
+def _cut_short(a: tuple[int, bool], b: tuple[int, bool]) -> bool:
+    """Whether an extension ended for want of fetched words: (words left, text goes on) of both sides."""
+    over = any(left == 0 and not more for left, more in (a, b))
+    return not over and any(left < STEP and more for left, more in (a, b))
 
 
 def _align_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The passages of each pair of texts, or one row that starts at -1 if the pair needs wider flanks."""
     names = ("row", "ref", "start", "end", "ref_start", "ref_end", "n_equal")
     out: list[tuple] = []
 
@@ -365,13 +383,12 @@ def _align_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = list(zip(*out, strict=True)) or [[] for _ in names]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=list(names))
 
-    cols = ["row", "ref", "side", "part", "parts", "data"]
-    for row, ref, side, part, parts, data in sorted_runs(batches, cols, 2):
+    cols = ["row", "ref", "side", "part", "parts", "data", "size"]
+    for row, ref, side, part, parts, data, size in sorted_runs(batches, cols, 2):
         n = int((side == 0).sum())  # sorted by side, then part: the parts of a side follow each other
         if n == 0 or n == len(side):
             continue
-        a0, a = _text_of(part[:n], data[:n], 0)
-        b0, b = _text_of(part[n:], data[n:], 1)
+        text, other = Fetched(part[:n], data[:n], int(size[0])), Fetched(part[n:], data[n:], int(size[n]))
         flat, at = parts[0].tolist(), 0
         taken: set[tuple] = set()
         while at < len(flat):
@@ -381,8 +398,13 @@ def _align_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # A chain within an accepted passage has nothing to add.
             if any(t[0] <= chain[0][0] and chain[-1][0] + chain[-1][2] <= t[1] for t in taken):
                 continue
-            for s, e, rs, re_, equal in passages_of(a, b, [(x - a0, y - b0, k) for x, y, k in chain]):
-                taken.add((s + a0, e + a0, rs + b0, re_ + b0, equal))
+            a0, a, a_before, a_behind = text.around(chain[0][0])
+            b0, b, b_before, b_behind = other.around(chain[0][1])
+            in_a, in_b, (la, lb), (ra, rb) = matched(a, b, [(x - a0, y - b0, k) for x, y, k in chain])
+            if _cut_short((la, a_before), (lb, b_before)) or _cut_short((ra, a_behind), (rb, b_behind)):
+                taken = {(-1, -1, -1, -1, -1)}
+                break
+            taken |= {(s + a0, e + a0, rs + b0, re_ + b0, n_) for s, e, rs, re_, n_ in passages_of(in_a, in_b)}
         out += [(int(row[0]), int(ref[0]), *t) for t in sorted(taken)]
         if len(out) > 20_000:
             yield rows()
@@ -419,39 +441,49 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id")
         "chains",
     )
 
-    def side(name: str, at: int) -> DataFrame:
+    def side(pairs: DataFrame, flank: int, name: str, at: int) -> DataFrame:
         """The parts of a side that the pair's chains and their flanks touch; the first has the chains."""
 
         def touched(ends: Column) -> Column:
-            first = F.greatest(ends[2 * at] - FLANK, F.lit(0))
-            last = ends[2 * at + 1] + FLANK
+            first = F.greatest(ends[2 * at] - flank, F.lit(0))
+            last = ends[2 * at + 1] + flank
             return F.sequence(F.floor(first / PART).cast("int"), F.floor(last / PART).cast("int"))
 
         wanted = F.sort_array(F.array_distinct(F.flatten(F.transform("ends", touched))))
-        return chained.select(
+        return pairs.select(
             "row", "ref", "parts", F.lit(at).alias("side"), F.col(name).alias("_of"),
             F.posexplode(wanted).alias("_nth", "part"),
         ).withColumn("parts", F.when((F.col("side") == 0) & (F.col("_nth") == 0), F.col("parts"))).drop("_nth")
 
-    asked = side("row", 0).unionByName(side("ref", 1))
-    wanted = asked.select(F.col("_of").alias("row"), "part").distinct()
-    per_row = wanted.groupBy("row").agg(F.collect_list("part").alias("wanted"))
-    touched, _ = sieve(rows, F.col("row"), wanted.select("row"), "wanted")
-    parts = keep(
-        touched.join(per_row, "row")
-        .select("row", "text", "wanted")
-        .mapInArrow(_parts_of, "row long, part int, data binary")
-        .dropDuplicates(["row", "part"]),
-        "parts",
-    )
-    met = asked.join(parts.withColumnRenamed("row", "_of"), ["_of", "part"])
-    passages = keep(
-        met.select("row", "ref", "side", "part", "parts", "data")
-        .repartition("row", "ref")
-        .sortWithinPartitions("row", "ref", "side", "part")
-        .mapInArrow(_align_rows, "row long, ref long, start long, end long, ref_start long, ref_end long, n_equal long"),
-        "passages",
-    )
+    def aligned(pairs: DataFrame, flank: int) -> DataFrame:
+        asked = side(pairs, flank, "row", 0).unionByName(side(pairs, flank, "ref", 1))
+        wanted = asked.select(F.col("_of").alias("row"), "part").distinct()
+        per_row = wanted.groupBy("row").agg(F.collect_list("part").alias("wanted"))
+        touched, _ = sieve(rows, F.col("row"), wanted.select("row"), "wanted")
+        parts = keep(
+            touched.join(per_row, "row")
+            .select("row", "text", "wanted")
+            .mapInArrow(_parts_of, "row long, part int, data binary, size long")
+            .dropDuplicates(["row", "part"]),
+            "parts",
+        )
+        met = asked.join(parts.withColumnRenamed("row", "_of"), ["_of", "part"])
+        return keep(
+            met.select("row", "ref", "side", "part", "parts", "data", "size")
+            .repartition("row", "ref")
+            .sortWithinPartitions("row", "ref", "side", "part")
+            .mapInArrow(_align_rows, "row long, ref long, start long, end long, ref_start long, ref_end long, n_equal long"),
+            "passages",
+        )
+
+    # Each round has pairs whose alignments met the edges of the one before; flanks as long as the texts end it.
+    passages, flank = aligned(chained, FLANK), FLANK
+    more = passages.where("start < 0").select("row", "ref")
+    while not more.isEmpty():
+        flank *= WIDER
+        wider = aligned(chained.join(more, ["row", "ref"], "left_semi"), flank)
+        passages = passages.where("start >= 0").unionByName(wider)
+        more = wider.where("start < 0").select("row", "ref")
     named = docs.where(F.col(text).isNotNull()).select(F.col(key), _row(key, text).alias("row"))
     ends = passages.select(F.col("row").alias("_r")).union(passages.select("ref")).distinct()
     names = keep(named.join(ends, F.col("row") == F.col("_r"), "left_semi").dropDuplicates(["row"]), "names")

@@ -419,3 +419,12 @@ def test_close_halves_are_chained_behind_a_long_passage(spark):
     second = [*far, *fresh(65, 100), *p, "inserted", *q, *fresh(66, 30)]
     got = passages_between(spark, first, second)
     assert len(got) == 2 and got[0] == (0, 400) and got[1][0] == 500 and got[1][1] in (554, 555)
+
+
+def test_long_passages_of_a_short_period_are_whole(spark):
+    line = fresh(70, 12)
+    first = [*fresh(71, 30), *line * 400, *fresh(72, 30)]
+    assert passages_between(spark, first, [*fresh(73, 40), *line * 400, *fresh(74, 20)]) == [(40, 4840)]
+    # Fewer repeats in one text: the other's are named again and again, up to the last that make a passage.
+    few = passages_between(spark, first, [*fresh(75, 40), *line * 10, *fresh(76, 20)])
+    assert few and {i for s, e in few for i in range(s, e)} == set(range(40, 160))
