@@ -1,8 +1,9 @@
 """Operator 6, substring dedup: fuzzy repeated passages by collinear chaining.
 
-Seeds are K-word runs, thinned to the least hash in each window of W runs, the
-same in every document, so any two equal stretches of K + W - 1 words share a
-seed.  A seed's first occurrence (least document, then position) stands for
+Seeds are word runs of two lengths.  All short ones count, as few equal words
+stand together in passages that are changed every few words; long ones, thinned
+to the least hash in each window of runs, the same in every document, tell
+passages apart where the short ones are common.  A seed's first occurrence (least document, then position) stands for
 all of them, and every other occurrence is joined to it: links grow with the
 text, never with the square of a passage's copies.  Per document, the links to
 one other document are merged along diagonals and chained: the best chain
@@ -25,11 +26,11 @@ from pyspark.sql import functions as F
 
 from narralake.llm.common import WORD, gram_hashes, keep, rows_of, sieve, table, text_batches, word_hashes
 
-K = 7
-W = 12
+SEEDS = ((4, 1), (7, 12))  # words of a seed, runs of a window
+K = min(k for k, _ in SEEDS)  # words that a match of any seed has
+W = 12  # unmatched words inside a match, at most
 LENGTH = 50
 SIMILARITY = 0.8
-SPAN = 20  # words from the first to the last match of a chain worth aligning
 GAP = 0.04  # cost of a skipped word, on either side
 FAR = 64  # words between two matches of a chain, at most
 PART = 256  # words in a stored part of a text
@@ -39,14 +40,18 @@ STEP = 32  # words on each side that an extension looks at in one step
 
 
 def seeds(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, word position) of the least seed of each window; a short text is one window."""
-    runs = gram_hashes(word_hashes(text), K)
-    if len(runs) == 0:
-        return runs, np.zeros(0, np.int64)
-    width = min(W, len(runs))
-    least = np.lib.stride_tricks.sliding_window_view(runs, width).argmin(axis=1)
-    at = np.unique(least + np.arange(len(least)))
-    return runs[at], at
+    """(hash, word position) of the least seed of each window, for each kind of seed; a short text is one window."""
+    words, hashes, places = word_hashes(text), [], []
+    for k, w in SEEDS:
+        runs = gram_hashes(words, k)
+        if len(runs) == 0 or hashes and len(words) < k:
+            continue
+        width = min(w, len(runs))
+        least = np.lib.stride_tricks.sliding_window_view(runs, width).argmin(axis=1)
+        at = np.unique(least + np.arange(len(least)))
+        hashes.append(runs[at])
+        places.append(at)
+    return np.concatenate([np.zeros(0, np.uint64), *hashes]), np.concatenate([np.zeros(0, np.int64), *places])
 
 
 def _row(key: str, text: str) -> Column:
@@ -81,8 +86,8 @@ def chains(x: np.ndarray, y: np.ndarray) -> list[list[tuple[int, int, int]]]:
     """Collinear chains of (x, y, length), best first; every match is in one chain at most.
 
     Only matches that end at most FAR words before a match, on both sides,
-    compete to precede it.  Different matches end at different x, so at most
-    FAR + 1 are open at a time.
+    compete to precede it.  At most one match of each kind of seed starts at an x,
+    so few are open at a time.
     """
     parts = diagonals(x, y)
     parts = parts[np.lexsort((parts[:, 1], parts[:, 0]))]
@@ -158,9 +163,6 @@ def _chain_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held = 0
     for r, o, x, y in sorted_runs(batches, ["row", "ref", "pos", "ref_pos"], 2):
-        # Matches of one word run only cannot span enough.
-        if x[-1] - x[0] + K < SPAN:
-            continue
         found = chains(x.astype(np.int64), y.astype(np.int64))
         ends = [[c[0][0], c[-1][0] + c[-1][2], c[0][1], c[-1][1] + c[-1][2]] for c in found]
         parts = [v for c in found for v in (len(c), *(w for p in c for w in p))]

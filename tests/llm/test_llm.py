@@ -428,3 +428,23 @@ def test_long_passages_of_a_short_period_are_whole(spark):
     # Fewer repeats in one text: the other's are named again and again, up to the last that make a passage.
     few = passages_between(spark, first, [*fresh(75, 40), *line * 10, *fresh(76, 20)])
     assert few and {i for s, e in few for i in range(s, e)} == set(range(40, 160))
+
+
+def test_recall_of_evenly_changed_passages(spark):
+    """Every 5th to 9th word changed in passages of 50 to 80 words: each pair is alike enough by a count of all words."""
+    ship(spark)
+    rows, want = [], {}
+    for i, (size, every) in enumerate((s, e) for s in (50, 60, 70, 80) for e in (5, 6, 7, 8, 9)):
+        own = fresh(1000 + i, size)
+        other = [f"x{j}" if j % every == every // 2 else w for j, w in enumerate(own)]
+        assert sum(v == w for v, w in zip(own, other, strict=True)) >= 0.8 * size
+        rows.append((2 * i, " ".join([*fresh(2000 + i, 40), *own, *fresh(3000 + i, 40)])))
+        rows.append((2 * i + 1, " ".join([*fresh(4000 + i, 30), *other, *fresh(5000 + i, 30)])))
+        ends = [j for j, (v, w) in enumerate(zip(own, other, strict=True)) if v == w]
+        want[i] = ends[-1] - ends[0] + 1
+    found = defaultdict(int)
+    for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r.doc_id // 2 == r.ref_doc_id // 2 and 10 * r.n_equal >= 8 * (r.end - r.start)
+        found[r.doc_id // 2] += r.end - r.start
+    # A range ends with an equal word, and a tail of two words behind a changed one does not pay.
+    assert all(max(50, n - 6) <= found[i] <= n for i, n in want.items() if n >= 50)
