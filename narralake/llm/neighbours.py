@@ -1,15 +1,9 @@
-"""Operator 8, approximate nearest neighbours: multiprobe p-stable hashing.
-
-A table hashes a vector to the cell floor((a.x + b) / width) of a few Gaussian
-projections.  A query visits its own cell and the cells around it, all one-step
-perturbations in the order of their estimated success: by the sum of squared
-distances from the query to the cell walls.  Candidates of all tables are
-merged and ranked by their exact distance.
-
-Two numbers are fitted: the cell width and the number of visits.  For at most
-PILOTS queries the exact neighbours are found by brute force over all rows; the
-width follows their distance, and a table is probed as deep as it takes to
-reach the wanted share of them.  Every row is indexed.
+"""Operator 8, nearest neighbours by exact distance, block against block.
+
+Every group of queries meets every block of rows, and a product of matrices
+preselects the pairs whose distances are then taken exactly.  No row is left
+out, so a query has its k nearest wherever it lies, in a dense cluster or far
+from everything.  The work grows with queries times rows.
 """
 
 from __future__ import annotations
@@ -23,66 +17,13 @@ from narralake.llm.common import keep, table
 from narralake.llm.vectors import BLOCK, EVERY, GROUP, best_pairs, matrix, meet, n_blocks, ranked, usable
 
 K = 10
-TABLES = 4
-PROJECTIONS = 8
-WIDTH = 2.0  # in distances to the k-th neighbour
-PILOTS = 64
-WANTED = 0.97
 _SCHEMA = "query_id long, vec_id long, score double"
 
-#: All one-step perturbations of a cell: a step of -1, 0 or 1 for each projection.
-STEPS = np.array(np.meshgrid(*[[-1, 0, 1]] * PROJECTIONS, indexing="ij")).reshape(PROJECTIONS, -1).T
-_DOWN, _UP = (STEPS == -1).astype(np.float64), (STEPS == 1).astype(np.float64)
-_PLACE = 3 ** np.arange(PROJECTIONS)[::-1]
-
-
-class Hashes:
-    """The projections of all tables, the cell width and the number of cells to visit."""
-
-    def __init__(self, dim: int, width: float, seed: int = 11):
-        rng = np.random.default_rng(seed)
-        self.lines = rng.standard_normal((TABLES, dim, PROJECTIONS))
-        self.width = width
-        self.shift = rng.random((TABLES, PROJECTIONS)) * width
-        self.mixers = rng.integers(1, 2**62, PROJECTIONS) | 1
-        self.visits = len(STEPS)
-
-    def places(self, t: int, x: np.ndarray) -> np.ndarray:
-        return (x @ self.lines[t] + self.shift[t]) / self.width
-
-    def keys(self, cells: np.ndarray) -> np.ndarray:
-        return (cells.astype(np.int64) * self.mixers).sum(axis=-1)
-
-    def costs(self, places: np.ndarray) -> np.ndarray:
-        """Squared distance to each perturbed cell, in widths."""
-        low = places - np.floor(places)
-        return (low**2) @ _DOWN.T + ((1 - low) ** 2) @ _UP.T
-
-    def probes(self, t: int, q: np.ndarray) -> np.ndarray:
-        """Keys of the cells to visit, one row per query, likeliest first."""
-        places = self.places(t, q)
-        costs = self.costs(places)
-        n = min(self.visits, costs.shape[1])
-        order = np.argsort(costs, axis=1, kind="stable")[:, :n]
-        return self.keys(np.floor(places)[:, None, :] + STEPS[order])
-
-    def depth(self, q: np.ndarray, x: np.ndarray) -> int:
-        """Visits until the first table meets x; more than there are if none does."""
-        best = len(STEPS) + 1
-        for t in range(TABLES):
-            at_q, at_x = self.places(t, q), self.places(t, x)
-            step = np.floor(at_x) - np.floor(at_q)
-            if np.abs(step).max() <= 1:
-                cost = self.costs(at_q[None])[0]
-                own = cost[int(((step + 1) @ _PLACE))]
-                best = min(best, int((cost <= own).sum()))
-        return best
-
 
 def exact(
-    q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, allowed: np.ndarray | None
+    q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k nearest (query position, row position, distance); only allowed pairs, if given.
+    """The k nearest (query position, row position, distance) of each query.
 
     A product of matrices preselects, with room for its rounding; the distances
     of what stays are sums of squared differences.
@@ -90,8 +31,6 @@ def exact(
     square_q, square_x = (q**2).sum(1), (x**2).sum(1)
     rough = square_q[:, None] + square_x[None] - 2 * q @ x.T
     open_ = q_ids[:, None] != x_ids[None]
-    if allowed is not None:
-        open_ &= allowed
     rough[~open_] = np.inf
     room = 1e-9 * (square_q + square_x.max(initial=0.0))
     if rough.shape[1] > k:
@@ -110,17 +49,10 @@ def exact(
     return at_q[top], at_x[top], out[top]
 
 
-def _pilot_depths(pilots: np.ndarray, near: list[np.ndarray], hashes: Hashes) -> int:
-    depths = sorted(hashes.depth(p, x) for p, found in zip(pilots, near, strict=True) for x in found)
-    if not depths:
-        return len(STEPS)
-    return min(len(STEPS), depths[min(len(depths) - 1, int(np.ceil(WANTED * len(depths))))])
-
-
 def nearest(
     vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = K
 ) -> DataFrame:
-    """query_id, rank, vec_id, score (Euclidean distance) of each query's k nearest found.
+    """query_id, rank, vec_id, score (Euclidean distance) of each query's k nearest.
 
     Vectors that are null, all zero or hold a null or non-finite component and
     rows with a null id take no part; a shorter vector counts as ending in
@@ -129,8 +61,6 @@ def nearest(
     the smaller id.  Only the id and the vector are read, so other columns
     cannot clash; empty tables give an empty result.
     """
-    spark = vectors.sparkSession
-
     def clean(df: DataFrame) -> DataFrame:
         some = F.exists(F.col(vector), lambda x: x != 0)
         v = F.transform(F.col(vector), lambda x: x.cast("double"))
@@ -150,58 +80,20 @@ def nearest(
     groups = n_blocks(asked.count(), GROUP)
     asked = asked.withColumn("_group", F.pmod(F.hash("_id"), F.lit(groups)))
 
-    def kernel(hashes: Hashes | None):
-        def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            q_ids, x_ids = left["_id"].to_numpy(), right["_id"].to_numpy()
-            q, x = matrix(left["_v"], dim), matrix(right["_v"], dim)
-            parts = []
-            if len(q) and len(x):
-                cells = []
-                for t in range(TABLES if hashes else 0):
-                    found, at = np.unique(
-                        hashes.keys(np.floor(hashes.places(t, x))), return_inverse=True
-                    )
-                    cells.append((found, at))
-                for a in range(0, len(q), 128):
-                    mine = slice(a, a + 128)
-                    allowed = None
-                    if hashes:
-                        allowed = np.zeros((len(q[mine]), len(x)), bool)
-                        for t, (found, at) in enumerate(cells):
-                            visit = hashes.probes(t, q[mine])
-                            spot = np.searchsorted(found, visit).clip(max=len(found) - 1)
-                            seen = np.zeros((len(visit), len(found)), bool)
-                            hit = found[spot] == visit
-                            seen[np.nonzero(hit)[0], spot[hit]] = True
-                            allowed |= seen[:, at]
-                    at_q, at_x, d = exact(q[mine], q_ids[mine], x, x_ids, k, allowed)
-                    parts.append((q_ids[mine][at_q], x_ids[at_x], d))
-            empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-            cols = [np.concatenate(c) for c in zip(empty, *parts, strict=True)]
-            return pa.table(dict(zip(("query_id", "vec_id", "score"), cols, strict=True)))
-
-        return run
-
-    pilots = keep(asked.orderBy(F.xxhash64("_id")).limit(PILOTS).withColumn("_group", F.lit(0)), "pilots")
-    true = ranked(meet(pilots, dealt, blocks, 1, kernel(None), _SCHEMA), k, F.asc("score"))
-    seen = true.join(dealt.select(F.col("_id").alias("vec_id"), "_v"), "vec_id").select("query_id", "_v", "score")
-    found: dict[int, list] = {}
-    far: list[float] = []
-    for q, v, d in seen.collect():  # at most PILOTS * k vectors, if ids are unique
-        found.setdefault(q, []).append(np.pad(np.array(v), (0, dim - len(v))))
-        far.append(d)
-    width = WIDTH * (float(np.median(far)) if far else 1.0) or 1.0
-    hashes = Hashes(dim, width)
-    pilot_rows = [(r["_id"], np.pad(np.array(r["_v"]), (0, dim - len(r["_v"])))) for r in pilots.collect()]
-    hashes.visits = _pilot_depths(
-        np.array([v for _, v in pilot_rows]).reshape(-1, dim), [found.get(i, []) for i, _ in pilot_rows], hashes
-    )
-    shared = spark.sparkContext.broadcast(hashes)
-
-    def probe(left: pa.Table, right: pa.Table) -> pa.Table:
-        return kernel(shared.value)(left, right)
-
-    return ranked(meet(asked, dealt, blocks, groups, probe, _SCHEMA), k, F.asc("score"))
+    def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
+        q_ids, x_ids = left["_id"].to_numpy(), right["_id"].to_numpy()
+        q, x = matrix(left["_v"], dim), matrix(right["_v"], dim)
+        parts = []
+        if len(q) and len(x):
+            for a in range(0, len(q), 128):
+                mine = slice(a, a + 128)
+                at_q, at_x, d = exact(q[mine], q_ids[mine], x, x_ids, k)
+                parts.append((q_ids[mine][at_q], x_ids[at_x], d))
+        empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        cols = [np.concatenate(c) for c in zip(empty, *parts, strict=True)]
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), cols, strict=True)))
+
+    return ranked(meet(asked, dealt, blocks, groups, kernel, _SCHEMA), k, F.asc("score"))
 
 
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

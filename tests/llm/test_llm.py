@@ -448,3 +448,19 @@ def test_recall_of_evenly_changed_passages(spark):
         found[r.doc_id // 2] += r.end - r.start
     # A range ends with an equal word, and a tail of two words behind a changed one does not pay.
     assert all(max(50, n - 6) <= found[i] <= n for i, n in want.items() if n >= 50)
+
+
+def test_nearest_of_clusters_and_outliers(spark):
+    """Most vectors in clusters of near copies, some far from everything: all have their ten nearest."""
+    ship(spark)
+    r = np.random.default_rng(8)
+    centers = r.standard_normal((40, 12))
+    x = np.concatenate([np.repeat(centers, 12, 0) + 1e-3 * r.standard_normal((480, 12)), 50 * r.standard_normal((120, 12))])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for row in neighbours.nearest(rows, rows.where("vec_id % 5 = 0")).orderBy("query_id", "rank").collect():
+        got[row.query_id].append(row.vec_id)
+    for q in range(0, 600, 5):
+        far = np.sqrt(((x - x[q]) ** 2).sum(1))
+        far[q] = np.inf
+        assert got[q] == np.lexsort((np.arange(600), far))[:10].tolist()
