@@ -83,6 +83,35 @@ def _join_sources(rows: DataFrame, sources: DataFrame, n: int) -> DataFrame:
     return rows.join(F.broadcast(sources) if n <= SOURCES else sources, same, "left").drop("__mix_s")
 
 
+def _first_of(rows: DataFrame) -> DataFrame:
+    """Rows of which a source takes __mix_part.n: any of them, as all are equal in key and text.
+
+    They are numbered within the tasks that wrote them, behind the rows of the
+    tasks before, so that no task meets all of them.
+    """
+    kept = keep(rows.withColumn("__mix_id", F.monotonically_increasing_id()), "split")
+    task, names = F.shiftright("__mix_id", 33), ["__mix_source", "__mix_task"]
+    kept = kept.withColumn("__mix_task", task)
+    before = Window.partitionBy("__mix_source").orderBy("__mix_task").rowsBetween(Window.unboundedPreceding, -1)
+    counts = (
+        kept.groupBy(*names)
+        .agg(F.count("*").alias("__mix_n"))
+        .select(
+            F.col("__mix_source").alias("__mix_s"),
+            F.col("__mix_task").alias("__mix_t"),
+            F.coalesce(F.sum("__mix_n").over(before), F.lit(0)).alias("__mix_before"),
+        )
+    )
+    same = F.col("__mix_source").eqNullSafe(F.col("__mix_s")) & (F.col("__mix_task") == F.col("__mix_t"))
+    nth = F.col("__mix_before") + F.row_number().over(Window.partitionBy(*names).orderBy("__mix_id"))
+    return (
+        kept.join(counts, same)
+        .withColumn("__mix_nth", nth)
+        .withColumn("__mix_extra", F.when(F.col("__mix_nth") <= F.col("__mix_part.n"), 1).otherwise(0))
+        .select(*rows.columns)
+    )
+
+
 def mix(
     docs: DataFrame,
     text: str = "text",
@@ -98,7 +127,8 @@ def mix(
 
     A null text has size 0; documents without words are never worth anything
     and take 0 words.  Null is a source of its own, the last.  Rows with the
-    same key and text are taken alike; a null key is a value like any other.
+    same key and text are taken alike, but where the budget ends among them:
+    there as many of them are taken as it holds.  A null key is a value like any other.
     An empty table gives an empty table.  Columns of docs that have the name of
     a result column are replaced, all others stay.  `quality` is any positive
     expression over docs.
@@ -137,14 +167,29 @@ def mix(
         )
     )
     inside = _join_sources(slim, edge, n_sources).where(F.col("__mix_bucket") == F.col("__mix_edge"))
+    # Rows equal in key and tie follow each other: the budget may end among them.
+    equal = inside.groupBy("__mix_source", "__mix_key", "__mix_tie").agg(
+        F.count("*").alias("__mix_n"),
+        F.first("size").alias("size"),
+        F.first("__mix_edge").alias("__mix_edge"),
+        F.first("__mix_below").alias("__mix_below"),
+        F.first("__mix_rest").alias("__mix_rest"),
+    )
     run = Window.partitionBy("__mix_source").orderBy("__mix_key", "__mix_tie")
-    middle = F.col("__mix_below") + F.sum("size").over(run) - F.col("size") / 2
+    upto_last = F.col("__mix_below") + F.sum(F.col("size") * F.col("__mix_n")).over(run)
+    whole = F.col("__mix_upto") - F.col("size") / 2 <= F.col("__mix_rest")
+    room = F.col("__mix_rest") - F.col("__mix_upto") + F.col("size") * F.col("__mix_n")
+    some_of = F.coalesce(F.floor(room / F.nullif("size", F.lit(0)) + 0.5).cast("long"), F.lit(0).cast("long"))
+    place = F.struct("__mix_key", "__mix_tie")
     cut = (
-        inside.withColumn("__mix_middle", middle)
+        equal.withColumn("__mix_upto", upto_last)
+        .withColumn("__mix_whole", whole)
+        .withColumn("__mix_some", F.when(~F.col("__mix_whole") & (F.col("__mix_n") > 1), some_of))
         .groupBy(F.col("__mix_source").alias("__mix_s2"))
         .agg(
             F.first("__mix_edge").alias("__mix_edge"),
-            F.max(F.when(F.col("__mix_middle") <= F.col("__mix_rest"), F.struct("__mix_key", "__mix_tie"))).alias("__mix_last"),
+            F.max(F.when(F.col("__mix_whole"), place)).alias("__mix_last"),
+            F.min(F.when(F.col("__mix_some") > 0, F.struct(place.alias("place"), F.col("__mix_some").alias("n")))).alias("__mix_part"),
         )
     )
     decided = keep(
@@ -159,11 +204,19 @@ def mix(
     # A source without an edge bucket is taken to its end, or has no rest at all.
     some = F.col("target") > F.col("epochs") * F.col("source_size")
     extra = F.when(some & F.coalesce(chosen, F.lit(False)), 1).otherwise(0)
-    out = _join_sources(rows.drop("source_size", "target", "epochs", "__mix_edge", "__mix_last"), decided, n_sources)
+    out = _join_sources(
+        rows.drop("source_size", "target", "epochs", "__mix_edge", "__mix_last", "__mix_part"), decided, n_sources
+    ).withColumn("__mix_extra", extra)
+    if not decided.where("__mix_part IS NOT NULL").isEmpty():
+        split = F.coalesce((F.col("__mix_bucket") == F.col("__mix_edge")) & (place == F.col("__mix_part.place")), F.lit(False))
+        out = out.where(~split).unionByName(_first_of(out.where(split)))
     return (
-        out.withColumn("copies", (F.col("epochs") + extra).cast("long"))
+        out.withColumn("copies", (F.col("epochs") + F.col("__mix_extra")).cast("long"))
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .drop("__mix_key", "__mix_tie", "__mix_bucket", "__mix_source", "__mix_edge", "__mix_last", "epochs")
+        .drop(
+            "__mix_key", "__mix_tie", "__mix_bucket", "__mix_source", "__mix_edge", "__mix_last", "__mix_part",
+            "__mix_extra", "epochs",
+        )
     )
 
 

@@ -464,3 +464,17 @@ def test_nearest_of_clusters_and_outliers(spark):
         far = np.sqrt(((x - x[q]) ** 2).sum(1))
         far[q] = np.inf
         assert got[q] == np.lexsort((np.arange(600), far))[:10].tolist()
+
+
+def test_mix_takes_some_of_equal_rows_at_the_budget(spark):
+    """A source of one repeated row, and one of which the row is a part."""
+    rows = [(1, "a b c d", "one")] * 300 + [(i % 400 if i % 3 else 7, f"t{0 if i % 3 == 0 else i} b c d", "two") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    for share in (0.2, 0.35, 0.5, 0.65, 0.8, 1.2):
+        out = mixing.mix(docs, share=share).collect()
+        assert len(out) == len(rows)
+        taken, target = defaultdict(int), {}
+        for r in out:
+            taken[r.source] += r.taken
+            target[r.source] = r.target
+        assert all(abs(taken[s] - t) <= 4 for s, t in target.items()), (share, dict(taken), target)
