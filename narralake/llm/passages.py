@@ -17,10 +17,11 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,7 @@ from narralake.llm.common import WORD, gram_hashes, keep, rows_of, sieve, table,
 SEEDS = ((4, 1), (7, 12))  # words of a seed, runs of a window
 K = min(k for k, _ in SEEDS)  # words that a match of any seed has
 W = 12  # unmatched words inside a match, at most
+BUCKET_BITS, SLOT_BITS = 12, 15  # of a seed's hash, in the bitmap of repeated seeds
 LENGTH = 50
 SIMILARITY = 0.8
 GAP = 0.04  # cost of a skipped word, on either side
@@ -59,18 +61,96 @@ def _row(key: str, text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(text))
 
 
-def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sorted_runs(batches: Iterator[pa.RecordBatch], names: list[str], keys: int) -> Iterator[list[np.ndarray]]:
+    """The columns, as arrays, of each run of rows with equal values in the first `keys` of them."""
+    rest: list[np.ndarray] | None = None
+    for batch in batches:
+        cols = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
+        if rest is not None:
+            cols = [np.concatenate(c) for c in zip(rest, cols, strict=True)]
+        if not len(cols[0]):
+            continue
+        new = np.zeros(len(cols[0]) - 1, bool)
+        for c in cols[:keys]:
+            new |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist()]
+        for at, end in zip(cuts, cuts[1:], strict=False):
+            yield [c[at:end] for c in cols]
+        rest = [c[cuts[-1] :] for c in cols]
+    if rest is not None and len(rest[0]):
+        yield rest
+
+
+def _mark_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """bucket, and 32 more bits of each seed's hash in it; a seed counts twice a chunk at most."""
+    held: list[np.ndarray] = []
+
+    def rows() -> pa.RecordBatch:
+        h = np.sort(np.concatenate([np.zeros(0, np.uint64), *held]))
+        h = h[np.r_[np.ones(min(2, len(h)), bool), h[2:] != h[:-2]]]
+        buckets, start = np.unique((h >> np.uint64(64 - BUCKET_BITS)).astype(np.int32), return_index=True)
+        rest = ((h >> np.uint64(32 - BUCKET_BITS)) & np.uint64(2**32 - 1)).astype("<u4")
+        blobs = [r.tobytes() for r in np.split(rest, start[1:])] if len(h) else []
+        return pa.RecordBatch.from_pydict({"bucket": pa.array(buckets, pa.int32()), "rest": pa.array(blobs, pa.binary())})
+
     for batch in rows_of(batches, 500):
-        found = [seeds(t) for t in batch.column(1).to_pylist()]
-        n = [len(h) for h, _ in found]
-        rows = np.repeat(batch.column(0).to_numpy(), n)
-        hashes = np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in found)])
-        at = np.concatenate([np.zeros(0, np.int64), *(p for _, p in found)])
+        held += [seeds(t)[0] for t in batch.column(1).to_pylist()]
+        if sum(map(len, held)) > 2_000_000:
+            yield rows()
+            held.clear()
+    yield rows()
+
+
+def _repeated_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """bucket, and a bitmap of the hashes that more than one seed has."""
+    for bucket, rest in sorted_runs(batches, ["bucket", "rest"], 1):
+        values = np.sort(np.frombuffer(b"".join(rest), "<u4"))
+        marked = np.zeros(1 << SLOT_BITS, bool)
+        marked[values[1:][values[1:] == values[:-1]] >> np.uint32(32 - SLOT_BITS)] = True
         yield pa.RecordBatch.from_pydict(
-            {"h": pa.array(hashes.view(np.int64)), "row": pa.array(rows), "pos": pa.array(at.astype(np.int32))}
+            {"bucket": pa.array([int(bucket[0])], pa.int32()), "bits": pa.array([np.packbits(marked).tobytes()], pa.binary())}
         )
 
 
+def repeated_seeds(rows: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size that has every seed which occurs twice, and few others.
+
+    It saves the shuffles of single seeds; the join after it still decides.
+    With some hundred million repeated seeds nearly all pass.
+    """
+    bits = (
+        rows.mapInArrow(_mark_rows, "bucket int, rest binary")
+        .repartition("bucket")
+        .sortWithinPartitions("bucket")
+        .mapInArrow(_repeated_bits, "bucket int, bits binary")
+    )
+    out = np.zeros((1 << BUCKET_BITS, (1 << SLOT_BITS) // 8), np.uint8)
+    for bucket, found in bits.collect():  # 16 MB at most
+        out[bucket] = np.frombuffer(found, np.uint8)
+    return out.ravel()
+
+
+def _seed_rows(marks: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = marks.value
+        for batch in rows_of(batches, 500):
+            found = [seeds(t) for t in batch.column(1).to_pylist()]
+            rows = np.repeat(batch.column(0).to_numpy(), [len(h) for h, _ in found])
+            hashes = np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in found)])
+            at = np.concatenate([np.zeros(0, np.int64), *(p for _, p in found)])
+            slot = (hashes >> np.uint64(64 - BUCKET_BITS - SLOT_BITS)).astype(np.int64)
+            keep_ = (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "h": pa.array(hashes[keep_].view(np.int64)),
+                    "row": pa.array(rows[keep_]),
+                    "pos": pa.array(at[keep_].astype(np.int32)),
+                }
+            )
+
+    return run
+
+
 # -------------------------------------------------------------------- chaining
 def diagonals(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Matches merged along diagonals: rows (x, y, length), fewer than W + 1 unmatched words apart inside."""
@@ -126,26 +206,6 @@ def chains(x: np.ndarray, y: np.ndarray) -> list[list[tuple[int, int, int]]]:
     return out
 
 
-def sorted_runs(batches: Iterator[pa.RecordBatch], names: list[str], keys: int) -> Iterator[list[np.ndarray]]:
-    """The columns, as arrays, of each run of rows with equal values in the first `keys` of them."""
-    rest: list[np.ndarray] | None = None
-    for batch in batches:
-        cols = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
-        if rest is not None:
-            cols = [np.concatenate(c) for c in zip(rest, cols, strict=True)]
-        if not len(cols[0]):
-            continue
-        new = np.zeros(len(cols[0]) - 1, bool)
-        for c in cols[:keys]:
-            new |= c[1:] != c[:-1]
-        cuts = [0, *(np.flatnonzero(new) + 1).tolist()]
-        for at, end in zip(cuts, cuts[1:], strict=False):
-            yield [c[at:end] for c in cols]
-        rest = [c[cuts[-1] :] for c in cols]
-    if rest is not None and len(rest[0]):
-        yield rest
-
-
 def _chain_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """row, ref, the matches of all their chains, as flat triples with a size before each chain, and its ends."""
     out: list[tuple] = []
@@ -427,7 +487,8 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id")
     """
     text_batches(docs)
     rows = docs.where(F.col(text).isNotNull()).select(_row(key, text).alias("row"), F.col(text).alias("text"))
-    found = rows.mapInArrow(_seed_rows, "h long, row long, pos int")
+    marks = docs.sparkSession.sparkContext.broadcast(repeated_seeds(rows))
+    found = rows.mapInArrow(_seed_rows(marks), "h long, row long, pos int")
     firsts = keep(
         found.groupBy("h")
         .agg(F.min(F.struct("row", "pos")).alias("_f"), F.count("*").alias("_n"))
