@@ -32,7 +32,7 @@ HELD = 400_000
 #: Joins of terms with their group are dealt out over so many salts a group.
 SALTS = 32
 #: Rows whose pairs of sources a task counts at a time.
-ROWS = 50_000
+ROWS = 200_000
 
 #: Bytes of UTF-8 that belong to terms, A-Z as a-z; all others part terms.
 FOLDED = bytes(
@@ -43,14 +43,13 @@ FOLDED = bytes(
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
-    def total() -> pa.RecordBatch:
-        rows = [(*g, t, n, docs[t]) for g, (times, docs) in groups.items() for t, n in times.items()]
-        # A group is there even if it has no terms.
-        rows += [(*g, None, 0, 0) for g in groups]
-        names = ("lang", "source", "term", "n", "docs")
-        kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64())
-        columns = zip(*rows)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+    def total() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (times, docs) in groups.items():
+            # Both counters met their terms in the same order.  A group is there even without terms.
+            terms, n, with_term = [None, *times], [0, *times.values()], [0, *docs.values()]
+            same = [pa.repeat(pa.scalar(x, pa.string()), len(terms)) for x in (lang, source)]
+            counts = (pa.array(terms, pa.binary()), pa.array(n, pa.int64()), pa.array(with_term, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*same, *counts], ["lang", "source", "term", "n", "docs"])
 
     held = 0
     for batch in batches:
@@ -62,11 +61,10 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             docs.update(found.keys())
             held += len(times)
             if held >= HELD:
-                yield total()
+                yield from total()
                 groups.clear()
                 held = 0
-    if groups:
-        yield total()
+    yield from total()
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -89,10 +87,17 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
 
 def part(count: Column, total: Column, terms: Column) -> Column:
-    """1 + floor(UNIT * (count + 1) / (total + terms)), in whole numbers of any size."""
-    wide = "decimal(28,0)"
-    share = F.call_function("div", F.lit(UNIT).cast("decimal(10,0)") * (count + 1).cast(wide), (total + terms).cast(wide))
-    return F.lit(1).cast("long") + share
+    """1 + floor(UNIT * (count + 1) / (total + terms)) of whole numbers, by long division.
+
+    Each of three steps brings a thousandfold remainder down, so that nothing
+    overflows below some 10**15 words a language (and what does is an error).
+    """
+    below = total + terms
+    found, rest = F.lit(1).cast("long"), count + 1
+    for unit in (UNIT // 1000, UNIT // 1_000_000, 1):
+        found = found + F.call_function("div", rest * 1000, below) * unit
+        rest = F.pmod(rest * 1000, below)
+    return found
 
 
 def divergence(p: Column, q: Column) -> Column:
@@ -216,53 +221,50 @@ def pair_values(kept: DataFrame, groups: DataFrame) -> DataFrame:
     with D(c, d) the value at counts c and d, the sum over all terms is
     v D(0, 0) + sum over one's terms of D(c, 0) - D(0, 0) + the same of the
     other + sum over terms of both of D(c, d) - D(c, 0) - D(0, d) + D(0, 0).
+    Cells of terms of both are found within tasks and valued where they are;
+    each is there once for two sources and is valued in both directions.
     """
-    ordered = kept.select("lang", "term", "source", "n").repartition("lang", "term").sortWithinPartitions("lang", "term", "source")
-    both = (
-        ordered.mapInArrow(_count_cells, "lang string, source string, other string, n long, other_n long, times long")
-        .groupBy("lang", "source", "other", "n", "other_n")
-        .agg(F.sum("times").alias("times"))
-    )
-    # Cells are counted once for two sources and used in both directions.
-    turned = both.select(
-        "lang", F.col("other").alias("source"), F.col("source").alias("other"),
-        F.col("other_n").alias("n"), F.col("n").alias("other_n"), "times",
-    )
-    single = kept.groupBy("lang", "source", "n").agg(F.count("*").alias("times"))
-    lang_groups = groups.select("lang", "source", "n_group", "v")
-    one = lang_groups
-    two = lang_groups.select("lang", F.col("source").alias("other"), F.col("n_group").alias("n_other"))
     zero = F.lit(0).cast("long")
+    one = groups.select("lang", "source", F.col("n_group").alias("n_source"), "v")
+    two = groups.select("lang", F.col("source").alias("other"), F.col("n_group").alias("n_other"))
     sides = one.join(two, "lang").where(F.col("source") != F.col("other"))
-    mine = single.join(two, "lang").where(F.col("source") != F.col("other")).withColumn("other_n", zero)
-    theirs = (
-        single.select("lang", F.col("source").alias("other"), F.col("n").alias("other_n"), "times")
-        .join(one.select("lang", "source"), "lang")
-        .where(F.col("source") != F.col("other"))
-        .withColumn("n", zero)
-    )
-    columns = ["lang", "source", "other", "n", "other_n", "times"]
-    marked = lambda df, kind: df.select(*columns, F.lit(kind).alias("kind"))
-    all_cells = (
-        marked(both.unionByName(turned), "both").unionByName(marked(mine, "one")).unionByName(marked(theirs, "other"))
+    n, m = F.col("n"), F.col("other_n")
+    mine = lambda c: part(c, F.col("n_source"), F.col("v"))
+    theirs = lambda c: part(c, F.col("n_other"), F.col("v"))
+    keys = ["lang", "source", "other"]
+
+    ordered = kept.select("lang", "term", "source", "n").repartition("lang", "term").sortWithinPartitions("lang", "term", "source")
+    cells = ordered.mapInArrow(_count_cells, "lang string, source string, other string, n long, other_n long, times long")
+    shares = {"p": mine(n), "p0": mine(zero), "q": theirs(m), "q0": theirs(zero)}
+    p, p0, q, q0 = (F.col(c) for c in shares)
+    there = divergence(p, q) - divergence(p, q0) - divergence(p0, q) + divergence(p0, q0)
+    back = divergence(q, p) - divergence(q, p0) - divergence(q0, p) + divergence(q0, p0)
+    both = (
+        cells.join(sides, keys)
+        .withColumns(shares)
+        .groupBy(keys)
+        .agg(F.sum(there * F.col("times")).alias("there"), F.sum(back * F.col("times")).alias("back"))
     )
-    valued = all_cells.join(sides.withColumnRenamed("n_group", "n_source"), ["lang", "source", "other"])
-    d = lambda n, m: divergence(
-        part(n, F.col("n_source"), F.col("v")), part(m, F.col("n_other"), F.col("v"))
+    directions = F.array(
+        F.struct("source", "other", F.col("there").alias("change")),
+        F.struct(F.col("other").alias("source"), F.col("source").alias("other"), F.col("back").alias("change")),
     )
-    n, m = F.col("n"), F.col("other_n")
-    change = (
-        F.when(F.col("kind") == "both", d(n, m) - d(n, zero) - d(zero, m) + d(zero, zero))
-        .when(F.col("kind") == "one", d(n, zero) - d(zero, zero))
-        .otherwise(d(zero, m) - d(zero, zero))
+    changes = both.select("lang", F.explode(directions).alias("d")).select("lang", "d.*")
+
+    # Terms of one of the two, valued in both directions as well.
+    single = kept.groupBy("lang", "source", "n").agg(F.count("*").alias("times")).join(sides, ["lang", "source"])
+    alone = single.withColumns({"p": mine(n), "p0": mine(zero), "q0": theirs(zero)}).groupBy(keys).agg(
+        F.sum((divergence(p, q0) - divergence(p0, q0)) * F.col("times")).alias("there"),
+        F.sum((divergence(q0, p) - divergence(q0, p0)) * F.col("times")).alias("back"),
     )
-    changes = valued.groupBy("lang", "source", "other").agg(F.sum(change * F.col("times")).alias("change"))
-    base = F.when(F.col("v") > 0, F.col("v") * d(zero, zero)).otherwise(zero)
-    sides = sides.withColumnRenamed("n_group", "n_source")
+    changes = changes.unionByName(alone.select("lang", F.explode(directions).alias("d")).select("lang", "d.*"))
+    changes = changes.groupBy(keys).agg(F.sum("change").alias("change"))
+
+    base = F.when(F.col("v") > 0, F.col("v") * divergence(mine(zero), theirs(zero))).otherwise(zero)
     value = base + F.coalesce("change", zero)
     by_value = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     return (
-        sides.join(changes, ["lang", "source", "other"], "left")
+        sides.join(changes, keys, "left")
         .select("lang", "source", F.lit("pair").alias("part"), F.col("other").alias("item"), value.alias("value"))
         .withColumn("rank", F.row_number().over(by_value))
     )
