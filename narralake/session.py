@@ -17,6 +17,7 @@ def local_session(app: str, cpus: int | str | None = None, memory: str = "8g") -
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.sql.shuffle.partitions", str(cores))
+        .config("spark.narralake.read.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()

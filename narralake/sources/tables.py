@@ -82,8 +82,20 @@ def explode_pages(docs: DataFrame, pages: Column, *keep: str) -> DataFrame:
     )
 
 
+#: Session setting: documents are dealt out over so many tasks after the scan.
+READ_PARTITIONS = "spark.narralake.read.partitions"
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents")
+    """The documents table, dealt out evenly if the session asks for it.
+
+    A file of one row group is one task's work however large it is.  A session
+    that reads such files names the number of tasks in READ_PARTITIONS, and it
+    is followed whatever the input; without the setting there is no exchange.
+    """
+    docs = read_table(spark, sf_dir, "documents")
+    asked = spark.conf.get(READ_PARTITIONS, None)
+    return docs.repartition(int(asked)) if asked else docs
 
 
 def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
