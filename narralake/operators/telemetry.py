@@ -23,6 +23,8 @@ SNIPPET_CHARS = 120
 ACTIVE_STATES = ("generating", "waiting_quota", "merging", "cancelling")
 USAGE_STATES = ("calling", "quota_failed", "switched", "waiting", "success")
 USES_TOKEN = ("calling", "switched", "synced")
+PLACES_TOKEN = ("switched", "synced")
+CALLING = "calling"
 BEGIN, SWITCHED, WAITING, ENDED = "begin", "switched", "waiting", "ended"
 ENDS_WAIT = ("begin", "switched", "synced", "ended")
 FAILED, SUCCEEDED = "quota_failed", "success"
@@ -234,13 +236,8 @@ def _seq_if(states: Sequence[str]) -> Column:
     return F.when(F.col("status").isin(*states), F.col("seq"))
 
 
-def token_marks(attempts: DataFrame) -> DataFrame:
-    """Last positions that matter, per run and token.
-
-    Positions are plain maxima, so this is a hash aggregation that shrinks the
-    log on the map side.
-    """
-    return attempts.groupBy("run_id", "token").agg(
+def _mark_columns() -> list[Column]:
+    return [
         F.max(_seq_if((FAILED,))).alias("failed_seq"),
         F.max(_seq_if((SUCCEEDED,))).alias("success_seq"),
         F.max(_seq_if(USES_TOKEN)).alias("used_seq"),
@@ -248,14 +245,16 @@ def token_marks(attempts: DataFrame) -> DataFrame:
         F.max(_seq_if(ENDS_WAIT)).alias("settled_seq"),
         F.max(_seq_if((ENDED,))).alias("ended_seq"),
         F.max(_seq_if((BEGIN,))).alias("begin_seq"),
-    )
+    ]
 
 
-def merge_marks(marks: DataFrame) -> DataFrame:
-    """One row per run and token out of several partial ones."""
-    return marks.groupBy("run_id", "token").agg(
-        *[F.max(c).alias(c) for c in marks.columns if c not in ("run_id", "token")]
-    )
+def token_marks(attempts: DataFrame) -> DataFrame:
+    """Last positions that matter, per run and token.
+
+    Positions are plain maxima, so this is a hash aggregation that shrinks the
+    log on the map side.
+    """
+    return attempts.groupBy("run_id", "token").agg(*_mark_columns())
 
 
 def _after(late: Column, early: Column) -> Column:
@@ -318,6 +317,74 @@ def board_from_marks(marks: DataFrame, token_names: Sequence[str]) -> DataFrame:
     )
 
 
+def snapshot_marks(attempts: DataFrame) -> DataFrame:
+    """token_marks with what a snapshot needs besides: last placement and last call of each token."""
+    return attempts.groupBy("run_id", "token").agg(
+        *_mark_columns(),
+        F.max(_seq_if(PLACES_TOKEN)).alias("placed_seq"),
+        F.max(_seq_if((CALLING,))).alias("calling_seq"),
+        F.max_by("chunk_id", _seq_if((CALLING,))).alias("calling_chunk"),
+    )
+
+
+def pool_snapshot(
+    marks: DataFrame, usage: DataFrame, switches: DataFrame, token_names: Sequence[str], total_chunks: int
+) -> DataFrame:
+    """Everything that a board shows of a run, one row per run.
+
+    ``marks`` as by snapshot_marks; ``usage`` and ``switches`` are the kept
+    histories.  All arrays are bounded: a status per configured token, the
+    newest SHOWN_USAGE uses and KEPT_SWITCHES switches, oldest first.  Failed
+    tokens are in order of priority, those not configured after them by name.
+    The index is that of the token last placed by a begin, switch or sync; a
+    mere call does not move it.
+    """
+    names = F.array(*[F.lit(n) for n in token_names])
+    begin = F.max("begin_seq")
+    placed, called = _after(F.max("placed_seq"), begin), _after(F.max("calling_seq"), begin)
+    position = F.array_position(names, F.max_by("token", "placed_seq")).cast("bigint")
+    more = marks.groupBy("run_id").agg(
+        F.when(placed, position).otherwise(F.lit(1).cast("bigint")).alias("active_token_index"),
+        F.when(called, F.max_by("calling_chunk", "calling_seq")).otherwise(F.lit(0).cast("bigint")).alias("current_chunk"),
+    )
+    failed = failed_tokens(marks).groupBy("run_id").agg(F.array_sort(F.collect_set("token")).alias("_failed"))
+    shown = newest_per_key(usage, ["run_id"], "seq", SHOWN_USAGE)
+    uses = shown.groupBy("run_id").agg(
+        F.array_sort(F.collect_list(F.struct("seq", "token", "chunk_id", "status", "epoch"))).alias("_usage")
+    )
+    moves = switches.groupBy("run_id").agg(
+        F.array_sort(F.collect_list(F.struct("seq", "from_token", "to_token", "reason", "chunk_id"))).alias("_switches")
+    )
+    none = F.array().cast("array<string>")
+    board = run_state(marks, token_names[0]).join(more, "run_id")
+    for part in (failed, uses, moves):
+        board = board.join(part, "run_id", "left")
+    lost = F.coalesce("_failed", none)
+    status = (
+        lambda name: F.when(F.col("pool_waiting"), F.lit("waiting"))
+        .when((name == F.col("active_token")) & F.col("generation_active"), F.lit("active"))
+        .when(F.array_contains(lost, name), F.lit("failed"))
+        .otherwise(F.lit("idle"))
+    )
+    return board.select(
+        "run_id",
+        "generation_active",
+        F.lit(len(token_names)).cast("bigint").alias("total_tokens"),
+        "active_token_index",
+        F.col("active_token").alias("active_token_name"),
+        F.concat(F.filter(names, lambda n: F.array_contains(lost, n)), F.array_except(lost, names)).alias("failed_tokens"),
+        "pool_waiting",
+        "current_chunk",
+        F.lit(total_chunks).cast("bigint").alias("total_chunks"),
+        F.greatest(F.size("_switches"), F.lit(0)).cast("bigint").alias("quota_failovers"),
+        F.transform(
+            names, lambda n, i: F.struct(n.alias("name"), (i + 1).alias("priority"), status(n).alias("status"))
+        ).alias("tokens"),
+        F.col("_usage").alias("usage_history"),
+        F.col("_switches").alias("switch_history"),
+    )
+
+
 # ---------------------------------------------------------------- attempts ---
 def attempt_manifest(records: DataFrame) -> DataFrame:
     """Last record per intake and chunk; rows without either key are skipped."""

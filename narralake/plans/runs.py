@@ -187,6 +187,34 @@ def token_board(spark, sf_dir):
     return tm.token_board(_attempts(spark, sf_dir), tb.TOKEN_NAMES)
 
 
+CHUNKS_PER_RUN = 100
+
+
+def flat_snapshot(snapshot):
+    """The arrays of a snapshot as text, so that two engines compare alike."""
+    listed = lambda name, *fields: F.array_join(
+        F.transform(name, lambda e: F.concat_ws(":", *(e[f].cast("string") for f in fields))), ","
+    )
+    return snapshot.withColumns(
+        {
+            "failed_tokens": F.array_join("failed_tokens", ","),
+            "tokens": listed("tokens", "name", "priority", "status"),
+            "usage_history": F.coalesce(listed("usage_history", "token", "chunk_id", "status", "epoch"), F.lit("")),
+            "switch_history": F.coalesce(
+                listed("switch_history", "from_token", "to_token", "reason", "chunk_id"), F.lit("")
+            ),
+        }
+    )
+
+
+def pool_snapshot(spark, sf_dir):
+    """The whole snapshot of each run, from the log at once."""
+    a = _attempts(spark, sf_dir)
+    usage = tm.usage_history(a, tm.KEPT_USAGE)
+    shot = tm.pool_snapshot(tm.snapshot_marks(a), usage, tm.switch_history(a), tb.TOKEN_NAMES, CHUNKS_PER_RUN)
+    return flat_snapshot(shot)
+
+
 # ---------------------------------------------------------- attempt queries --
 def _record_json(spark, sf_dir):
     """Attempt records as JSON text; some lack the intake or the chunk."""
@@ -329,6 +357,7 @@ QUERIES = {
     "active_token": _state("active_token"),
     "pool_waiting": _state("pool_waiting"),
     "token_board": token_board,
+    "pool_snapshot": pool_snapshot,
     "attempt_manifest": attempt_manifest,
     "error_class": error_class,
     "attempt_summary": attempt_summary,
@@ -431,6 +460,32 @@ SELECT s.run_id, t.token, t.priority, CASE WHEN pool_waiting THEN 'waiting' WHEN
   WHEN f.token IS NOT NULL THEN 'failed' ELSE 'idle' END AS status
 FROM state s, (VALUES ('tok1', CAST(1 AS BIGINT)), ('tok2', 2), ('tok3', 3), ('tok4', 4)) t(token, priority)
 LEFT JOIN failed f ON f.run_id = s.run_id AND f.token = t.token""",
+    "pool_snapshot": _STATE + f"""
+, board AS (SELECT s.run_id, t.token, t.priority,
+    CASE WHEN pool_waiting THEN 'waiting' WHEN t.token = active_token AND generation_active THEN 'active'
+         WHEN f.token IS NOT NULL THEN 'failed' ELSE 'idle' END AS status
+  FROM state s, (VALUES ('tok1', 1), ('tok2', 2), ('tok3', 3), ('tok4', 4)) t(token, priority)
+  LEFT JOIN failed f ON f.run_id = s.run_id AND f.token = t.token),
+uses AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq DESC) AS back FROM live
+         WHERE status IN ('calling', 'quota_failed', 'switched', 'waiting', 'success')),
+moves AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq DESC) AS back FROM live
+          WHERE status = 'switched')
+SELECT s.run_id, s.generation_active, CAST(4 AS BIGINT) AS total_tokens,
+  CAST(coalesce((SELECT arg_max(substr(token, 4), seq) FROM live l
+     WHERE l.run_id = s.run_id AND status IN ('switched', 'synced')), '1') AS BIGINT) AS active_token_index,
+  s.active_token AS active_token_name,
+  coalesce((SELECT string_agg(token, ',' ORDER BY token) FROM failed f WHERE f.run_id = s.run_id), '') AS failed_tokens,
+  s.pool_waiting,
+  coalesce((SELECT arg_max(chunk_id, seq) FROM live l WHERE l.run_id = s.run_id AND status = 'calling'), 0) AS current_chunk,
+  CAST({CHUNKS_PER_RUN} AS BIGINT) AS total_chunks,
+  (SELECT count(*) FROM moves m WHERE m.run_id = s.run_id AND back <= 10) AS quota_failovers,
+  (SELECT string_agg(token || ':' || priority || ':' || status, ',' ORDER BY priority) FROM board b
+    WHERE b.run_id = s.run_id) AS tokens,
+  coalesce((SELECT string_agg(token || ':' || chunk_id || ':' || status || ':' || epoch, ',' ORDER BY seq) FROM uses u
+    WHERE u.run_id = s.run_id AND back <= 20), '') AS usage_history,
+  coalesce((SELECT string_agg(from_token || ':' || to_token || ':' || reason || ':' || chunk_id, ',' ORDER BY seq)
+    FROM moves m WHERE m.run_id = s.run_id AND back <= 10), '') AS switch_history
+FROM state s""",
     "attempt_manifest": _RECORDS + """SELECT * FROM records
 WHERE intake_id IS NOT NULL AND chunk_index IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY intake_id, chunk_index ORDER BY seq DESC) = 1""",

@@ -11,47 +11,55 @@ from narralake.plans.views_sql import ATTEMPTS, with_
 from narralake.sources import tables as tb
 from narralake.streaming import jobs
 
-CHUNKS_PER_RUN = 100
+def _attempt_stream(spark, sf_dir, *keep):
+    return tb.attempts_from(jobs.stream_table(spark, sf_dir, "events"), *keep)
 
 
-def _attempt_stream(spark, sf_dir):
-    return tb.attempts_from(jobs.stream_table(spark, sf_dir, "events"))
+#: Folders of finished pool jobs by application and input; all views read one job's state.
+_POOLS: dict[tuple[str, str], str] = {}
 
 
-def _pool_part(part):
-    def run(spark, sf_dir):
+def _pool_root(spark, sf_dir):
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _POOLS:
         root = tb.scratch_dir(spark, "pool")
-        jobs.pool_state_job(_attempt_stream(spark, sf_dir), root).awaitTermination()
-        return jobs.pool_part(spark, root, part)
-
-    return run
+        log = _attempt_stream(spark, sf_dir, F.col("ts").cast("timestamp").alias("ts"))
+        jobs.pool_state_job(log, root, tb.TOKEN_NAMES).awaitTermination()
+        _POOLS[key] = root
+    return _POOLS[key]
 
 
 def stream_pool_state(spark, sf_dir):
     """Token board out of the streamed marks."""
-    return tm.board_from_marks(_pool_part("marks")(spark, sf_dir), tb.TOKEN_NAMES)
+    return tm.board_from_marks(jobs.pool_part(spark, _pool_root(spark, sf_dir), "marks"), tb.TOKEN_NAMES)
 
 
 def stream_usage_history(spark, sf_dir):
-    kept = _pool_part("usage")(spark, sf_dir)
+    kept = jobs.pool_part(spark, _pool_root(spark, sf_dir), "usage")
     return newest_per_key(kept, ["run_id"], "seq", tm.SHOWN_USAGE)
 
 
 def stream_switch_history(spark, sf_dir):
-    return _pool_part("switches")(spark, sf_dir)
+    return jobs.pool_part(spark, _pool_root(spark, sf_dir), "switches")
+
+
+def stream_pool_snapshot(spark, sf_dir):
+    """The whole snapshot of each run, out of the streamed state."""
+    root = _pool_root(spark, sf_dir)
+    return runs.flat_snapshot(jobs.pool_snapshot(spark, root, tb.TOKEN_NAMES, runs.CHUNKS_PER_RUN))
 
 
 def stream_latest_status(spark, sf_dir):
     root = tb.scratch_dir(spark, "status")
     log = tb.status_log_from(jobs.stream_table(spark, sf_dir, "events"))
     jobs.latest_status_job(log, root).awaitTermination()
-    return jobs.latest_status_view(spark, root)
+    return jobs.latest_status_view(log, root)
 
 
 def stream_progress(spark, sf_dir):
     root = tb.scratch_dir(spark, "progress")
     jobs.progress_job(_attempt_stream(spark, sf_dir), root).awaitTermination()
-    return jobs.progress_view(spark, root, CHUNKS_PER_RUN)
+    return jobs.progress_view(spark, root, runs.CHUNKS_PER_RUN)
 
 
 def incremental_chunks(spark, sf_dir):
@@ -69,6 +77,7 @@ QUERIES = {
     "stream_pool_state": stream_pool_state,
     "stream_usage_history": stream_usage_history,
     "stream_switch_history": stream_switch_history,
+    "stream_pool_snapshot": stream_pool_snapshot,
     "stream_latest_status": stream_latest_status,
     "stream_progress": stream_progress,
     "incremental_chunks": incremental_chunks,
@@ -78,10 +87,11 @@ ORACLES = {
     "stream_pool_state": runs.ORACLES["token_board"],
     "stream_usage_history": runs.ORACLES["usage_history"],
     "stream_switch_history": runs.ORACLES["switch_history"],
+    "stream_pool_snapshot": runs.ORACLES["pool_snapshot"],
     "stream_latest_status": runs.ORACLES["latest_status"],
     "stream_progress": with_(ATTEMPTS) + f"""
-SELECT run_id, count(DISTINCT chunk_id) AS done, CAST({CHUNKS_PER_RUN} AS BIGINT) AS total,
-  round(count(DISTINCT chunk_id) / {CHUNKS_PER_RUN} * 100, 1) AS progress_percent
+SELECT run_id, count(DISTINCT chunk_id) AS done, CAST({runs.CHUNKS_PER_RUN} AS BIGINT) AS total,
+  round(count(DISTINCT chunk_id) / {runs.CHUNKS_PER_RUN} * 100, 1) AS progress_percent
 FROM attempts WHERE status = 'success' GROUP BY run_id""",
     "incremental_chunks": chunks.ORACLES["chunk_corpus"],
 }

@@ -3,10 +3,28 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Spark send this package to the Python workers, once a context."""
+    context = spark.sparkContext
+    if getattr(context, "_narralake_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="narralake-"), "narralake.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(package):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+    context._narralake_shipped = True
+
+
 def local_session(app: str, cpus: int | str | None = None, memory: str = "8g") -> SparkSession:
     cores = cpus or os.environ.get("BENCH_CPUS") or "8"
     spark = (

@@ -8,15 +8,19 @@ the file sink, so a repeated batch changes nothing.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import _parse_datatype_string
 
 from narralake.operators import telemetry as tm
 from narralake.operators.chunks import chunk_documents
 from narralake.operators.ordered import newest_per_key
+from narralake.session import ship
+from narralake.streaming import pool_machine as machine
+from narralake.streaming.store import NewestRows
 
 
 def stream_table(
@@ -38,104 +42,84 @@ def _run(writer, root: str, on_batch: Callable | None = None) -> StreamingQuery:
 
 
 # -------------------------------------------------------------- pool state ---
-# Histories and token marks of all runs are one small table per micro-batch:
-# the previous version merged with the batch.  Each part of the merge is an
-# aggregate or a rank cut that combines on the map side, so no run has to pass
-# through a single task, as it would in a state machine keyed by run.
-
-USAGE = "run_id bigint, seq bigint, token string, chunk_id bigint, status string, epoch bigint"
-SWITCHES = (
-    "run_id bigint, seq bigint, chunk_id bigint, from_token string, to_token string, reason string"
-)
-MARKS = (
-    "run_id bigint, token string, failed_seq bigint, success_seq bigint, used_seq bigint, "
-    "waiting_seq bigint, settled_seq bigint, ended_seq bigint, begin_seq bigint"
-)
-PARTS = {"usage": USAGE, "switches": SWITCHES, "marks": MARKS}
-
-
-def _version(spark: SparkSession, root: str, part: str, version: int) -> DataFrame:
-    schema = PARTS[part]
-    if version < 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root}/state/{part}/v={version}")
-
-
-def merge_marks(old: DataFrame, attempts: DataFrame) -> DataFrame:
-    return tm.merge_marks(old.unionByName(tm.token_marks(attempts)))
-
-
-def merge_usage(old: DataFrame, attempts: DataFrame) -> DataFrame:
-    both = old.unionByName(tm.usage(attempts).select(*old.columns))
-    return newest_per_key(both, ["run_id"], "seq", tm.KEPT_USAGE)
-
-
-def merge_switches(old: DataFrame, attempts: DataFrame) -> DataFrame:
-    both = old.unionByName(tm.switches(attempts).select(*old.columns))
-    return newest_per_key(both, ["run_id"], "seq", tm.KEPT_SWITCHES)
-
-
-def _commit(spark: SparkSession, root: str, version: int) -> None:
-    row = spark.createDataFrame([(version,)], "version bigint")
-    row.coalesce(1).write.mode("append").parquet(f"{root}/commits")
-
-
-def committed(spark: SparkSession, root: str) -> int:
-    """The newest version whose parts are all stored; -1 before the first."""
-    return spark.read.schema("version bigint").parquet(f"{root}/commits").agg(F.max("version")).first()[0]
-
-
-def pool_state_job(attempts: DataFrame, root: str) -> StreamingQuery:
-    """Maintain histories and marks under ``root/state``.
-
-    A version is read only after its commit row is written, so a failed or
-    repeated batch, or a start that finds nothing new, leaves the last one.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def _start_with_keyed_state(spark: SparkSession, start: Callable[[], StreamingQuery]) -> StreamingQuery:
+    """Start a query whose state has several variables, which only this store keeps."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        return start()
+    finally:
+        if before is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, before)
+
+
+def pool_store(root: str) -> NewestRows:
+    return NewestRows(f"{root}/state", _parse_datatype_string(machine.STATE), ("run_id", "token"))
+
+
+def pool_state_job(
+    attempts: DataFrame,
+    root: str,
+    token_names: Sequence[str],
+    delay: str = "1 day",
+    retention_seconds: int = 86_400,
+) -> StreamingQuery:
+    """One job for all views of the pool: the state of each run and token, kept in a stored table.
+
+    ``attempts`` is an attempt log with its time ``ts``.  Events later than
+    ``delay`` are dropped, and a run's streaming state goes ``retention_seconds``
+    after its end; its last row stays in the stored table.
     """
-    _commit(attempts.sparkSession, root, -1)
-
-    def on_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        old = {part: _version(spark, root, part, batch_id - 1) for part in PARTS}
-        batch.persist()
-        try:
-            merged = {
-                "usage": merge_usage(old["usage"], batch),
-                "switches": merge_switches(old["switches"], batch),
-                "marks": merge_marks(old["marks"], batch),
-            }
-            for part, table in merged.items():
-                table.write.mode("overwrite").parquet(f"{root}/state/{part}/v={batch_id}")
-            _commit(spark, root, batch_id)
-        finally:
-            batch.unpersist()
-
-    return _run(attempts.writeStream, root, on_batch)
+    spark = attempts.sparkSession
+    ship(spark)
+    store = pool_store(root)
+    states = machine.token_states(attempts, token_names, delay, retention_seconds)
+    return _start_with_keyed_state(
+        spark, lambda: _run(states.writeStream.outputMode("update"), root, store.write)
+    )
 
 
 def pool_part(spark: SparkSession, root: str, part: str) -> DataFrame:
-    """One part of the pool state in its newest version; histories since each run's last begin."""
-    version = committed(spark, root)
-    rows = _version(spark, root, part, version)
+    """marks, or the usage or switches of all runs since their last begin, in the newest version."""
+    states = pool_store(root).read(spark)
+    marks = states.drop("usage", "switches")
     if part == "marks":
-        return rows
-    return tm.since_begin(rows, tm.run_begins(_version(spark, root, "marks", version)))
+        return marks
+    rows = states.select("run_id", "token", F.explode(part).alias("e"))
+    if part == "usage":
+        entries, size = rows.select("run_id", "token", "e.*"), tm.KEPT_USAGE
+    else:
+        entries, size = rows.select("run_id", "e.*"), tm.KEPT_SWITCHES
+    return newest_per_key(tm.since_begin(entries, tm.run_begins(marks)), ["run_id"], "seq", size)
+
+
+def pool_snapshot(spark: SparkSession, root: str, token_names: Sequence[str], total_chunks: int) -> DataFrame:
+    parts = (pool_part(spark, root, part) for part in ("marks", "usage", "switches"))
+    return tm.pool_snapshot(*parts, token_names, total_chunks)
 
 
 # ------------------------------------------------------------ latest status --
-def latest_status_job(log: DataFrame, root: str) -> StreamingQuery:
-    """Newest record per intake; each batch stores the intakes it changed."""
-    rest = [c for c in log.columns if c != "intake_id"]
-    newest = log.groupBy("intake_id").agg(F.max_by(F.struct(*rest), "seq").alias("_r"))
-    rows = newest.select("intake_id", *[F.col(f"_r.{c}").alias(c) for c in rest])
+def status_store(log: DataFrame, root: str, **sizes: int) -> NewestRows:
+    return NewestRows(f"{root}/status", log.schema, ("intake_id",), "seq", **sizes)
 
-    def on_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/table/batch={batch_id}")
 
-    return _run(rows.writeStream.outputMode("update"), root, on_batch)
+def latest_status_job(log: DataFrame, root: str, **sizes: int) -> StreamingQuery:
+    """Newest record per intake, in a stored table that is folded now and then.
+
+    A batch needs no memory of earlier ones, because the record with the
+    greatest ``seq`` is the newest whichever batch brought it.
+    """
+    return _run(log.writeStream, root, status_store(log, root, **sizes).write)
 
 
-def latest_status_view(spark: SparkSession, root: str) -> DataFrame:
-    return tm.latest_status(spark.read.parquet(f"{root}/table").drop("batch"))
+def latest_status_view(log: DataFrame, root: str) -> DataFrame:
+    return status_store(log, root).read(log.sparkSession).select(*log.columns)
 
 
 # ----------------------------------------------------------------- progress --
