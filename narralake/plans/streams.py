@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from narralake.operators import telemetry as tm
+from narralake.operators.changes import content_manifest, differences
 from narralake.operators.ordered import newest_per_key
 from narralake.plans import chunks, runs
 from narralake.plans.views_sql import ATTEMPTS, with_
 from narralake.sources import tables as tb
 from narralake.streaming import jobs
+from narralake.streaming.corpus import ChunkedCorpus
 
 def _attempt_stream(spark, sf_dir, *keep):
     return tb.attempts_from(jobs.stream_table(spark, sf_dir, "events"), *keep)
@@ -73,6 +75,37 @@ def incremental_chunks(spark, sf_dir):
     return jobs.chunk_view(spark, root).select("doc_id", "chunk_idx", "text")
 
 
+def _edited(docs):
+    """The documents some time later: some are gone, some have one more sentence."""
+    more = F.concat(F.col("text"), F.lit("\n\nOne more sentence."))
+    text = F.when(F.col("doc_id") % 7 == 0, more).otherwise(F.col("text"))
+    return docs.where(F.col("doc_id") % 11 != 0).withColumn("text", text)
+
+
+def _before_and_after(spark, sf_dir):
+    docs = tb.documents(spark, sf_dir).select("doc_id", "text")
+    shaped = lambda df: df.withColumn("text", tb.paragraphed(F.col("text")))
+    return shaped(docs), shaped(_edited(docs))
+
+
+def corpus_changes(spark, sf_dir):
+    """Which documents differ after the edits, and how."""
+    before, after = (content_manifest(df, "doc_id", "text") for df in _before_and_after(spark, sf_dir))
+    return differences(before, after, "doc_id")
+
+
+def refreshed_chunks(spark, sf_dir):
+    """Chunks of all documents, brought up to the edits by chunking only what differs."""
+    corpus = ChunkedCorpus(tb.scratch_dir(spark, "corpus"))
+    for docs in _before_and_after(spark, sf_dir):
+        corpus.refresh(docs)
+    return corpus.read(spark).select("doc_id", "chunk_idx", "text")
+
+
+_EDITED = """(SELECT doc_id, lang, source,
+  CASE WHEN doc_id % 7 = 0 THEN text || chr(10) || chr(10) || 'One more sentence.' ELSE text END AS text
+  FROM documents WHERE doc_id % 11 <> 0) AS documents"""
+
 QUERIES = {
     "stream_pool_state": stream_pool_state,
     "stream_usage_history": stream_usage_history,
@@ -81,6 +114,8 @@ QUERIES = {
     "stream_latest_status": stream_latest_status,
     "stream_progress": stream_progress,
     "incremental_chunks": incremental_chunks,
+    "corpus_changes": corpus_changes,
+    "refreshed_chunks": refreshed_chunks,
 }
 
 ORACLES = {
@@ -94,4 +129,7 @@ SELECT run_id, count(DISTINCT chunk_id) AS done, CAST({runs.CHUNKS_PER_RUN} AS B
   round(count(DISTINCT chunk_id) / {runs.CHUNKS_PER_RUN} * 100, 1) AS progress_percent
 FROM attempts WHERE status = 'success' GROUP BY run_id""",
     "incremental_chunks": chunks.ORACLES["chunk_corpus"],
+    "corpus_changes": """SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'gone' ELSE 'changed' END AS change
+FROM documents WHERE doc_id % 11 = 0 OR (doc_id % 7 = 0 AND text IS NOT NULL)""",
+    "refreshed_chunks": chunks.ORACLES["chunk_corpus"].replace("FROM documents", f"FROM {_EDITED}"),
 }
