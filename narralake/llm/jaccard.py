@@ -142,8 +142,29 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def star_links(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Each member of a part but the first, with the first."""
+    first = np.arange(len(linked))
+    # A forest is in order: a member's part is known before its own links follow.
+    for a, b in forest(linked):
+        first[b] = first[a]
+    return [(int(b), int(first[b])) for b in np.flatnonzero(first != np.arange(len(linked)))]
+
+
+def part_links(linked: np.ndarray, part: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the parts that the links of two blocks join, one link for each of its edges."""
+    names, part = np.unique(part, return_inverse=True)
+    a, b = np.nonzero(linked)
+    _, where = np.unique(part[a] * len(names) + part[b], return_index=True)
+    first = {(int(part[a[k]]), int(part[b[k]])): (int(a[k]), int(b[k])) for k in where}
+    between = np.zeros((len(names), len(names)), bool)
+    for x, y in first:
+        between[x, y] = between[y, x] = True
+    return [first[x, y] for x, y in forest(between)]
+
+
 def block_links(linked: np.ndarray, mine: np.ndarray, i: int, j: int) -> list[tuple[int, int]]:
-    """Links that a pair of blocks adds: a forest of its one block, or of what links the two.
+    """Links that a pair of blocks adds, where all links inside and between the two are known.
 
     The links inside each block come from the pair of the block with itself, so
     two blocks of copies add one link, not one per member.
@@ -151,17 +172,9 @@ def block_links(linked: np.ndarray, mine: np.ndarray, i: int, j: int) -> list[tu
     if i == j:
         return forest(linked)
     part = np.arange(len(linked))
-    for a, b in forest(linked & (mine[:, None] == mine[None])):
-        part[b] = part[a]
-    names, part = np.unique(part, return_inverse=True)
-    a, b = np.nonzero(linked & (mine[:, None] == i) & (mine[None] == j))
-    first: dict[tuple[int, int], tuple[int, int]] = {}
-    for x, y, k in zip(a, b, part[a] * len(names) + part[b], strict=True):
-        first.setdefault(divmod(int(k), len(names)), (int(x), int(y)))
-    between = np.zeros((len(names), len(names)), bool)
-    for x, y in first:
-        between[x, y] = between[y, x] = True
-    return [first.get((x, y)) or first[y, x] for x, y in forest(between)]
+    for a, b in star_links(linked & (mine[:, None] == mine[None])):
+        part[a] = b
+    return part_links(linked & (mine[:, None] != mine[None]), part)
 
 
 # ------------------------------------------------------------- blocks of a group
@@ -283,7 +296,11 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per set and block pair: how many documents it links to, and one spanning link."""
+    """Per set and block pair: how many documents it links to (b null), and links that span (n 0).
+
+    A block with itself links each set of a part to the part's first; two
+    blocks link what the pairs of their parts need.
+    """
     for group in by_group(batches, ["_label", "_i", "_j"]):
         keys, copies = group["set"].to_pylist(), np.array(group["copies"].to_pylist(), np.int64)
         i, j = group["_i"][0].as_py(), group["_j"][0].as_py()
@@ -304,7 +321,8 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = [keys[k] for k in np.flatnonzero(links)]
         n = links[links > 0].tolist()
         b: list = [None] * len(a)
-        for x, y in block_links(linked, mine, i, j):
+        spanning = star_links(linked) if i == j else part_links(linked, np.array(group["_part"].to_pylist(), object))
+        for x, y in spanning:
             a.append(keys[x])
             b.append(keys[y])
             n.append(0)
@@ -313,6 +331,26 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def exact_links(held: DataFrame) -> DataFrame:
+    """a, b, n of all sets of held (set, _label, copies, text), group by group in pairs of blocks.
+
+    Blocks are compared with themselves first.  The parts that this finds then
+    stand for their members, so two blocks of a large group of near copies add
+    one link for each two parts, not one for each two members.
+    """
+
+    def compared(members: DataFrame, pairs: str, label: str) -> DataFrame:
+        dealt = in_blocks(members, "_label", "set", BLOCK).where(pairs).repartition("_label", "_i", "_j")
+        rows = dealt.select("_label", "_i", "_j", "_mine", "set", "copies", "_part", "text")
+        ordered = rows.sortWithinPartitions("_label", "_i", "_j", "set")
+        return keep(ordered.mapInArrow(_exact, "a binary, b binary, n long"), label)
+
+    inside = compared(held.withColumn("_part", F.col("set")), "_i = _j", "inside")
+    parts = inside.where("b IS NOT NULL").select(F.col("a").alias("set"), F.col("b").alias("_part"))
+    known = held.join(parts, "set", "left").withColumn("_part", F.coalesce("_part", "set"))
+    return inside.unionByName(compared(known, "_i < _j", "across"))
+
+
 def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of docs: key, class_id (least key of its class) and n_links.
 
@@ -351,13 +389,7 @@ def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id")
         texts.join(wanted, "_k").where(own("text") == F.col("set")).dropDuplicates(["set"]).select("set", "_label", "copies", "text"),
         "texts",
     )
-    dealt = in_blocks(held, "_label", "set", BLOCK).repartition("_label", "_i", "_j")
-    exact = keep(
-        dealt.select("_label", "_i", "_j", "_mine", "set", "copies", "text")
-        .sortWithinPartitions("_label", "_i", "_j", "set")
-        .mapInArrow(_exact, "a binary, b binary, n long"),
-        "links",
-    )
+    exact = exact_links(held)
     links = exact.where("b IS NULL").groupBy(F.col("a").alias("set")).agg(F.sum("n").alias("_links"))
     grouped = components(exact.where("b IS NOT NULL"))
     full = (
