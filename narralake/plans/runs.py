@@ -5,8 +5,8 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from narralake.operators import attempts as at
 from narralake.operators import telemetry as tm
 from narralake.operators import tokens as tk
 from narralake.plans.views_sql import (
@@ -25,42 +25,6 @@ from narralake.plans.views_sql import (
 )
 from narralake.sources import tables as tb
 
-RECORD_SCHEMA = T.StructType(
-    [
-        T.StructField("chunk_index", T.LongType()),
-        T.StructField("intake_id", T.StringType()),
-        T.StructField(
-            "request",
-            T.StructType(
-                [
-                    T.StructField("token_name", T.StringType()),
-                    T.StructField("attempt", T.LongType()),
-                    T.StructField(
-                        "config",
-                        T.StructType(
-                            [
-                                T.StructField("temperature", T.DoubleType()),
-                                T.StructField("speech_mode", T.StringType()),
-                            ]
-                        ),
-                    ),
-                ]
-            ),
-        ),
-        T.StructField(
-            "response",
-            T.StructType(
-                [
-                    T.StructField("success", T.BooleanType()),
-                    T.StructField("error", T.StringType()),
-                    T.StructField("timestamp", T.LongType()),
-                ]
-            ),
-        ),
-    ]
-)
-
-
 def _log(spark, sf_dir):
     return tb.status_log(spark, sf_dir)
 
@@ -217,53 +181,73 @@ def pool_snapshot(spark, sf_dir):
 
 # ---------------------------------------------------------- attempt queries --
 def _record_json(spark, sf_dir):
-    """Attempt records as JSON text; some lack the intake or the chunk."""
+    """Attempt records as JSON text; some lack a key, are cut off, or hold what nobody expects."""
     a = _attempts(spark, sf_dir)
+    seq, every = F.col("seq"), lambda n: F.col("seq") % n == 0
+    prompt = F.concat(F.lit("Read aloud: \u201c"), F.col("token"), F.lit("\u201d "), seq.cast("string"))
+    transcript = F.concat(F.lit("chunk "), F.col("chunk_id").cast("string"))
     record = F.struct(
-        F.when(F.col("seq") % 23 != 0, F.col("chunk_id")).alias("chunk_index"),
-        F.when(F.col("seq") % 29 != 0, F.concat(F.lit("job-"), F.col("run_id").cast("string"))).alias(
-            "intake_id"
-        ),
+        F.when(~every(23), F.col("chunk_id")).alias("chunk_index"),
+        F.when(~every(29), F.concat(F.lit("job-"), F.col("run_id").cast("string"))).alias("intake_id"),
         F.struct(
+            F.col("chunk_id").alias("chunk_index"),
+            prompt.alias("prompt"),
+            F.length(prompt).alias("prompt_char_count"),
+            F.struct(
+                F.lit("tts-1").alias("model"),
+                F.lit(1.0).alias("temperature"),
+                F.when(~every(7), F.lit("Sulafat")).alias("voice_name"),
+                F.array(F.lit("audio")).alias("response_modalities"),
+                F.lit("single_speaker").alias("speech_mode"),
+                F.when(every(13), F.lit(5)).alias("top_k"),
+            ).alias("config"),
+            F.when(every(2), F.lit("note")).otherwise(F.lit("")).alias("continuity_note"),
+            F.lit("").alias("scene_context"),
+            transcript.alias("transcript"),
+            F.length(transcript).alias("transcript_char_count"),
             F.col("token").alias("token_name"),
-            (F.col("seq") % 5 + 1).alias("attempt"),
-            F.struct(F.lit(1.0).alias("temperature"), F.lit("single_speaker").alias("speech_mode")).alias(
-                "config"
-            ),
+            F.when(every(37), F.lit("first")).otherwise((seq % 5 + 1).cast("string")).alias("attempt"),
         ).alias("request"),
         F.struct(
             (F.col("status") == "success").alias("success"),
             F.when(F.col("status") == "quota_failed", F.lit("429")).alias("error"),
+            F.when(F.col("status") == "success", F.concat(F.lit("/audio/"), F.col("run_id").cast("string"))).alias("wav_path"),
+            F.when(F.col("status") == "success", seq * 10).alias("wav_size_bytes"),
+            F.when(F.col("status") == "success", F.lit("audio/wav")).alias("mime_type"),
+            F.when(F.col("status") == "success", seq * 10 - 44).alias("audio_bytes"),
             F.col("epoch").alias("timestamp"),
         ).alias("response"),
+        F.when(every(3), F.struct(seq.alias("id"))).alias("trace"),
     )
-    return a.select("seq", F.to_json(record).alias("record"))
+    text = F.to_json(record)
+    return a.select("seq", F.when(every(31), F.substring(text, 1, 40)).otherwise(text).alias("record"))
 
 
 def _parsed(spark, sf_dir):
-    parsed = _record_json(spark, sf_dir).select(
-        "seq", F.from_json("record", RECORD_SCHEMA).alias("r")
-    )
-    return parsed.select(
-        "seq",
-        "r.intake_id",
-        "r.chunk_index",
-        "r.request.token_name",
-        "r.request.attempt",
-        "r.request.config.speech_mode",
-        "r.response.success",
-        "r.response.error",
-        "r.response.timestamp",
+    """All fields of the records, arrays and unknown keys as text."""
+    return at.parse_records(_record_json(spark, sf_dir)).withColumns(
+        {
+            "response_modalities": F.array_join("response_modalities", ","),
+            "mistyped": F.array_join("mistyped", ","),
+            "unknown": F.array_join(
+                F.transform(F.array_sort(F.map_entries("unknown")), lambda e: F.concat_ws("=", e["key"], e["value"])), ","
+            ),
+        }
     )
 
 
 def attempt_log(spark, sf_dir):
     """Nested records as rows; records without (or with an empty) intake or chunk are skipped."""
-    return _parsed(spark, sf_dir).where((F.col("intake_id") != "") & F.col("chunk_index").isNotNull())
+    return at.keyed(_parsed(spark, sf_dir)).drop("corrupt")
+
+
+def attempt_health(spark, sf_dir):
+    """Records, and those that are broken, lack a key or hold what is unknown or mistyped."""
+    return at.record_health(at.parse_records(_record_json(spark, sf_dir)))
 
 
 def attempt_manifest(spark, sf_dir):
-    return tm.attempt_manifest(_parsed(spark, sf_dir))
+    return tm.attempt_manifest(_parsed(spark, sf_dir).drop("corrupt"))
 
 
 def error_class(spark, sf_dir):
@@ -364,6 +348,7 @@ QUERIES = {
     "status_transitions": status_transitions,
     "output_lookup": output_lookup,
     "attempt_log": attempt_log,
+    "attempt_health": attempt_health,
     "path_context": path_context,
     "chunk_listing": chunk_listing,
     "concat_manifest": concat_manifest,
@@ -411,10 +396,23 @@ _INTAKE_OF = "nullif(regexp_extract(path, '([^/]+)/[^/]*$', 1), '')"
 _INDEX_OF = r"CAST(nullif(regexp_extract(path, '/(\d\d\d\d)(?:\.[^./]*)?$', 1), '') AS BIGINT)"
 _RECORDS = with_(
     ATTEMPTS,
-    """records AS (SELECT seq, CASE WHEN seq % 29 <> 0 THEN 'job-' || run_id END AS intake_id,
-    CASE WHEN seq % 23 <> 0 THEN chunk_id END AS chunk_index, token AS token_name, seq % 5 + 1 AS attempt,
-    'single_speaker' AS speech_mode, status = 'success' AS success,
-    CASE WHEN status = 'quota_failed' THEN '429' END AS error, epoch AS timestamp FROM attempts)""",
+    """all_records AS (SELECT seq, seq % 31 = 0 AS broken, CASE WHEN seq % 29 <> 0 THEN 'job-' || run_id END AS intake_id,
+    CASE WHEN seq % 23 <> 0 THEN chunk_id END AS chunk_index, chunk_id AS request_chunk_index,
+    'Read aloud: “' || token || '” ' || seq AS prompt, length('Read aloud: “' || token || '” ' || seq) AS prompt_char_count,
+    'tts-1' AS model, CAST(1 AS DOUBLE) AS temperature, CASE WHEN seq % 7 <> 0 THEN 'Sulafat' END AS voice_name,
+    'audio' AS response_modalities, 'single_speaker' AS speech_mode,
+    CASE WHEN seq % 2 = 0 THEN 'note' ELSE '' END AS continuity_note, '' AS scene_context,
+    'chunk ' || chunk_id AS transcript, length('chunk ' || chunk_id) AS transcript_char_count, token AS token_name,
+    CASE WHEN seq % 37 <> 0 THEN seq % 5 + 1 END AS attempt, status = 'success' AS success,
+    CASE WHEN status = 'quota_failed' THEN '429' END AS error,
+    CASE WHEN status = 'success' THEN '/audio/' || run_id END AS wav_path,
+    CASE WHEN status = 'success' THEN seq * 10 END AS wav_size_bytes,
+    CASE WHEN status = 'success' THEN 'audio/wav' END AS mime_type,
+    CASE WHEN status = 'success' THEN seq * 10 - 44 END AS audio_bytes, CAST(epoch AS DOUBLE) AS timestamp,
+    concat_ws(',', CASE WHEN seq % 13 = 0 THEN '$.request.config.top_k=5' END,
+                   CASE WHEN seq % 3 = 0 THEN '$.trace={"id":' || seq || '}' END) AS unknown,
+    CASE WHEN seq % 37 = 0 THEN 'attempt' ELSE '' END AS mistyped FROM attempts)""",
+    """records AS (SELECT * EXCLUDE (broken) FROM all_records WHERE NOT broken)""",
 )
 _TOK = with_(RAW_TOKENS, TOKENS)
 _EDIT = with_(RAW_TOKENS, TOKENS, EDITED)
@@ -511,6 +509,10 @@ cand AS (SELECT intake_id, 0 AS c, '/outputs/custom-' || intake_id || '.wav' AS
   UNION ALL SELECT intake_id, 1, '/outputs/' || intake_id || '/final_audiobook.wav' FROM latest WHERE status = 'completed'
   UNION ALL SELECT intake_id, 2, '/outputs/' || intake_id || '_final_audiobook.wav' FROM latest WHERE status = 'completed')
 SELECT intake_id, arg_min(path, c) AS path FROM cand SEMI JOIN output_files USING (path) GROUP BY intake_id""",
+    "attempt_health": _RECORDS + """SELECT count(*) AS records, count(*) FILTER (broken) AS broken,
+  count(*) FILTER (NOT broken AND (intake_id IS NULL OR chunk_index IS NULL)) AS without_key,
+  count(*) FILTER (NOT broken AND unknown <> '') AS with_unknown,
+  count(*) FILTER (NOT broken AND mistyped <> '') AS with_mistyped FROM all_records""",
     "attempt_log": _RECORDS
     + "SELECT * FROM records WHERE intake_id IS NOT NULL AND chunk_index IS NOT NULL",
     "path_context": with_(ATTEMPTS, CHUNK_FILES)
