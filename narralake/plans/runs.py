@@ -7,6 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from narralake.operators import attempts as at
+from narralake.operators import sequence as sq
 from narralake.operators import telemetry as tm
 from narralake.operators import tokens as tk
 from narralake.plans.views_sql import (
@@ -71,6 +72,11 @@ def status_transitions(spark, sf_dir):
     return tm.status_transitions(_log(spark, sf_dir))
 
 
+def status_sequence_check(spark, sf_dir):
+    """Whether the statuses of each intake follow one another as they may."""
+    return sq.sequence_check(_log(spark, sf_dir))
+
+
 # ------------------------------------------------------------- file queries --
 def path_context(spark, sf_dir):
     files = tb.chunk_files(spark, sf_dir)
@@ -346,6 +352,7 @@ QUERIES = {
     "error_class": error_class,
     "attempt_summary": attempt_summary,
     "status_transitions": status_transitions,
+    "status_sequence_check": status_sequence_check,
     "output_lookup": output_lookup,
     "attempt_log": attempt_log,
     "attempt_health": attempt_health,
@@ -502,6 +509,12 @@ FROM attempts GROUP BY run_id""",
 SELECT p AS from_status, status AS to_status, count(*) AS transitions FROM (
   SELECT status, lag(status) OVER (PARTITION BY intake_id ORDER BY seq) AS p FROM status_log)
 WHERE p <> status GROUP BY p, status""",
+    "status_sequence_check": with_(STATUS_LOG) + f"""
+SELECT intake_id, count(*) AS records, count(*) FILTER (p <> status) AS changes, count(*) FILTER (bad) AS illegal,
+  min(seq) FILTER (bad) AS first_illegal_seq, arg_max(status, seq) AS final_status FROM (
+  SELECT *, CASE WHEN p IS NULL THEN status <> 'generating' ELSE p <> status AND (p || '>' || status) NOT IN (
+    {', '.join(lit(f"{a}>{b}") for a, follow in sq.MAY_FOLLOW.items() for b in follow)}) END AS bad FROM (
+    SELECT *, lag(status) OVER (PARTITION BY intake_id ORDER BY seq) AS p FROM status_log)) GROUP BY intake_id""",
     "output_lookup": _LATEST.rstrip() + f""",
 {OUTPUT_FILES},
 cand AS (SELECT intake_id, 0 AS c, '/outputs/custom-' || intake_id || '.wav' AS path FROM latest
