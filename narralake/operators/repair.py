@@ -59,6 +59,8 @@ FIRST_YEAR, LAST_YEAR = "1900", "2099"
 MAX_BROKEN_TAIL = 24
 MAX_BROKEN_HEAD = 32
 MAX_PARAGRAPH_PIECE = 120
+#: Rows of a glyph table that may be sent to every task.
+GLYPH_LIMIT = 10_000
 # -----------------------------------------------------------------------------
 
 # Joined-line counts as printable characters, written in strips.
@@ -88,6 +90,11 @@ def glyph_repair(c: Column, mapping: Mapping[str, str] | None = None) -> Column:
     table = F.array(
         *[F.struct(F.lit(k).alias("bad"), F.lit(v).alias("good")) for k, v in pairs]
     )
+    return fold_glyphs(c, table)
+
+
+def fold_glyphs(c: Column, table: Column) -> Column:
+    """Apply an ordered array of (bad, good) to a text; the text and its changes."""
 
     def apply(acc: Column, g: Column) -> Column:
         removed = F.replace(acc["text"], g["bad"], F.lit(""))
@@ -109,6 +116,47 @@ def glyph_repair(c: Column, mapping: Mapping[str, str] | None = None) -> Column:
     return F.aggregate(table, _result(c, no_changes()), apply)
 
 
+def glyph_arrays(glyphs: DataFrame, by: str | None = None, limit: int = GLYPH_LIMIT) -> DataFrame:
+    """One row with `tables`: for each value of ``by`` its ordered array of (bad, good).
+
+    ``glyphs``: bad, good, position (and ``by``, such as a language).  Longest
+    first, equal lengths by position; of a corruption that is given twice the
+    later repair counts.  Empty corruptions are left out; a null ``by`` is ''.
+    More than ``limit`` rows are an error, as the arrays go to every task.
+    """
+    group = F.coalesce(F.col(by).cast("string"), F.lit("")) if by else F.lit("")
+    single = (
+        glyphs.where(F.col("bad") != "")
+        .groupBy(group.alias("_by"), "bad")
+        .agg(F.max_by("good", "position").alias("good"), F.min("position").alias("position"))
+    )
+    entry = F.struct((-F.length("bad")).alias("length"), "position", "bad", "good")
+    arrays = single.groupBy("_by").agg(F.array_sort(F.collect_list(entry)).alias("_a"), F.count("*").alias("_n"))
+    pairs = F.transform("_a", lambda e: F.struct(e["bad"].alias("bad"), e["good"].alias("good")))
+    total = F.sum("_n")
+    checked = F.when(total > limit, F.raise_error(F.lit(f"more than {limit} glyph replacements"))).otherwise(
+        F.map_from_entries(F.collect_list(F.struct("_by", pairs)))
+    )
+    return arrays.agg(checked.alias("tables"))
+
+
+def repair_glyphs(
+    pages: DataFrame, glyphs: DataFrame, by: str | None = None, text: str = "text", limit: int = GLYPH_LIMIT
+) -> DataFrame:
+    """pages with `repair`, the struct of glyph_repair(), by a table of replacements.
+
+    The table becomes one value by a scalar subquery, so pages are not
+    shuffled and nothing passes through the driver's code.  Pages whose value
+    of ``by`` has no replacements stay as they are; an empty table changes
+    nothing.
+    """
+    group = F.coalesce(F.col(by).cast("string"), F.lit("")) if by else F.lit("")
+    none = F.array().cast("array<struct<bad: string, good: string>>")
+    held = pages.withColumn("_tables", glyph_arrays(glyphs, by, limit).scalar())
+    table = F.coalesce(F.try_element_at("_tables", group), none)
+    return held.withColumn("repair", fold_glyphs(F.col(text), table)).drop("_tables")
+
+
 # ------------------------------------------------------------------- years ---
 def _is_year(western: Column) -> Column:
     return (F.length(western) == 4) & western.between(FIRST_YEAR, LAST_YEAR)

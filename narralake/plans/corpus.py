@@ -127,6 +127,17 @@ def repair_change_log(spark, sf_dir):
     return rp.change_log(fixed.select(*KEYS, F.col("r.changes").alias("changes")), *KEYS)
 
 
+def glyph_table_repair(spark, sf_dir):
+    """The glyph step by a table of replacements that has a map for each language."""
+    pairs = [F.struct(F.lit(k).alias("bad"), F.lit(v).alias("good")) for k, v in rp.GLYPH_REPLACEMENTS.items()]
+    langs = tb.documents(spark, sf_dir).select("lang").distinct()
+    glyphs = langs.select("lang", F.posexplode(F.array(*pairs)).alias("position", "g")).select("lang", "position", "g.*")
+    fixed = rp.repair_glyphs(tb.dirty_pages(spark, sf_dir), glyphs, "lang")
+    return fixed.select(
+        *KEYS, F.col("repair.text").alias("text"), F.size("repair.changes").cast("bigint").alias("fix_count")
+    )
+
+
 def repair_change_counts(spark, sf_dir):
     log = rp.change_log(repaired_pages(spark, sf_dir), *KEYS)
     return log.groupBy("kind").agg(F.count(F.lit(1)).alias("changes"))
@@ -255,6 +266,7 @@ QUERIES = {
     "drop_empty_docs": drop_empty_docs,
     "upload_filter": upload_filter,
     "glyph_repair": _on_dirty_repair(rp.glyph_repair),
+    "glyph_table_repair": glyph_table_repair,
     "join_broken_words": _on_dirty_repair(rp.join_broken_words),
     "persian_ratio": persian_ratio,
     "join_paragraph_lines": _on_dirty_repair(rp.join_paragraph_lines),
@@ -384,6 +396,7 @@ FROM (SELECT page_id,
         'file-' || page_id || CASE page_id % 4 WHEN 1 THEN '.PDF' WHEN 2 THEN '.txt' ELSE '.pdf' END AS name,
         CAST(length(html) * (page_id % 5) * 10000 AS BIGINT) AS size FROM pages)""",
     "glyph_repair": _stage(rq.glyphs),
+    "glyph_table_repair": _stage(rq.glyphs),
     "join_broken_words": _stage(rq.broken_words),
     "join_paragraph_lines": _stage(rq.paragraph_lines),
     "year_join_lines": _stage(rq.year_join_lines),
