@@ -98,6 +98,28 @@ def chunk_signal(samples: DataFrame, window: int | Column, boundary: int | Colum
     ).withColumn("loudness_dbfs", loudness_dbfs(F.col("rms")))
 
 
+def with_empty_chunks(chunks: DataFrame, headers: DataFrame) -> DataFrame:
+    """chunk_signal rows and one for each header of a chunk that has no samples.
+
+    ``headers``: series_id and chunk_idx of every chunk file that could be
+    read.  A chunk of no samples is silent throughout (ratio 1.0), of level 0
+    at its middle and ends, and at the floor of loudness.
+    """
+    silent = headers.select(*CHUNK).distinct().join(chunks.select(*CHUNK), CHUNK, "left_anti")
+    zero = F.lit(0.0)
+    return chunks.unionByName(
+        silent.select(
+            *CHUNK,
+            F.lit(0).cast("bigint").alias("n_samples"),
+            zero.alias("rms"),
+            F.lit(1.0).alias("silence_ratio"),
+            zero.alias("head_rms"),
+            zero.alias("tail_rms"),
+            loudness_dbfs(zero).alias("loudness_dbfs"),
+        )
+    )
+
+
 def is_discontinuity(tail: Column, head: Column) -> Column:
     """A jump in level, or silence on one side only."""
     return (F.abs(tail - head) >= DISCONTINUITY_DELTA) | (

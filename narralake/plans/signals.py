@@ -83,6 +83,22 @@ def chunk_duration_ms(spark, sf_dir):
     return sizes.select(*CHUNK, sg.duration_ms(F.col("n"), F.col("rate")).alias("duration_ms"))
 
 
+def chunk_headers(spark, sf_dir):
+    """Header table of the chunk files: those with samples, and some that hold none."""
+    raw = tb.raw_samples(spark, sf_dir).select(*CHUNK, "event_id")
+    empty = raw.where(F.col("event_id") % 9 == 0).withColumn("chunk_idx", F.col("chunk_idx") + 40)
+    return raw.unionByName(empty).select(*CHUNK).distinct()
+
+
+def empty_chunk_report(spark, sf_dir):
+    """The report over all readable chunks, those without samples included."""
+    folder = os.path.join(tb.scratch_dir(spark, "signal"), "chunks")
+    whole = sg.with_empty_chunks(_stored_chunks(spark, sf_dir), chunk_headers(spark, sf_dir))
+    whole.write.mode("overwrite").parquet(folder)
+    series = tb.read_table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("series_id")).distinct()
+    return sg.signal_report(series, spark.read.parquet(folder))
+
+
 QUERIES = {
     "scan_samples": scan_samples,
     "rms": rms,
@@ -94,6 +110,7 @@ QUERIES = {
     "variation_score": variation_score,
     "signal_label": signal_label,
     "signal_report": signal_report,
+    "empty_chunk_report": empty_chunk_report,
     "chunk_duration_ms": chunk_duration_ms,
 }
 
@@ -123,6 +140,13 @@ _CHUNKS = with_(
     ELSE 'needs_review' END AS label FROM se)""",
 )
 
+_EMPTY = """lv AS (SELECT * FROM full_lv UNION ALL
+  SELECT series_id, chunk_idx, 0, 0, 0.0, 0.0, 0.0, 1.0, -90.0 FROM (
+    SELECT DISTINCT user_id % 20 AS series_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) + 40 AS chunk_idx
+    FROM events WHERE event_id % 9 = 0) h
+  WHERE NOT EXISTS (SELECT 1 FROM full_lv f WHERE f.series_id = h.series_id AND f.chunk_idx = h.chunk_idx)),
+bd AS ("""
+
 ORACLES = {
     "scan_samples": with_(SAMPLES) + """SELECT series_id, chunk_idx, sample_idx // 2 AS sample_idx, s,
   (n_samples + 1) // 2 AS n_samples FROM samples WHERE sample_idx % 2 = 0""",
@@ -148,3 +172,6 @@ FROM (SELECT DISTINCT user_id % 40 AS series_id FROM events) x LEFT JOIN lb ON x
     "chunk_duration_ms": _CHUNKS
     + "SELECT series_id, chunk_idx, CAST(n * 1000 // rate AS BIGINT) AS duration_ms FROM ch",
 }
+ORACLES["empty_chunk_report"] = (
+    ORACLES["signal_report"].replace("lv AS (", "full_lv AS (", 1).replace("bd AS (", _EMPTY, 1)
+)

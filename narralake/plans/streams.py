@@ -60,7 +60,8 @@ def stream_latest_status(spark, sf_dir):
 
 def stream_progress(spark, sf_dir):
     root = tb.scratch_dir(spark, "progress")
-    jobs.progress_job(_attempt_stream(spark, sf_dir), root).awaitTermination()
+    log = _attempt_stream(spark, sf_dir, F.col("ts").cast("timestamp").alias("ts"))
+    jobs.progress_job(log, root, "1 day").awaitTermination()
     return jobs.progress_view(spark, root, runs.CHUNKS_PER_RUN)
 
 

@@ -35,7 +35,8 @@ def test_listing_reads_no_content(spark, audio):
     }
     plan = plan_of(files.where("size > 4 AND modified > timestamp'2001-01-01'"))
     scan = plan[plan.index("FileScan") :]
-    assert "content:binary" not in scan and "GreaterThan(length,4)" in scan and "GreaterThan(modificationTime" in scan
+    assert "ReadSchema: struct<path:string,modificationTime:timestamp,length:bigint>" in scan
+    assert "GreaterThan(length,4)" in scan
 
 
 def test_listing_feeds_the_file_views(spark, audio):

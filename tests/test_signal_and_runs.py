@@ -291,3 +291,16 @@ def test_tokens(spark, value):
     assert [r["priority"] for r in tk.public_tokens(tokens).orderBy("priority").collect()] == [1, 2, 3]
     names = spark.createDataFrame([("a",), (" a",), ("",), ("b",)], "name string")
     assert {(r["name"], r["reason"]) for r in tk.name_rejects(names).collect()} == {("a", "duplicate"), ("", "blank")}
+
+
+def test_empty_chunks_are_silent_throughout(spark):
+    columns = "series_id bigint, chunk_idx bigint, n_samples bigint, rms double, silence_ratio double, head_rms double, tail_rms double, loudness_dbfs double"
+    chunks = spark.createDataFrame([(1, 1, 10, 3000.0, 0.0, 3000.0, 3000.0, -20.0)], columns)
+    headers = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (2, 1)], "series_id bigint, chunk_idx bigint")
+    whole = sg.with_empty_chunks(chunks, headers)
+    assert sorted(map(tuple, whole.collect()))[1:] == [
+        (1, 2, 0, 0.0, 1.0, 0.0, 0.0, -90.0), (2, 1, 0, 0.0, 1.0, 0.0, 0.0, -90.0),
+    ]
+    report = {r.series_id: r for r in sg.signal_report(headers.select("series_id").distinct(), whole).collect()}
+    assert report[1].chunk_count == 2 and report[1].discontinuities_count == 1 and report[1].avg_chunk_silence_ratio == 0.5
+    assert report[2].quality_label == "fair" and report[2].avg_chunk_silence_ratio == 1.0
