@@ -38,16 +38,20 @@ def _letters() -> np.ndarray:
 def trigrams(text: str) -> Iterator[np.ndarray]:
     """Runs of three, packed into 63 bits, over the lower-case letters with one space between words."""
     lower = text.lower()
+    rest = np.array([32], np.uint64)
     for at in range(0, len(lower), CHUNK):
-        points = np.frombuffer(f" {lower[max(0, at - 1) : at + CHUNK]} ".encode("utf-32-le", "replace"), np.uint32)
+        piece = lower[at : at + CHUNK] + (" " if at + CHUNK >= len(lower) else "")
+        points = np.frombuffer(piece.encode("utf-32-le", "replace"), np.uint32)
         is_letter = _letters()[points]
         points = np.where(is_letter, points, 32).astype(np.uint64)
         stay = is_letter.copy()
         stay[1:] |= is_letter[:-1]
-        stay[0] = True
-        points = points[stay]
+        stay[0] |= rest[-1] != 32
+        # The last two of a piece begin the runs that end in the next one.
+        points = np.concatenate([rest, points[stay]])
         if len(points) > 2:
             yield points[:-2] << np.uint64(42) | points[1:-1] << np.uint64(21) | points[2:]
+        rest = points[-2:]
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -185,10 +189,13 @@ def identify(docs: DataFrame, model: LanguageFilter, text: str = "text") -> Data
         )
 
     answer = F.arrow_udf(predict, "lang_pred string, score double")
-    out = docs.withColumn("_found", answer(F.col(text)))
+    found = "_found"
+    while found in docs.columns:
+        found += "_"
+    out = docs.withColumn(found, answer(F.col(text)))
     return out.withColumns(
-        {"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}
-    ).drop("_found")
+        {"lang_pred": F.col(f"{found}.lang_pred"), "score": F.col(f"{found}.score")}
+    ).drop(found)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
