@@ -48,7 +48,7 @@ def uniform(key: Column, seed: int) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
-    """source, source_size -> target, epochs, rest; one row per source.
+    """source, source_size -> target, __mix_epochs, rest; one row per source.
 
     Sources in order of code point, null last, have the weights in turn.  Where
     a target would pass `most` times its source, it stops there and the others
@@ -74,8 +74,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
     out = settled.withColumn("target", target)
     epochs = F.coalesce(F.floor(F.col("target") / F.nullif("source_size", F.lit(0))), F.lit(0))
     return out.select(
-        "source", "source_size", "target", epochs.cast("long").alias("epochs")
-    ).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+        "source", "source_size", "target", epochs.cast("long").alias("__mix_epochs")
+    ).withColumn("rest", F.col("target") - F.col("__mix_epochs") * F.col("source_size"))
 
 
 def _join_sources(rows: DataFrame, sources: DataFrame, n: int) -> DataFrame:
@@ -202,20 +202,20 @@ def mix(
         | ((F.col("__mix_bucket") == F.col("__mix_edge")) & (F.struct("__mix_key", "__mix_tie") <= F.col("__mix_last")))
     )
     # A source without an edge bucket is taken to its end, or has no rest at all.
-    some = F.col("target") > F.col("epochs") * F.col("source_size")
+    some = F.col("target") > F.col("__mix_epochs") * F.col("source_size")
     extra = F.when(some & F.coalesce(chosen, F.lit(False)), 1).otherwise(0)
     out = _join_sources(
-        rows.drop("source_size", "target", "epochs", "__mix_edge", "__mix_last", "__mix_part"), decided, n_sources
+        rows.drop("source_size", "target", "__mix_epochs", "__mix_edge", "__mix_last", "__mix_part"), decided, n_sources
     ).withColumn("__mix_extra", extra)
     if not decided.where("__mix_part IS NOT NULL").isEmpty():
         split = F.coalesce((F.col("__mix_bucket") == F.col("__mix_edge")) & (place == F.col("__mix_part.place")), F.lit(False))
         out = out.where(~split).unionByName(_first_of(out.where(split)))
     return (
-        out.withColumn("copies", (F.col("epochs") + F.col("__mix_extra")).cast("long"))
+        out.withColumn("copies", (F.col("__mix_epochs") + F.col("__mix_extra")).cast("long"))
         .withColumn("taken", F.col("copies") * F.col("size"))
         .drop(
             "__mix_key", "__mix_tie", "__mix_bucket", "__mix_source", "__mix_edge", "__mix_last", "__mix_part",
-            "__mix_extra", "epochs",
+            "__mix_extra", "__mix_epochs",
         )
     )
 
