@@ -202,7 +202,7 @@ def _record_json(spark, sf_dir):
             F.struct(
                 F.lit("tts-1").alias("model"),
                 F.lit(1.0).alias("temperature"),
-                F.when(~every(7), F.lit("Sulafat")).alias("voice_name"),
+                F.when(~every(7), F.lit("voice-a")).alias("voice_name"),
                 F.array(F.lit("audio")).alias("response_modalities"),
                 F.lit("single_speaker").alias("speech_mode"),
                 F.when(every(13), F.lit(5)).alias("top_k"),
@@ -406,7 +406,7 @@ _RECORDS = with_(
     """all_records AS (SELECT seq, seq % 31 = 0 AS broken, CASE WHEN seq % 29 <> 0 THEN 'job-' || run_id END AS intake_id,
     CASE WHEN seq % 23 <> 0 THEN chunk_id END AS chunk_index, chunk_id AS request_chunk_index,
     'Read aloud: “' || token || '” ' || seq AS prompt, length('Read aloud: “' || token || '” ' || seq) AS prompt_char_count,
-    'tts-1' AS model, CAST(1 AS DOUBLE) AS temperature, CASE WHEN seq % 7 <> 0 THEN 'Sulafat' END AS voice_name,
+    'tts-1' AS model, CAST(1 AS DOUBLE) AS temperature, CASE WHEN seq % 7 <> 0 THEN 'voice-a' END AS voice_name,
     'audio' AS response_modalities, 'single_speaker' AS speech_mode,
     CASE WHEN seq % 2 = 0 THEN 'note' ELSE '' END AS continuity_note, '' AS scene_context,
     'chunk ' || chunk_id AS transcript, length('chunk ' || chunk_id) AS transcript_char_count, token AS token_name,
