@@ -1,13 +1,21 @@
 """Operator 6, substring dedup: fuzzy repeated passages by collinear chaining.
 
-Seeds are word runs of two lengths.  All short ones count, as few equal words
-stand together in passages that are changed every few words; long ones, thinned
+Seeds are word runs of three lengths.  All short ones count, as few equal words
+stand together in passages that are changed every few words; longer ones, thinned
 to the least hash in each window of runs, the same in every document, tell
 passages apart where the short ones are common.  A seed's first occurrence (least document, then position) stands for
 all of them, and every other occurrence is joined to it: links grow with the
-text, never with the square of a passage's copies.  Per document, the links to
-one other document are merged along diagonals and chained: the best chain
-ending in a match continues the best of those that end close before it.  Chains are aligned word by word, gaps with a small edit table,
+text, never with the square of a passage's copies.
+
+A passage of n words with n / 5 of them changed still has n / 5 - 3 runs of four
+words, and all of these are links of the later document, to whichever document
+has them first.  So links count only where they stand as dense as that.  Pairs
+of documents whose own links are as dense, or that share a long seed, are
+aligned first; the other pairs, most of which share a common phrase within such
+a passage, only where links still stand as dense outside what was found.
+
+Per document, the links to one other document are merged along diagonals and
+chained with gap costs through Fenwick trees.  Chains are aligned word by word, gaps with a small edit table,
 ends by extension, with more of the texts where it meets the edge; a chain is cut where it stops being alike, and all stretches
 of it that are long and alike enough are returned.
 """
@@ -16,7 +24,6 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,35 +32,53 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narralake.llm.common import WORD, gram_hashes, keep, rows_of, sieve, table, text_batches, word_hashes
+from narralake.llm.common import WORD, keep, mix, rows_of, sieve, table, text_batches, word_hashes
 
-SEEDS = ((4, 1), (7, 12))  # words of a seed, runs of a window
+SEEDS = ((4, 1), (7, 12), (44, 7))  # words of a seed, runs of a window
 K = min(k for k, _ in SEEDS)  # words that a match of any seed has
+LONG = max(k for k, _ in SEEDS)  # any 50 equal words have a seed of so many
 W = 12  # unmatched words inside a match, at most
 BUCKET_BITS, SLOT_BITS = 12, 15  # of a seed's hash, in the bitmap of repeated seeds
 LENGTH = 50
 SIMILARITY = 0.8
 GAP = 0.04  # cost of a skipped word, on either side
-FAR = 64  # words between two matches of a chain, at most
+FAR = 64  # words between two matches of a chain that always compete; at twice as many they no longer do
 PART = 256  # words in a stored part of a text
 FLANK = 96  # words beside a chain that the first alignment may use
 WIDER = 8  # growth of the flank where an alignment meets its edge
 STEP = 32  # words on each side that an extension looks at in one step
 
 
-def seeds(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, word position) of the least seed of each window, for each kind of seed; a short text is one window."""
-    words, hashes, places = word_hashes(text), [], []
+def seeds(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, word position, words) of the least seed of each window, for each kind of seed; a short text is one window."""
+    words, found = word_hashes(text), []
     for k, w in SEEDS:
-        runs = gram_hashes(words, k)
-        if len(runs) == 0 or hashes and len(words) < k:
+        if len(words) == 0 or found and len(words) < k:
             continue
+        runs = run_hashes(words, k)
         width = min(w, len(runs))
-        least = np.lib.stride_tricks.sliding_window_view(runs, width).argmin(axis=1)
-        at = np.unique(least + np.arange(len(least)))
-        hashes.append(runs[at])
-        places.append(at)
-    return np.concatenate([np.zeros(0, np.uint64), *hashes]), np.concatenate([np.zeros(0, np.int64), *places])
+        at = np.arange(len(runs))
+        if width > 1:
+            least = np.lib.stride_tricks.sliding_window_view(runs, width).argmin(axis=1)
+            at = np.unique(least + np.arange(len(least)))
+        found.append((runs[at], at, np.full(len(at), k, np.int8)))
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int8))
+    return tuple(np.concatenate(c) for c in zip(none, *found, strict=True))
+
+
+def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """One hash for each run of n words, put together from runs of doubling length; a shorter text is one run."""
+    n = min(n, len(words))
+    size, power, runs = 1, 0x9E3779B97F4A7C15, words
+    out, done = np.zeros(len(words), np.uint64), 0
+    while True:
+        if n & size:
+            out = out[: len(words) - done - size + 1] * np.uint64(power) + runs[done : len(words) - size + 1]
+            done += size
+        if 2 * size > n:
+            return mix(out ^ np.uint64(n))
+        runs = runs[:-size] * np.uint64(power) + runs[size:]
+        power, size = power * power % 2**64, 2 * size
 
 
 def _row(key: str, text: str) -> Column:
@@ -135,9 +160,8 @@ def _seed_rows(marks: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterato
         bits = marks.value
         for batch in rows_of(batches, 500):
             found = [seeds(t) for t in batch.column(1).to_pylist()]
-            rows = np.repeat(batch.column(0).to_numpy(), [len(h) for h, _ in found])
-            hashes = np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in found)])
-            at = np.concatenate([np.zeros(0, np.int64), *(p for _, p in found)])
+            rows = np.repeat(batch.column(0).to_numpy(), [len(h) for h, _, _ in found])
+            hashes, at, size = (np.concatenate(c) for c in zip(seeds(None), *found, strict=True))
             slot = (hashes >> np.uint64(64 - BUCKET_BITS - SLOT_BITS)).astype(np.int64)
             keep_ = (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
             yield pa.RecordBatch.from_pydict(
@@ -145,6 +169,7 @@ def _seed_rows(marks: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                     "h": pa.array(hashes[keep_].view(np.int64)),
                     "row": pa.array(rows[keep_]),
                     "pos": pa.array(at[keep_].astype(np.int32)),
+                    "words": pa.array(size[keep_]),
                 }
             )
 
@@ -162,37 +187,66 @@ def diagonals(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.stack([x[start], y[start], x[end] - x[start] + K], 1)
 
 
+class Fenwick:
+    """Best (value, match) at or below a place, for FAR places."""
+
+    def __init__(self) -> None:
+        self.best: list[tuple[float, int]] = [(-np.inf, -1)] * (FAR + 1)
+
+    def put(self, place: int, value: float, match: int) -> None:
+        place += 1
+        while place <= FAR:
+            if value > self.best[place][0]:
+                self.best[place] = (value, match)
+            place += place & -place
+
+    def upto(self, place: int) -> tuple[float, int]:
+        place, found = place + 1, (-np.inf, -1)
+        while place:
+            if self.best[place][0] > found[0]:
+                found = self.best[place]
+            place &= place - 1
+        return found
+
+
 def chains(x: np.ndarray, y: np.ndarray) -> list[list[tuple[int, int, int]]]:
     """Collinear chains of (x, y, length), best first; every match is in one chain at most.
 
-    Only matches that end at most FAR words before a match, on both sides,
-    compete to precede it.  At most one match of each kind of seed starts at an x,
-    so few are open at a time.
+    A match goes on from the one with the best score, less GAP for each word
+    between, among those that end before it on both sides and at most FAR words
+    away; some up to twice as far compete, too.  Matches come by their start in
+    x, and ended ones are in a Fenwick tree over their end in y.  There is a
+    tree for each square of FAR by FAR words, so that far ones are out of reach
+    however good they are, and trees that x has passed are dropped.
     """
     parts = diagonals(x, y)
     parts = parts[np.lexsort((parts[:, 1], parts[:, 0]))]
-    if len(parts) == 1:
-        return [[tuple(map(int, parts[0]))]]
     n = len(parts)
     score, before = [0.0] * n, [-1] * n
     rows = [tuple(map(int, p)) for p in parts]
     by_end = sorted(range(n), key=lambda i: rows[i][0] + rows[i][2])
-    open_: deque[int] = deque()
+    trees: dict[int, dict[int, Fenwick]] = {}  # by square of x, then of y
     waiting = 0
     for i, (px, py, size) in enumerate(rows):
-        while waiting < n and rows[by_end[waiting]][0] + rows[by_end[waiting]][2] <= px:
-            open_.append(by_end[waiting])
+        while waiting < n:
+            j = by_end[waiting]
+            ex, ey = rows[j][0] + rows[j][2], rows[j][1] + rows[j][2]
+            if ex > px:
+                break
+            column = trees.setdefault(ex // FAR, {})
+            column.setdefault(ey // FAR, Fenwick()).put(ey % FAR, score[j] + GAP * (ex + ey), j)
             waiting += 1
-        while open_ and rows[open_[0]][0] + rows[open_[0]][2] < px - FAR:
-            open_.popleft()
-        gain = 0.0
-        for j in open_:
-            jx, jy, js = rows[j]
-            if py - FAR <= jy + js <= py:
-                value = score[j] - GAP * (px + py - jx - jy - 2 * js)
-                if value > gain:
-                    gain, before[i] = value, j
-        score[i] = size + gain
+        for passed in [c for c in trees if c < px // FAR - 1]:
+            del trees[passed]
+        best = (-np.inf, -1)
+        for column in trees.values():
+            for square, top in ((py // FAR, py % FAR), (py // FAR - 1, FAR - 1)):
+                if square in column:
+                    best = max(best, column[square].upto(top))
+        gain = best[0] - GAP * (px + py)
+        score[i] = float(size)
+        if gain > 0:
+            score[i], before[i] = size + gain, best[1]
     used = [False] * n
     out = []
     for i in sorted(range(n), key=lambda i: -score[i]):
@@ -206,34 +260,89 @@ def chains(x: np.ndarray, y: np.ndarray) -> list[list[tuple[int, int, int]]]:
     return out
 
 
+#: Runs of K words that LENGTH words have at least, if a fifth of them is changed.
+DENSE = 7
+
+
+def dense(at: np.ndarray) -> np.ndarray:
+    """Which of the sorted, distinct places of seeds may belong to a passage.
+
+    A passage of n >= LENGTH words on a side has n / 5 - 3 seeds at least: a
+    changed word breaks K of its n - 3 runs, a word put in breaks three.  So a
+    seed counts if some range of DENSE or more seeds around it spans
+    at most five words a seed and fifteen more.
+    """
+    n = np.arange(len(at))
+    up = 5 * n - at
+    top = np.maximum.accumulate(up[::-1])[::-1]
+    last = np.searchsorted(-top, 16 - up, side="right") - 1  # the farthest j with up[j] >= up[i] - 16
+    ok = last - n + 1 >= DENSE
+    marks = np.zeros(len(at) + 1, np.int64)
+    np.add.at(marks, n[ok], 1)
+    np.add.at(marks, last[ok] + 1, -1)
+    return np.cumsum(marks[:-1]) > 0
+
+
+_CHAINS = "row long, ref long, strong boolean, parts array<int>, ends array<array<int>>, at array<int>"
+
+
 def _chain_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row, ref, the matches of all their chains, as flat triples with a size before each chain, and its ends."""
+    """Of each row and each other row with links where links are dense, the chains.
+
+    parts has the matches as flat triples with a size before each chain, ends
+    their four ends, at the places of the seeds where the pair is not strong.
+    """
+    names = ("row", "ref", "strong", "parts", "ends", "at")
+    ints = pa.list_(pa.int32())
+    types = (pa.int64(), pa.int64(), pa.bool_(), ints, pa.list_(ints), ints)
     out: list[tuple] = []
+    held = 0
 
     def rows() -> pa.RecordBatch:
-        row, ref, parts, ends = zip(*out, strict=True) if out else ([],) * 4
-        return pa.RecordBatch.from_pydict(
-            {
-                "row": pa.array(row, pa.int64()),
-                "ref": pa.array(ref, pa.int64()),
-                "parts": pa.array(parts, pa.list_(pa.int32())),
-                "ends": pa.array(ends, pa.list_(pa.list_(pa.int32()))),
-            }
-        )
+        cols = list(zip(*out, strict=True)) or [[] for _ in names]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=list(names))
 
-    held = 0
-    for r, o, x, y in sorted_runs(batches, ["row", "ref", "pos", "ref_pos"], 2):
-        found = chains(x.astype(np.int64), y.astype(np.int64))
-        ends = [[c[0][0], c[-1][0] + c[-1][2], c[0][1], c[-1][1] + c[-1][2]] for c in found]
-        parts = [v for c in found for v in (len(c), *(w for p in c for w in p))]
-        out.append((int(r[0]), int(o[0]), parts, ends))
-        held += len(parts)
+    for row, ref, x, y, words in sorted_runs(batches, ["row", "ref", "pos", "ref_pos", "words"], 1):
+        places = np.unique(x)
+        live = dense(places)[np.searchsorted(places, x)]
+        ref, x, y, words = (c[live] for c in (ref, x, y, words))
+        cuts = [0, *(np.flatnonzero(ref[1:] != ref[:-1]) + 1).tolist(), len(ref)] if len(ref) else []
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            at = np.unique(x[i:j])
+            strong = bool((words[i:j] == LONG).any() or dense(at).any())
+            found = chains(x[i:j].astype(np.int64), y[i:j].astype(np.int64))
+            ends = [[c[0][0], c[-1][0] + c[-1][2], c[0][1], c[-1][1] + c[-1][2]] for c in found]
+            parts = [v for c in found for v in (len(c), *(w for p in c for w in p))]
+            out.append((int(row[0]), int(ref[i]), strong, parts, ends, [] if strong else at))
+            held += len(parts)
         if held > 100_000:
             yield rows()
             out, held = [], 0
     yield rows()
 
 
+def _still_dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The weak pairs (row, ref) with a link where links are dense outside the found passages.
+
+    Comes sorted by row: passages with their start and end, pairs with start -1, ref and places.
+    """
+    for row, start, end, ref, at in sorted_runs(batches, ["row", "start", "end", "ref", "at"], 1):
+        places = np.concatenate([np.zeros(0, np.int64), *at]).astype(np.int64)
+        of = np.repeat(np.arange(len(row)), [len(a) for a in at])
+        begins, stops = np.sort(start[start >= 0]), np.sort(end[start >= 0])
+        # Inside some passage: more of them have begun than have ended before the seed's last word.
+        covered = np.searchsorted(begins, places, "right") > np.searchsorted(stops, places + K - 1, "right")
+        places, of = places[~covered], of[~covered]
+        distinct = np.unique(places)
+        wanted = np.unique(of[dense(distinct)[np.searchsorted(distinct, places)]])
+        yield pa.RecordBatch.from_pydict(
+            {
+                "row": pa.array(row[wanted], pa.int64()),
+                "ref": pa.array(ref[wanted], pa.int64()),
+            }
+        )
+
+
 # ------------------------------------------------------------------- alignment
 def common(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions, in both, of a longest common subsequence of two short stretches."""
@@ -482,25 +591,26 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id")
     passage exactly one is never the later one.  A passage has at least LENGTH
     words on its own side and equal words for SIMILARITY of the longer side.
     Rows equal in key and text are one document, and a null key is a value.
+    Of words that a found passage has, no second one has to be named: pairs that
+    share few seeds are looked at only for what the first ones leave.
     Null and empty texts have no passages.  Only key and text are read, so other
     columns cannot clash; an empty table gives an empty table.
     """
     text_batches(docs)
     rows = docs.where(F.col(text).isNotNull()).select(_row(key, text).alias("row"), F.col(text).alias("text"))
     marks = docs.sparkSession.sparkContext.broadcast(repeated_seeds(rows))
-    found = rows.mapInArrow(_seed_rows(marks), "h long, row long, pos int")
-    firsts = keep(
+    found = keep(rows.mapInArrow(_seed_rows(marks), "h long, row long, pos int, words byte"), "seeds")
+    firsts = (
         found.groupBy("h")
-        .agg(F.min(F.struct("row", "pos")).alias("_f"), F.count("*").alias("_n"))
-        .where("_n > 1")
-        .select("h", F.col("_f.row").alias("ref"), F.col("_f.pos").alias("ref_pos")),
-        "firsts",
+        .agg(F.min(F.struct("row", "pos")).alias("_f"), F.max("row").alias("_last"))
+        .where("_last <> _f.row")
+        .select("h", F.col("_f.row").alias("ref"), F.col("_f.pos").alias("ref_pos"))
     )
-    links = found.join(firsts, "h").where("row <> ref").select("row", "ref", "pos", "ref_pos").distinct()
+    links = found.join(firsts, "h").where("row <> ref").select("row", "ref", "pos", "ref_pos", "words")
     chained = keep(
-        links.repartition("row", "ref")
+        links.repartition("row")
         .sortWithinPartitions("row", "ref", "pos", "ref_pos")
-        .mapInArrow(_chain_rows, "row long, ref long, parts array<int>, ends array<array<int>>"),
+        .mapInArrow(_chain_rows, _CHAINS),
         "chains",
     )
 
@@ -539,14 +649,29 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id")
             "passages",
         )
 
-    # Each round has pairs whose alignments met the edges of the one before; flanks as long as the texts end it.
-    passages, flank = aligned(chained, FLANK), FLANK
-    more = passages.where("start < 0").select("row", "ref")
-    while not more.isEmpty():
-        flank *= WIDER
-        wider = aligned(chained.join(more, ["row", "ref"], "left_semi"), flank)
-        passages = passages.where("start >= 0").unionByName(wider)
-        more = wider.where("start < 0").select("row", "ref")
+    def all_aligned(pairs: DataFrame) -> DataFrame:
+        """Each round has pairs whose alignments met the edges of the one before; flanks as long as the texts end it."""
+        found, flank = aligned(pairs, FLANK), FLANK
+        more = found.where("start < 0").select("row", "ref")
+        while not more.isEmpty():
+            flank *= WIDER
+            wider = aligned(pairs.join(more, ["row", "ref"], "left_semi"), flank)
+            found = found.where("start >= 0").unionByName(wider)
+            more = wider.where("start < 0").select("row", "ref")
+        return found
+
+    passages = all_aligned(chained.where("strong"))
+    weak = chained.where("not strong")
+    covers = passages.join(weak.select("row").distinct(), "row", "left_semi")
+    still = keep(
+        weak.select("row", F.lit(-1).cast("long").alias("start"), F.lit(-1).cast("long").alias("end"), "ref", "at")
+        .union(covers.select("row", "start", "end", "ref", F.array().cast("array<int>")))
+        .repartition("row")
+        .sortWithinPartitions("row")
+        .mapInArrow(_still_dense, "row long, ref long"),
+        "still",
+    )
+    passages = passages.unionByName(all_aligned(weak.join(still, ["row", "ref"], "left_semi")))
     named = docs.where(F.col(text).isNotNull()).select(F.col(key), _row(key, text).alias("row"))
     ends = passages.select(F.col("row").alias("_r")).union(passages.select("ref")).distinct()
     names = keep(named.join(ends, F.col("row") == F.col("_r"), "left_semi").dropDuplicates(["row"]), "names")

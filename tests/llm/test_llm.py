@@ -336,7 +336,7 @@ def test_repeated_passages(docs, empty):
 def test_fuzzy_chain_is_aligned():
     a = prose(20, 120, 10**6).split()
     b = [*prose(21, 40, 10**6).split(), *a[:50], "inserted", *a[50:70], "other", *a[71:], *prose(22, 30, 10**6).split()]
-    (ha, pa_), (hb, pb) = passages.seeds(" ".join(a)), passages.seeds(" ".join(b))
+    (ha, pa_, _), (hb, pb, _) = passages.seeds(" ".join(a)), passages.seeds(" ".join(b))
     at = {int(h): int(p) for h, p in zip(hb, pb, strict=True)}
     x, y = zip(*[(int(p), at[int(h)]) for h, p in zip(ha, pa_, strict=True) if int(h) in at], strict=True)
     best = passages.chains(np.array(x), np.array(y))[0]
