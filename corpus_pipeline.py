@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narralake.llm import jaccard, languages, mixing, packing, passages
-from narralake.llm.common import keep, sieve, table
+from narralake.llm.common import keep, sieve, table, unused
 
 #: A text is rejected if less than this share of its letter runs belongs to its language.
 LEAST_SCORE = 0.2
@@ -34,23 +34,26 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows repeated in id and text are one document.  Only documents of which
     some row may go are shuffled; all others pass as they are.
     """
-    rows = docs.withColumn("_row", row_key())
-    classes = jaccard.similar_documents(rows.select("_row", "text"), key="_row")
-    gone = keep(classes.where(F.col("_row") != F.col("class_id")).select("_row").distinct(), "gone")
-    again = rows.groupBy("_row").agg(F.count("*").alias("_n")).where("_n > 1").select("_row")
-    touched, clean = sieve(rows, F.col("_row"), gone.unionByName(again), "touched")
-    left = touched.join(gone, "_row", "left_anti").dropDuplicates(["_row"])
+    key = unused(docs, "_row")
+    rows = docs.withColumn(key, row_key())
+    classes = jaccard.similar_documents(rows.select(F.col(key).alias("_row"), "text"), key="_row")
+    gone = keep(classes.where(F.col("_row") != F.col("class_id")).select(F.col("_row").alias(key)).distinct(), "gone")
+    again = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)
+    touched, clean = sieve(rows, F.col(key), gone.unionByName(again), "touched")
+    left = touched.join(gone, key, "left_anti").dropDuplicates([key])
     return clean.unionByName(left).select(*docs.columns)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages that stand in another document, too; documents without words left go."""
-    rows = docs.withColumn("_row", row_key())
-    spans = passages.repeated_passages(rows.select("_row", "text"), key="_row")
-    per_row = keep(spans.groupBy("_row").agg(F.collect_set(F.struct("start", "end")).alias("_spans")), "spans")
-    touched, clean = sieve(rows, F.col("_row"), per_row.select("_row"), "touched")
-    cut = touched.join(per_row, "_row", "left").withColumn("text", passages.cut_words("text", "_spans"))
-    kept = cut.where(F.col("_spans").isNull() | (F.length("text") > 0))
+    key, found = unused(docs, "_row"), unused(docs, "_spans")
+    rows = docs.withColumn(key, row_key())
+    spans = passages.repeated_passages(rows.select(F.col(key).alias("_row"), "text"), key="_row")
+    sets = spans.groupBy("_row").agg(F.collect_set(F.struct("start", "end")).alias(found))
+    per_row = keep(sets.withColumnRenamed("_row", key), "spans")
+    touched, clean = sieve(rows, F.col(key), per_row.select(key), "touched")
+    cut = touched.join(per_row, key, "left").withColumn("text", passages.cut_words("text", found))
+    kept = cut.where(F.col(found).isNull() | (F.length("text") > 0))
     resized = kept.withColumn("n_chars", F.length("text").cast("long"))
     return clean.select(*docs.columns).unionByName(resized.select(*docs.columns))
 
@@ -59,7 +62,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     mixed = mixing.mix(docs).where(F.col("copies") > 0)
     times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return mixed.select(*docs.columns, times.alias("_time")).drop("_time")
+    time = unused(docs, "_time")
+    return mixed.select(*docs.columns, times.alias(time)).drop(time)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -131,6 +131,14 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of df has it, in either case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 #: Words of 64 bits in a sieve; its size is fixed, whatever the number of keys.
 SIEVE = 131_072
 
@@ -156,6 +164,8 @@ def sieve(df: DataFrame, column: Column, keys: DataFrame, label: str) -> tuple[D
         label,
     )
     slot, bit = place(column)
-    marked = df.withColumns({"_slot": slot, "_bit": bit.cast("int")}).join(F.broadcast(marks), "_slot", "left")
-    hit = F.call_function("getbit", F.coalesce(F.col("_word"), F.lit(0).cast("long")), F.col("_bit")) == 1
+    at, in_word, word = (unused(df, n) for n in ("_slot", "_bit", "_word"))
+    named = marks.select(F.col("_slot").alias(at), F.col("_word").alias(word))
+    marked = df.withColumns({at: slot, in_word: bit.cast("int")}).join(F.broadcast(named), at, "left")
+    hit = F.call_function("getbit", F.coalesce(F.col(word), F.lit(0).cast("long")), F.col(in_word)) == 1
     return marked.where(hit).select(*df.columns), marked.where(~hit).select(*df.columns)
