@@ -229,7 +229,7 @@ def nearest(
     n_asked = asked.count()
     pilots = asked.orderBy(F.xxhash64("_id"), "_id").limit(PILOTS)
     far = ranked(_in_blocks(rows, pilots, n, PILOTS, dim, k), k, F.asc("score"))
-    sample = np.array([r[0] for r in far.groupBy("query_id").agg(F.max("score")).collect()])
+    sample = np.array([r.far for r in far.groupBy("query_id").agg(F.max("score").alias("far")).collect()])
     results, widest = [], float(sample.max(initial=0.0))
     for distance in [float(np.median(sample)), WIDER * widest] if widest > 0 else []:
         if distance <= 0:
