@@ -139,6 +139,38 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Rows of a histogram that a step of `heaviest` sends to the driver, at most.
+BINS = 4096
+
+
+def heaviest(counts: DataFrame, word: str, n: str, size: int) -> Column:
+    """A condition: at most `size` rows of (word, n) with the greatest n; all, if there are no more.
+
+    The least n comes from histograms, each over the bin of the one before in
+    which it lies, so the driver gets BINS rows a step whatever the number of
+    partitions.  Equal n are ordered by 12 bits of the word's hash; words that
+    are equal in both are taken alike, so a few less than `size` may return.
+    counts is read some six times: keep it.
+    """
+    rank = F.col(n) * BINS + F.pmod(F.xxhash64(word), F.lit(BINS))
+    low, high = 0, (counts.select(F.max(rank)).first()[0] or 0) + 1
+    above = 0
+    while True:
+        step = -(-(high - low) // BINS)
+        inside = counts.where((rank >= low) & (rank < high))
+        place = F.floor((rank - low) / F.lit(step)).cast("int")
+        bins = inside.groupBy(place.alias("b")).agg(F.count("*")).collect()
+        for b, rows in sorted((tuple(r) for r in bins), reverse=True):
+            if above + rows > size:
+                break
+            above += rows
+        else:
+            return rank >= low
+        low, high = low + b * step, min(high, low + (b + 1) * step)
+        if high - low == 1:
+            return rank >= high
+
+
 #: Words of 64 bits in a sieve; its size is fixed, whatever the number of keys.
 SIEVE = 131_072
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narralake.llm.common import fold_of, keep, rows_of, table
+from narralake.llm.common import fold_of, heaviest, keep, rows_of, table
 
 #: Words with a symbol of their own, and classes of the others.
 FREQUENT = 60_000
@@ -100,15 +100,10 @@ def class_column(word: str) -> Column:
 
 
 def vocabulary(counts: DataFrame, documents: int, size: int = FREQUENT) -> Vocabulary:
-    top = [(bytes(r[0]), r[1]) for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
-    rest = counts
-    if len(top) == size:
-        least = top[-1]
-        rest = counts.where(
-            (F.col("n") < least[1]) | ((F.col("n") == least[1]) & (F.col("word") > F.lit(least[0])))
-        )
-    else:
-        rest = counts.limit(0)
+    """Symbols for the `size` most frequent words, fewer where the last ones tie; classes for the others."""
+    frequent = heaviest(counts, "word", "n", size)
+    top = sorted(((bytes(r[0]), r[1]) for r in counts.where(frequent).collect()), key=lambda t: (-t[1], t[0]))
+    rest = counts.where(~frequent)
     classes = rest.groupBy(class_column("word").alias("c")).agg(F.count("*"), F.sum("n")).collect()
     return Vocabulary(top, {r[0]: (r[1], r[2]) for r in classes}, documents)
 
@@ -315,8 +310,8 @@ def score_texts(
 
     `training` says which rows the model learns from.  A null or empty text is
     the end token alone.  Rows with null or repeated keys are scored one by
-    one; only the key is carried, so clashing names cannot occur.  Ties of word
-    counts are ordered by word.  Without training rows all words are unseen;
+    one; only the key is carried, so clashing names cannot occur.  Words of
+    equal counts are ordered by a hash.  Without training rows all words are unseen;
     an empty table gives an empty table.
     """
     spark = docs.sparkSession

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from narralake.llm.common import rows_of, table, text_batches
+from narralake.llm.common import heaviest, keep, rows_of, table, text_batches
 
 VOCABULARY = "byte_bpe_50k"
 LIMIT = 1024
@@ -163,11 +163,12 @@ def frequent_words(docs: DataFrame, text: str, size: int = FREQUENT) -> list[str
     """The heaviest words of all texts.
 
     Every task keeps a Misra-Gries summary of `size` words over all its texts;
-    the summaries, not the words, are added up.  At most `size` words return.
+    the summaries, not the words, are added up.  At most `size` words return,
+    and no others reach the driver.
     """
     found = docs.select(text).mapInArrow(_heavy_words(size), "word string, n long")
-    top = found.groupBy("word").agg(F.sum("n").alias("n"))
-    return [r[0] for r in top.orderBy(F.desc("n"), "word").limit(size).select("word").collect()]
+    counts = keep(found.groupBy("word").agg(F.sum("n").alias("n")), "summaries")
+    return [r[0] for r in counts.where(heaviest(counts, "word", "n", size)).select("word").collect()]
 
 
 def pretoken_lengths(found: list[str], vocabulary: str = VOCABULARY) -> dict[str, int]:
