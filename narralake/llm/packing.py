@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +27,6 @@ from narralake.llm.tokens import VOCABULARY, byte_pairs
 CAPACITY = 1024
 END = 2
 ROUNDS = 60
-SALTS = 64
 
 Config = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
@@ -172,9 +172,9 @@ def piece_rows(docs: DataFrame, text: str, key: str, vocabulary: str, capacity:
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = byte_pairs(vocabulary)
+        coder, task, seen = byte_pairs(vocabulary), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in rows_of(batches):
-            own, piece, start, length, crc = [], [], [], [], []
+            own, piece, start, length, crc, nth = [], [], [], [], [], []
             for row, value in enumerate(batch.column(1).to_pylist()):
                 ids = coder.ids(value) + tail
                 for i, (at, n) in enumerate(cut(len(ids) // 4, capacity)):
@@ -183,17 +183,21 @@ def piece_rows(docs: DataFrame, text: str, key: str, vocabulary: str, capacity:
                     start.append(at)
                     length.append(n)
                     crc.append(zlib.crc32(memoryview(ids)[4 * at : 4 * (at + n)]))
+                    nth.append(seen[n])
+                    seen[n] += 1
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(own, pa.int64())),
                     pa.array(piece, pa.int32()),
                     *(pa.array(x, pa.int64()) for x in (start, length, crc)),
+                    pa.array(np.full(len(own), task, np.int32)),
+                    pa.array(nth, pa.int64()),
                 ],
-                names=[key, "piece", "start", "length", "ids_crc32"],
+                names=[key, "piece", "start", "length", "ids_crc32", "_task", "_nth"],
             )
 
     text_batches(docs)
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text).mapInArrow(run, f"{schema}, _task int, _nth long")
 
 
 def pack(
@@ -209,34 +213,27 @@ def pack(
     A null or empty text is the end id alone.  Rows with a null or repeated key
     are packed like any other; only the key column is carried, so clashing
     names cannot occur.  An empty table gives an empty table.  Ties (equal
-    lengths) are ordered by key and piece.
+    lengths) are in the order in which they were read.
     """
     spark = docs.sparkSession
-    salt = F.pmod(F.xxhash64(key, "piece", "ids_crc32"), F.lit(SALTS)).cast("int")
-    pieces = keep(
-        piece_rows(docs, text, key, vocabulary, capacity, end).withColumn("_salt", salt), "pieces"
-    )
-    # One row for each (length, salt): at most capacity * SALTS numbers.
-    counts = pieces.groupBy("length", "_salt").agg(F.count("*").alias("n")).collect()
-    histogram: dict[int, int] = {}
-    first: dict[int, int] = {}
-    for length, s, n in sorted(tuple(r) for r in counts):
-        first[length * SALTS + s] = histogram.get(length, 0)
-        histogram[length] = histogram.get(length, 0) + n
-    plan = spark.sparkContext.broadcast((slots(solve(histogram, capacity)), first))
-    ranks = Window.partitionBy("length", "_salt").orderBy(key, "piece", "start", "ids_crc32")
-    ranked = pieces.withColumn("_rank", F.row_number().over(ranks).cast("long") - 1)
+    pieces = keep(piece_rows(docs, text, key, vocabulary, capacity, end), "pieces")
+    counts = keep(pieces.groupBy("length", "_task").agg(F.count("*").alias("n")), "lengths")
+    histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}
+    plan = spark.sparkContext.broadcast(slots(solve(histogram, capacity)))
+    # A piece's rank among those of its length: its rank in the task that wrote it, behind all tasks before.
+    before = Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("length", "_task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
+    ranked = pieces.join(first, ["length", "_task"]).withColumn("_rank", F.col("_first") + F.col("_nth"))
+    ranked = ranked.select(key, "piece", "start", "length", "ids_crc32", "_rank")
     schema = f"{key} {docs.schema[key].dataType.simpleString()}, {_PIECES}, sequence_id long, offset long"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs, base = plan.value
+        runs = plan.value
         order = runs["length"] * (1 << 44) + runs["first"] if len(runs["length"]) else None
         for batch in batches:
-            length, salts, rank = (batch.column(c).to_numpy() for c in ("length", "_salt", "_rank"))
+            length, rank = (batch.column(c).to_numpy() for c in ("length", "_rank"))
             if not len(length):
                 continue
-            starts = [base[k] for k in (length * SALTS + salts).tolist()]
-            rank = rank + np.array(starts, np.int64)
             at = np.searchsorted(order, length * (1 << 44) + rank, "right") - 1
             inside = rank - runs["first"][at]
             each = runs["each"][at]
