@@ -8,7 +8,9 @@ visits the cells of a table in falling order of that chance, until the tables to
 should hold a neighbour with probability TARGET.  Rows meet queries by cell,
 cells with many rows or queries in parts; distances of the candidates are exact.
 
-The width follows the distances of a bounded sample of queries.  A query that
+The width follows the distances of a bounded sample of queries, and is doubled
+while that brings hardly more rows into the visited cells, as between clusters:
+it then costs nothing to miss fewer neighbours.  A query that
 found too few rows, or whose k-th distance is so large that its visited cells
 would have missed such a neighbour too often, is asked again with wider cells,
 and at last of all rows in blocks, so outliers keep their neighbours.
@@ -32,6 +34,9 @@ WIDTH = 2.0  # of a cell, in distances of the sample
 TARGET = 0.97  # probability that a neighbour at the sample's distance is in a visited cell
 LEAST = 0.9  # of that probability at a query's own k-th distance; below, the query is asked again
 PILOTS = 128  # queries of the sample, each compared with all rows
+SAMPLE = 1024  # rows, about, whose distances from the pilots say what wider cells cost
+MORE = 0.005  # share of all rows that a query may meet more for wider cells
+DOUBLINGS = 6  # of the sample's distance, at most
 WIDER = 2.0  # the second round's distance, in the sample's greatest
 _OFFSETS = np.stack(np.meshgrid(*[np.arange(-1, 2)] * PROJECTIONS, indexing="ij"), -1).reshape(-1, PROJECTIONS)
 _phi = np.vectorize(lambda z: 0.5 * (1 + erf(z / 2**0.5)), otypes=[float])
@@ -120,6 +125,23 @@ class Hashes:
         return 1 - np.prod(1 - held, axis=0)
 
 
+def widened(distance: float, q: np.ndarray, x: np.ndarray) -> float:
+    """The distance, doubled as long as queries like q then meet hardly more rows like x."""
+    far = np.sqrt(np.maximum((q**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * q @ x.T, 0.0))
+    far = np.quantile(far, np.linspace(0, 1, 17)[1:], axis=1).T if len(x) else far
+    each = np.repeat(q, far.shape[1], axis=0)
+
+    def met(d: float) -> float:
+        return float(Hashes(q.shape[1], d).reached(each, far.ravel()).mean()) if far.size else 1.0
+
+    least, best = met(distance), distance
+    for times in range(1, DOUBLINGS + 1):
+        if met(distance * 2**times) > least + MORE:
+            break
+        best = distance * 2**times
+    return best
+
+
 def _in_blocks(rows: DataFrame, asked: DataFrame, n: int, n_asked: int, dim: int, k: int) -> DataFrame:
     """Exact: every group of queries meets every block of rows."""
     blocks, groups = n_blocks(n, BLOCK), n_blocks(n_asked, GROUP)
@@ -230,8 +252,11 @@ def nearest(
     pilots = asked.orderBy(F.xxhash64("_id"), "_id").limit(PILOTS)
     far = ranked(_in_blocks(rows, pilots, n, PILOTS, dim, k), k, F.asc("score"))
     sample = np.array([r.far for r in far.groupBy("query_id").agg(F.max("score").alias("far")).collect()])
-    results, widest = [], float(sample.max(initial=0.0))
-    for distance in [float(np.median(sample)), WIDER * widest] if widest > 0 else []:
+    results, widest, middle = [], float(sample.max(initial=0.0)), float(np.median(sample)) if len(sample) else 0.0
+    if middle > 0:
+        some = rows.where(F.pmod(F.xxhash64("_n", F.lit(8)), F.lit(-(-n // SAMPLE))) == 0)
+        middle = widened(middle, *(matrix(df.select("_v").toArrow()["_v"], dim) for df in (pilots, some)))
+    for distance in [middle, WIDER * widest] if widest > 0 else []:
         if distance <= 0:
             continue
         hashes = Hashes(dim, distance)

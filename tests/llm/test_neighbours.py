@@ -68,3 +68,13 @@ def test_hot_cells_in_parts_give_the_same_rows(spark, monkeypatch):
         best = {int(i) for i in ids[np.lexsort((ids, far))[:10]]}
         hits += len(best & {r.vec_id for r in plain if r.query_id == q}) / len(best)
     assert hits >= 0.95 * 101
+
+
+def test_cells_grow_between_clusters_only():
+    rng = np.random.default_rng(4)
+    even = rng.standard_normal((400, 24))
+    assert neighbours.widened(4.0, even[:60], even) == 4.0
+    clusters = np.repeat(rng.standard_normal((40, 24)), 10, 0) + 1e-4 * rng.standard_normal((400, 24))
+    distance = neighbours.widened(5e-4, clusters[:60], clusters)
+    assert 4e-3 <= distance <= 64 * 5e-4
+    assert neighbours.widened(1.0, even[:0], even) == neighbours.widened(1.0, even[:3], even[:0]) > 0
