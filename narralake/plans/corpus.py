@@ -123,8 +123,8 @@ def repair_corpus(spark, sf_dir):
 
 
 def repair_change_log(spark, sf_dir):
-    fixed = tb.dirty_pages(spark, sf_dir).withColumn("r", rp.glyph_repair(F.col("text")))
-    return rp.change_log(fixed.select(*KEYS, F.col("r.changes").alias("changes")), *KEYS)
+    """Every change of every repair step, in order."""
+    return rp.change_log(repaired_pages(spark, sf_dir), *KEYS)
 
 
 def glyph_table_repair(spark, sf_dir):
@@ -144,8 +144,8 @@ def repair_change_counts(spark, sf_dir):
 
 
 def repair_audit(spark, sf_dir):
-    """Before, after and readable diff of the glyph step, per page."""
-    fixed = tb.dirty_pages(spark, sf_dir).withColumn("r", rp.glyph_repair(F.col("text")))
+    """Before, after and readable diff of all repair steps, per page."""
+    fixed = tb.dirty_pages(spark, sf_dir).withColumn("r", rp.repair_text(F.col("text")))
     return fixed.select(
         *KEYS,
         F.col("text").alias("before_text"),
@@ -334,24 +334,6 @@ def clean_from(src: str) -> str:
     return CLEAN_STEPS.replace("{src}", src)
 
 
-def _glyph_steps(src: str) -> str:
-    """Chain of replacements with a column of text and of label per key."""
-    ctes = [f"g0 AS (SELECT *, text AS t, CAST([] AS VARCHAR[]) AS ks, CAST([] AS VARCHAR[]) AS vs FROM {src})"]
-    for i, (bad, good) in enumerate(rp.ordered_glyphs(rp.GLYPH_REPLACEMENTS), start=1):
-        hits = f"(length(t) - length(replace(t, {lit(bad)}, ''))) // {len(bad)}"
-        label = (
-            f"CASE WHEN {hits} = 1 THEN {lit(good)} ELSE {lit(good)} || ' (×' || {hits} || ')' END"
-        )
-        ctes.append(
-            f"g{i} AS (SELECT * REPLACE (replace(t, {lit(bad)}, {lit(good)}) AS t, "
-            f"CASE WHEN contains(t, {lit(bad)}) THEN list_append(ks, {lit(bad)}) ELSE ks END AS ks, "
-            f"CASE WHEN contains(t, {lit(bad)}) THEN list_append(vs, {label}) ELSE vs END AS vs) "
-            f"FROM g{i - 1})"
-        )
-    ctes.append(f"glyphed AS (SELECT * FROM g{len(ctes) - 1})")
-    return ",\n".join(ctes)
-
-
 _RVIEWS = with_recursive(DOC_PAGES, DIRTY_PAGES, rq.start("d", "dirty_pages")).rstrip() + ","
 
 
@@ -423,14 +405,15 @@ FROM r GROUP BY doc_id""",
   {rq.heavy('text')} AS persian_heavy FROM dirty_pages""",
     "digits_to_western": _page_sql(rq.TO_WEST.format("text")),
     "digits_to_persian": _page_sql(rq.TO_PERSIAN.format("text")),
-    "repair_change_log": _VIEWS.rstrip() + "," + _glyph_steps("dirty_pages") + """
-SELECT doc_id, page_number, CAST(i AS BIGINT) AS seq, 'REPLACED' AS kind, ks[i] AS before, vs[i] AS after
-FROM (SELECT *, unnest(range(1, len(ks) + 1)) AS i FROM glyphed)""",
-    "repair_audit": _VIEWS.rstrip() + "," + _glyph_steps("dirty_pages") + """
-SELECT doc_id, page_number, text AS before_text, t AS after_text,
-  CASE WHEN len(ks) = 0 THEN '(no changes applied)' ELSE array_to_string(list_transform(ks, lambda k, i:
-    '[REPLACED]' || chr(10) || k || chr(10) || '→ ' || vs[i]), chr(10) || chr(10)) END AS diff
-FROM glyphed""",
+    "repair_change_log": with_recursive(DOC_PAGES, DIRTY_PAGES, rq.repair("r", "dirty_pages")) + """
+SELECT doc_id, page_number, CAST(i AS BIGINT) AS seq, log[i].kind AS kind, log[i].before AS before,
+  log[i].after AS after
+FROM (SELECT *, unnest(range(1, len(log) + 1)) AS i FROM r)""",
+    "repair_audit": with_recursive(DOC_PAGES, DIRTY_PAGES, rq.repair("r", "dirty_pages")) + """
+SELECT doc_id, page_number, d.text AS before_text, r.text AS after_text,
+  CASE WHEN len(log) = 0 THEN '(no changes applied)' ELSE array_to_string(list_transform(log, lambda c:
+    '[' || c.kind || ']' || chr(10) || c.before || chr(10) || '→ ' || c.after), chr(10) || chr(10)) END AS diff
+FROM r JOIN dirty_pages d USING (doc_id, page_number)""",
     "fix_counts": with_recursive(DOC_PAGES, DIRTY_PAGES, rq.repair("r", "dirty_pages")) + f"""
 SELECT doc_id, CAST(sum({rq.FIX_COUNT}) AS BIGINT) AS fixes, sum({rq.FIX_COUNT}) > 0 AS repair_applied,
   CAST(sum(replaced) AS BIGINT) AS replaced, CAST(sum(years) AS BIGINT) AS year_fix,

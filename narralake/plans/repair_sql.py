@@ -1,7 +1,7 @@
 """Repair steps as SQL stages, for the checks.
 
 A stage maps ``(doc_id, page_number, text, <counters>)`` to the same columns;
-the counters say how many changes of each kind were made.
+the counters say how many changes of each kind were made, ``log`` lists them.
 """
 
 from __future__ import annotations
@@ -27,7 +27,12 @@ def heavy(e: str) -> str:
 
 def start(name: str, src: str) -> str:
     zeros = ", ".join(f"CAST(0 AS BIGINT) AS {k}" for k in KINDS)
-    return f"{name} AS (SELECT doc_id, page_number, text, {zeros} FROM {src})"
+    log = "CAST([] AS STRUCT(kind VARCHAR, before VARCHAR, after VARCHAR)[]) AS log"
+    return f"{name} AS (SELECT doc_id, page_number, text, {zeros}, {log} FROM {src})"
+
+
+def entry(kind: str, before: str, after: str) -> str:
+    return f"struct_pack(kind := '{kind}', before := {before}, after := {after})"
 
 
 def glyphs(name: str, src: str) -> str:
@@ -35,9 +40,13 @@ def glyphs(name: str, src: str) -> str:
     pairs = ordered_glyphs(GLYPH_REPLACEMENTS)
     for i, (bad, good) in enumerate(pairs, start=1):
         out = name if i == len(pairs) else f"{name}{i}"
+        hits = f"(length(text) - length(replace(text, {lit(bad)}, ''))) // {len(bad)}"
+        label = f"{lit(good)} || CASE WHEN {hits} = 1 THEN '' ELSE ' (×' || {hits} || ')' END"
         ctes.append(
             f"{out} AS (SELECT * REPLACE (replace(text, {lit(bad)}, {lit(good)}) AS text, "
-            f"replaced + CASE WHEN contains(text, {lit(bad)}) THEN 1 ELSE 0 END AS replaced) FROM {at})"
+            f"replaced + CASE WHEN contains(text, {lit(bad)}) THEN 1 ELSE 0 END AS replaced, "
+            f"CASE WHEN contains(text, {lit(bad)}) THEN list_append(log, {entry('REPLACED', lit(bad), label)}) "
+            f"ELSE log END AS log) FROM {at})"
         )
         at = out
     return ",\n".join(ctes)
@@ -52,8 +61,11 @@ def _year(digits: str) -> str:
     )
 
 
-def _rewrite(name: str, src: str, pattern: str, out: str) -> str:
-    """Replace hits of a pattern; ``out`` (of ``h``, ``i``) is null for "leave"."""
+def _rewrite(name: str, src: str, pattern: str, out: str, before: str = "hits[i]", after: str = "outs[i]") -> str:
+    """Replace hits of a pattern; ``out`` (of ``h``, ``i``) is null for "leave".
+
+    ``before`` and ``after`` of the log are made of ``hits[i]`` and ``outs[i]``.
+    """
     return f"""
 {name}_t AS (SELECT *, regexp_extract_all(text, '{pattern}') AS hits,
   regexp_split_to_array(text, '{pattern}') AS pieces FROM {src}),
@@ -61,7 +73,9 @@ def _rewrite(name: str, src: str, pattern: str, out: str) -> str:
 {name} AS (SELECT * EXCLUDE (hits, pieces, outs) REPLACE (
     CASE WHEN len(hits) = 0 THEN text ELSE array_to_string(list_transform(pieces, lambda p, i:
       CASE WHEN i = 1 THEN '' ELSE coalesce(outs[i - 1], hits[i - 1]) END || p), '') END AS text,
-    years + len(list_filter(outs, lambda o: o IS NOT NULL)) AS years) FROM {name}_f)"""
+    years + len(list_filter(outs, lambda o: o IS NOT NULL)) AS years,
+    log || list_transform(list_filter(range(1, len(hits) + 1), lambda i: outs[i] IS NOT NULL),
+      lambda i: {entry('YEAR_FIX', before, after)}) AS log) FROM {name}_f)"""
 
 
 def _digits_of(h: str) -> str:
@@ -70,7 +84,8 @@ def _digits_of(h: str) -> str:
 
 def year_join_lines(name: str, src: str) -> str:
     pattern = f"(?m)^{DIGIT}{{1,2}}{WS}*\\n{WS}*{DIGIT}{{2,3}}{WS}*$"
-    return _rewrite(name, src, pattern, _year(_digits_of("h")))
+    runs = f"array_to_string(regexp_extract_all(hits[i], '{DIGIT}+'), chr(10))"
+    return _rewrite(name, src, pattern, _year(_digits_of("h")), runs)
 
 
 def year_after_context(name: str, src: str) -> str:
@@ -80,14 +95,16 @@ def year_after_context(name: str, src: str) -> str:
     pattern = f"(?:سال|در سال){WS}*\\n{WS}*{DIGIT}{{4}}(?:{WS}*\\z|{WS}*\\n)"
     prefix = "regexp_extract(h, '^(سال|در سال)')"
     back = "CASE WHEN i = len(hits) AND pieces[len(pieces)] = '' THEN '' ELSE chr(10) END"
-    return _rewrite(name, src, pattern, f"{prefix} || ' ' || ({_year(_digits_of('h'))}) || {back}")
+    before = f"{prefix.replace('(h,', '(hits[i],')} || chr(10) || {_digits_of('hits[i]')}"
+    out = f"{prefix} || ' ' || ({_year(_digits_of('h'))}) || {back}"
+    return _rewrite(name, src, pattern, out, before, "rtrim(outs[i], chr(10))")
 
 
 def year_inline_join(name: str, src: str) -> str:
     pattern = f"{DIGIT}{WS}+{DIGIT}{{2,3}}(?:{NO_DIGIT}|\\z)"
     core = f"regexp_extract(h, '^{DIGIT}{WS}+{DIGIT}+')"
     out = f"({_year(_digits_of('h'))}) || substring(h, length({core}) + 1)"
-    return _rewrite(name, src, pattern, out)
+    return _rewrite(name, src, pattern, out, core.replace("(h,", "(hits[i],"), "left(outs[i], 4)")
 
 
 def year_reverse_fix(name: str, src: str) -> str:
@@ -98,6 +115,10 @@ def broken_words(name: str, src: str) -> str:
     """Joinable lines as gaps and islands: in a run every second line joins."""
     key = "doc_id, page_number"
     edge = "' ' || chr(9) || chr(13)"
+    glued = (
+        f"CASE WHEN regexp_matches(u, '{WS}') THEN regexp_replace(u, '{WS}+', ' ', 'g') "
+        f"ELSE rtrim(x, {edge}) END || ltrim(nx, {edge})"
+    )
     return rf"""
 {name}_ln AS (SELECT {key}, i, ls[i] AS x FROM (
   SELECT {key}, ls, unnest(range(1, len(ls) + 1)) AS i FROM (
@@ -115,12 +136,11 @@ def broken_words(name: str, src: str) -> str:
   FROM {name}_rn),
 {name}_kp AS (SELECT *, coalesce(lag(joins) OVER (PARTITION BY {key} ORDER BY i), false) AS gone FROM {name}_ps),
 {name}_ag AS (SELECT {key},
-  string_agg(CASE WHEN joins THEN
-      CASE WHEN regexp_matches(u, '{WS}') THEN regexp_replace(u, '{WS}+', ' ', 'g')
-           ELSE rtrim(x, {edge}) END || ltrim(nx, {edge})
-    ELSE x END, chr(10) ORDER BY i) FILTER (NOT gone) AS t2,
+  string_agg(CASE WHEN joins THEN {glued} ELSE x END, chr(10) ORDER BY i) FILTER (NOT gone) AS t2,
+  list({entry('JOINED_LINE', "u || ' + ' || low", strip(f'({glued})'))} ORDER BY i) FILTER (joins) AS l2,
   count(*) FILTER (joins) AS c2 FROM {name}_kp GROUP BY {key}),
-{name} AS (SELECT * EXCLUDE (t2, c2) REPLACE (t2 AS text, joined_lines + c2 AS joined_lines)
+{name} AS (SELECT * EXCLUDE (t2, c2, l2) REPLACE (t2 AS text, joined_lines + c2 AS joined_lines,
+    log || coalesce(l2, []) AS log)
   FROM {src} JOIN {name}_ag USING ({key}))"""
 
 
@@ -140,10 +160,12 @@ def paragraph_lines(name: str, src: str) -> str:
   SELECT {key}, para, i, CASE WHEN len(ls) = 0 THEN '' ELSE ls[i] END AS x FROM (
     SELECT {key}, para, ls, unnest(range(1, greatest(len(ls), 1) + 1)) AS i FROM {name}_l))),
 {name}_r AS (
-  SELECT {key}, para, i, x AS cur, CAST(1 AS BIGINT) AS piece, false AS joined FROM {name}_x WHERE i = 1
+  SELECT {key}, para, i, x AS cur, CAST(1 AS BIGINT) AS piece, false AS joined,
+    CAST(NULL AS VARCHAR) AS two FROM {name}_x WHERE i = 1
   UNION ALL
   SELECT s.doc_id, s.page_number, s.para, s.i, CASE WHEN {joins} THEN r.cur || ' ' || s.x ELSE s.x END,
-    CASE WHEN {joins} THEN r.piece ELSE r.piece + 1 END, {joins}
+    CASE WHEN {joins} THEN r.piece ELSE r.piece + 1 END, {joins},
+    CASE WHEN {joins} THEN r.cur || ' | ' || s.x END
   FROM {name}_r r JOIN {name}_x s ON s.doc_id = r.doc_id AND s.page_number = r.page_number AND s.i = r.i + 1),
 {name}_g AS (SELECT {key}, para, piece, arg_max(cur, i) AS t, count(*) FILTER (joined) AS c
   FROM {name}_r GROUP BY {key}, para, piece),
@@ -151,8 +173,11 @@ def paragraph_lines(name: str, src: str) -> str:
   FROM {name}_g GROUP BY {key}, para),
 {name}_a AS (SELECT {key}, string_agg(t, chr(10) || chr(10) ORDER BY para) AS t2, CAST(sum(c) AS BIGINT) AS c2
   FROM {name}_q GROUP BY {key}),
-{name} AS (SELECT * EXCLUDE (t2, c2) REPLACE ({strip('t2')} AS text, joined_paragraphs + c2 AS joined_paragraphs)
-  FROM {src} JOIN {name}_a USING ({key}))"""
+{name}_c AS (SELECT {key}, list({entry('JOINED_PARAGRAPH', 'two', 'cur')} ORDER BY i) FILTER (joined) AS l2
+  FROM {name}_r GROUP BY {key}),
+{name} AS (SELECT * EXCLUDE (t2, c2, l2) REPLACE ({strip('t2')} AS text,
+    joined_paragraphs + c2 AS joined_paragraphs, log || coalesce(l2, []) AS log)
+  FROM {src} JOIN {name}_a USING ({key}) JOIN {name}_c USING ({key}))"""
 
 
 def newlines(name: str, src: str) -> str:
